@@ -21,54 +21,57 @@ HOLIDAY_NAME = "Market Holiday"
 
 
 def dense_calendar(calendar: DataFrame) -> DataFrame:
-    """One row per calendar day with the trading days around it.
+    """One row per calendar day, from the first to the last trading day, with the trading days
+    around it.
 
     ``last_trading_day`` is on or before the day, ``prev_trading_day`` the one before that,
     ``next_trading_day`` on or after the day, ``following_trading_day`` strictly after.
     Forward look-ups reach ten days; beyond that they give the start day itself.
 
-    The windows run over calendar days only (a few thousand rows), so one task is enough.
+    Each trading day is spread over the days until the next one. The window runs over trading
+    days only (a few thousand rows, bounded by the calendar), so a single task is right for it.
     """
-    sessions = calendar.select(
-        F.col("date").alias("day"), "close_minute", F.col("close_minute").isNotNull().alias("open")
+    ordered = Window.orderBy("date")
+    sessions = (
+        calendar.where("close_minute is not null")
+        .coalesce(1)
+        .select(
+            F.col("date").alias("t"),
+            F.col("close_minute").alias("t_close"),
+            F.lag("date").over(ordered).alias("prev_trading_day"),
+            F.lead("date").over(ordered).alias("after"),
+            F.lead("close_minute").over(ordered).alias("after_close"),
+        )
     )
-    span = calendar.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    days = span.select(F.explode(F.sequence("lo", "hi")).alias("day"))
-    flat = days.join(F.broadcast(sessions), "day", "left").withColumn(
-        "is_trading_day", F.coalesce("open", F.lit(False))
+    days = sessions.withColumn(
+        "day", F.explode(F.sequence("t", F.coalesce(F.date_sub("after", 1), "t")))
     )
-    ordered = Window.orderBy("day")
-    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    after = ordered.rowsBetween(1, Window.unboundedFollowing)
-    session_day = F.when(F.col("is_trading_day"), F.col("day"))
-    session_close = F.when(F.col("is_trading_day"), F.col("close_minute"))
-    flat = flat.select(
+    day, t, after = F.col("day"), F.col("t"), F.col("after")
+    tomorrow = F.date_add(day, 1)
+    in_reach = F.datediff(after, tomorrow) <= LOOK_AHEAD_DAYS
+    return days.select(
         "day",
-        "is_trading_day",
-        "close_minute",
-        F.last(session_day, ignorenulls=True).over(upto).alias("last_trading_day"),
-        F.last(session_day, ignorenulls=True).over(before).alias("_prior"),
-        F.first(session_day, ignorenulls=True).over(after).alias("_following"),
-        F.first(session_close, ignorenulls=True).over(after).alias("_following_close"),
-    ).withColumn(
-        "prev_trading_day",
-        F.last(F.when(F.col("is_trading_day"), F.col("_prior")), ignorenulls=True).over(upto),
-    )
-    tomorrow = F.date_add("day", 1)
-    in_reach = F.datediff("_following", tomorrow) <= LOOK_AHEAD_DAYS
-    reach_from_day = F.datediff("_following", "day") <= LOOK_AHEAD_DAYS
-    return flat.select(
-        "day",
-        "is_trading_day",
-        "close_minute",
-        "last_trading_day",
+        (day == t).alias("is_trading_day"),
+        F.when(day == t, F.col("t_close")).alias("close_minute"),
+        t.alias("last_trading_day"),
         "prev_trading_day",
-        F.when(F.col("is_trading_day"), F.col("day"))
-        .otherwise(F.when(reach_from_day, F.col("_following")).otherwise(F.col("day")))
+        F.when((day == t) | (F.datediff(after, day) > LOOK_AHEAD_DAYS), day)
+        .otherwise(after)
         .alias("next_trading_day"),
-        F.when(in_reach, F.col("_following")).otherwise(tomorrow).alias("following_trading_day"),
-        F.when(in_reach, F.col("_following_close")).alias("following_close_minute"),
+        F.when(in_reach, after).otherwise(tomorrow).alias("following_trading_day"),
+        F.when(in_reach, F.col("after_close")).alias("following_close_minute"),
+    ).withColumns(
+        {
+            # unix seconds, so that no row of a fact table needs a zone conversion for them
+            "opens_at": ny_epoch_seconds(day, F.lit(S.PRE_OPEN)),
+            "closes_at": ny_epoch_seconds(day, _post_end(F.col("close_minute"))),
+            "following_opens_at": ny_epoch_seconds(
+                F.col("following_trading_day"), F.lit(S.PRE_OPEN)
+            ),
+            "following_closes_at": ny_epoch_seconds(
+                F.col("following_trading_day"), _post_end(F.col("following_close_minute"))
+            ),
+        }
     )
 
 
@@ -136,7 +139,10 @@ def trading_dates(as_of: DataFrame, dense: DataFrame) -> DataFrame:
 
 
 def market_status(df: DataFrame, dense: DataFrame, utc: str) -> DataFrame:
-    """Session, holiday flag and next open/close (unix seconds) at a UTC timestamp column."""
+    """Session, holiday flag and next open/close (unix seconds) at a UTC timestamp column.
+
+    Days outside the calendar count as closed, with the next session on the day after.
+    """
     out = df.withColumn("_ny", ny_from_utc(F.col(utc)))
     out = look_up(
         out.withColumn("_date", F.to_date("_ny")),
@@ -144,8 +150,10 @@ def market_status(df: DataFrame, dense: DataFrame, utc: str) -> DataFrame:
         F.col("_date"),
         "is_trading_day",
         "close_minute",
-        "following_trading_day",
-        "following_close_minute",
+        "opens_at",
+        "closes_at",
+        "following_opens_at",
+        "following_closes_at",
     )
     trading = F.coalesce(F.col("is_trading_day"), F.lit(False))
     m = minute_of_day(F.col("_ny"))
@@ -157,25 +165,24 @@ def market_status(df: DataFrame, dense: DataFrame, utc: str) -> DataFrame:
         .when((m < S.CLOSE) | (m < _post_end(F.col("close_minute"))), "post-market")
         .otherwise("closed")
     )
-    following = F.coalesce("following_trading_day", F.date_add("_date", 1))
     before_open = trading & (m < S.PRE_OPEN)
     holiday = ~trading & F.weekday("_date").between(0, 4)
-    out = out.withColumn("session", session)
-    stays_today = before_open | (F.col("session") != "closed")
+    out = out.withColumns(
+        {"session": session, "is_holiday": holiday, "_before_open": before_open}
+    )
+    stays_today = F.col("_before_open") | (F.col("session") != "closed")
+    tomorrow = F.date_add("_date", 1)
     return out.select(
         *df.columns,
         "session",
-        holiday.alias("is_holiday"),
-        F.when(holiday, HOLIDAY_NAME).alias("holiday_name"),
-        ny_epoch_seconds(
-            F.when(before_open, F.col("_date")).otherwise(following), F.lit(S.PRE_OPEN)
-        ).alias("next_open"),
-        ny_epoch_seconds(
-            F.when(stays_today, F.col("_date")).otherwise(following),
-            F.when(stays_today, _post_end(F.col("close_minute"))).otherwise(
-                _post_end(F.col("following_close_minute"))
-            ),
-        ).alias("next_close"),
+        "is_holiday",
+        F.when(F.col("is_holiday"), HOLIDAY_NAME).alias("holiday_name"),
+        F.when(F.col("_before_open"), F.col("opens_at"))
+        .otherwise(F.coalesce("following_opens_at", ny_epoch_seconds(tomorrow, F.lit(S.PRE_OPEN))))
+        .alias("next_open"),
+        F.when(stays_today, F.col("closes_at"))
+        .otherwise(F.coalesce("following_closes_at", ny_epoch_seconds(tomorrow, F.lit(S.POST_CLOSE))))
+        .alias("next_close"),
     )
 
 

@@ -73,12 +73,24 @@ def _with_recent(bars: DataFrame, as_of: DataFrame, dense: DataFrame, days: int)
 
 
 def _on_dates(bars: DataFrame, dates: DataFrame) -> DataFrame:
-    """Bars on the wanted dates. The dates side is bounded by the calendar (at most about a
-    dozen rows per as_of day), so broadcasting it is safe at any data size."""
-    day = F.to_date("date").alias("ref_date")
-    volume = F.coalesce(F.col("volume").cast("bigint"), F.lit(0)).alias("bar_volume")
-    stamp = F.coalesce("timestamp_ms", F.lit(0)).alias("timestamp_ms")
-    return bars.select("ticker", day, "close", volume, stamp).join(F.broadcast(dates), "ref_date")
+    """Bars on the wanted dates.
+
+    The dates side is bounded by the calendar (at most about two dozen rows per as_of day), so
+    broadcasting it is safe at any data size. The semi join comes first because Catalyst moves
+    it below the aggregate that made the bars, down to the scan: minute bars of other days are
+    dropped before they are grouped, or never read where ``date`` is a partition column. The
+    key keeps the type of that column for this reason.
+    """
+    day_type = bars.schema["date"].dataType
+    dates = dates.withColumn("date", F.col("ref_date").cast(day_type))
+    wanted = bars.join(F.broadcast(dates.select("date")), "date", "left_semi")
+    return wanted.select(
+        "ticker",
+        "date",
+        "close",
+        F.coalesce(F.col("volume").cast("bigint"), F.lit(0)).alias("bar_volume"),
+        F.coalesce("timestamp_ms", F.lit(0)).alias("timestamp_ms"),
+    ).join(F.broadcast(dates), "date")
 
 
 def _is_recent() -> Column:

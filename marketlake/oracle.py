@@ -334,8 +334,9 @@ ORACLE["tracked_universe"] = sql(
     POSITIONS,
 )
 ORACLE["universe_diff"] = """
-with cur as (select distinct 'U' || o_custkey as ticker from orders),
-new as (select distinct 'U' || user_id as ticker from events)
+with cur as (select 'U' || o_custkey as ticker from orders union select p_brand from part),
+new as (select 'U' || user_id as ticker from events
+  union select 'Brand#' || (cast(props->>'k' as bigint) % 30 + 1) from events)
 select ticker, 'add' as action from (select ticker from new except select ticker from cur)
 union all select ticker, 'remove' from (select ticker from cur except select ticker from new)"""
 WATCH_REPORT = f"""wr as (select c_name as username, watch.ticker, sort_order, price, change, changePct, volume,

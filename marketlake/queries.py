@@ -48,6 +48,11 @@ def _calendar(spark: SparkSession, which: str) -> DataFrame:
     return rule_calendar(spark, *feeds.CALENDAR_YEARS[which])
 
 
+def _dense(spark: SparkSession, which: str) -> DataFrame:
+    """The dense calendar, kept in memory: a few thousand rows that most queries look up."""
+    return C.dense_calendar(_calendar(spark, which)).persist()
+
+
 def _silver(spark: SparkSession, sf: str, kind: str = "narrow") -> DataFrame:
     return to_silver(feeds.event_bars(_events(spark, sf), kind))
 
@@ -154,13 +159,13 @@ def last_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def trading_dates(spark: SparkSession, sf: str) -> DataFrame:
-    return C.trading_dates(_all_dates(spark, sf), C.dense_calendar(_calendar(spark, "history")))
+    return C.trading_dates(_all_dates(spark, sf), _dense(spark, "history"))
 
 
 @query
 def next_trading_day(spark: SparkSession, sf: str) -> DataFrame:
     days = _all_dates(spark, sf).withColumnRenamed("as_of", "day")
-    dense = C.dense_calendar(_calendar(spark, "history"))
+    dense = _dense(spark, "history")
     return C.next_trading_day(days, dense, "day")
 
 
@@ -169,21 +174,21 @@ def last_trading_day(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines per trading day their ship date settles on (as-of backward on the fact)."""
     lineitem = feeds.table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("day"))
     per_day = lineitem.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
-    dense = C.dense_calendar(_calendar(spark, "history"))
+    dense = _dense(spark, "history")
     settled = C.last_trading_day(per_day, dense, "day")
     return settled.groupBy("last_trading_day").agg(F.sum("n").alias("lines"))
 
 
 @query
 def trading_day_flag(spark: SparkSession, sf: str) -> DataFrame:
-    dense = C.dense_calendar(_calendar(spark, "live"))
+    dense = _dense(spark, "live")
     events = _events(spark, sf).select("event_id", "ts")
     return C.trading_day_flag(events, dense, "ts").select("event_id", "is_trading_day")
 
 
 @query
 def market_status(spark: SparkSession, sf: str) -> DataFrame:
-    dense = C.dense_calendar(_calendar(spark, "live"))
+    dense = _dense(spark, "live")
     return C.market_status(_events(spark, sf).select("event_id", "ts"), dense, "ts").drop("ts")
 
 
@@ -191,7 +196,7 @@ def market_status(spark: SparkSession, sf: str) -> DataFrame:
 def market_status_history(spark: SparkSession, sf: str) -> DataFrame:
     """Status at the quarter hour that each order's price points to, over seven years: covers
     early closes, holidays and daylight-saving changes."""
-    dense = C.dense_calendar(_calendar(spark, "history"))
+    dense = _dense(spark, "history")
     minute = F.pmod(F.col("o_totalprice").cast("bigint"), F.lit(96)) * 15
     at = feeds.table(spark, sf, "orders").select(
         "o_orderkey", F.timestamp_add("MINUTE", minute, F.col("o_orderdate")).alias("ts")
@@ -204,21 +209,21 @@ def market_status_history(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def reference_closes(spark: SparkSession, sf: str) -> DataFrame:
-    dense = C.dense_calendar(_calendar(spark, "history"))
+    dense = _dense(spark, "history")
     return R.reference_closes(_history(spark, sf), _all_dates(spark, sf), dense)
 
 
 @query
 def performance(spark: SparkSession, sf: str) -> DataFrame:
     """Close-of-day rows for every date of the history."""
-    dense = C.dense_calendar(_calendar(spark, "history"))
+    dense = _dense(spark, "history")
     return R.close_of_day(_history(spark, sf), _all_dates(spark, sf), dense)
 
 
 @query
 def close_of_day_cache(spark: SparkSession, sf: str) -> DataFrame:
     """The nightly job: tracked tickers only, as of the newest date."""
-    dense = C.dense_calendar(_calendar(spark, "history"))
+    dense = _dense(spark, "history")
     lineitem, orders, part = _facts(spark, sf)
     watch = feeds.user_tickers(lineitem, orders, part)
     universe = U.tracked_universe(watch, feeds.positions(lineitem, orders, part))
@@ -229,7 +234,7 @@ def close_of_day_cache(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def seed_cache(spark: SparkSession, sf: str) -> DataFrame:
     """Rows for new tickers, as of every date: previous close by bar order."""
-    dense = C.dense_calendar(_calendar(spark, "history"))
+    dense = _dense(spark, "history")
     return R.seed_rows(_history(spark, sf), _all_dates(spark, sf), dense)
 
 
@@ -247,9 +252,16 @@ def tracked_universe(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def universe_diff(spark: SparkSession, sf: str) -> DataFrame:
-    ticker = lambda c: F.concat(F.lit("U"), F.col(c).cast("string")).alias("ticker")
-    current = feeds.table(spark, sf, "orders").select(ticker("o_custkey"))
-    return U.universe_diff(current, _events(spark, sf).select(ticker("user_id")))
+    """Tickers of customers and parts against those of the event feeds."""
+    buyers = feeds.table(spark, sf, "orders").select(
+        F.concat(F.lit("U"), F.col("o_custkey").cast("string")).alias("ticker")
+    )
+    brands = feeds.table(spark, sf, "part").select(F.col("p_brand").alias("ticker"))
+    events = _events(spark, sf)
+    new = feeds.trades(events, "wide").select("ticker").union(
+        feeds.trades(events, "brand").select("ticker")
+    )
+    return U.universe_diff(buyers.union(brands), new)
 
 
 @query
@@ -284,7 +296,7 @@ def portfolio_totals(spark: SparkSession, sf: str) -> DataFrame:
 def _quotes(spark: SparkSession, sf: str) -> DataFrame:
     """The cache after the close of the newest date, without one ticker per ten: some
     positions have no quote. Written out, so that joins see its true size."""
-    dense = C.dense_calendar(_calendar(spark, "history"))
+    dense = _dense(spark, "history")
     rows = R.close_of_day(_history(spark, sf), _last_date(spark, sf), dense, 10).drop("as_of")
     return staged(rows.where(~F.col("ticker").endswith("7")), "quotes")
 
@@ -410,7 +422,7 @@ def counts_per_date(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def missing_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """Trading days on which nothing of the most frequent return flag was shipped."""
+    """Trading days without any large returned line: gaps in that part of the history."""
     lineitem = feeds.table(spark, sf, "lineitem").where("l_returnflag = 'R' and l_quantity >= 49")
     bars = lineitem.select(F.to_date("l_shipdate").alias("date"))
     return Q.missing_sessions(bars, _calendar(spark, "history"))

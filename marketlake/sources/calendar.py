@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +62,15 @@ def rule_calendar(spark: SparkSession, first_year: int, last_year: int) -> DataF
             rows.append((day, None, closed[day]))
         else:
             rows.append((day, EARLY_CLOSE if day in early else REGULAR_CLOSE, None))
-    return spark.createDataFrame(rows, CALENDAR)
+    dates, closes, names = zip(*rows, strict=True)
+    table = pa.table(
+        {
+            "date": pa.array(dates, pa.date32()),
+            "close_minute": pa.array(closes, pa.int32()),
+            "holiday_name": pa.array(names, pa.string()),
+        }
+    )
+    return spark.createDataFrame(table, CALENDAR)
 
 
 def _nth(year: int, month: int, weekday: int, n: int) -> dt.date:
