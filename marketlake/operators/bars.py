@@ -83,13 +83,13 @@ def last_bars(bars: DataFrame, n: int) -> DataFrame:
 
 def _roll_up(bars: DataFrame, keys: list[str]) -> DataFrame:
     return bars.groupBy(*keys).agg(
-        F.min_by("open", "window_start").alias("open"),
-        F.max("high").alias("high"),
-        F.min("low").alias("low"),
-        F.max_by("close", "window_start").alias("close"),
-        F.sum("volume").alias("volume"),
-        F.sum("transactions").alias("transactions"),
-        F.call_function("div", F.min("window_start"), F.lit(1_000_000)).alias("timestamp_ms"),
+        F.expr("min_by(open, window_start) as open"),
+        F.expr("max(high) as high"),
+        F.expr("min(low) as low"),
+        F.expr("max_by(close, window_start) as close"),
+        F.expr("sum(volume) as volume"),
+        F.expr("sum(transactions) as transactions"),
+        F.expr("min(window_start) div 1000000 as timestamp_ms"),
     )
 
 

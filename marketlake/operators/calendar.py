@@ -107,21 +107,19 @@ def reference_dates(as_of: DataFrame, dense: DataFrame) -> DataFrame:
     base = look_up(
         as_of.select("as_of").distinct(), dense, F.col("as_of"), "last_trading_day", "prev_trading_day"
     ).where("prev_trading_day is not null")
-    last = F.col("last_trading_day")
+    last = "last_trading_day"
     targets = {
-        "prev": F.col("prev_trading_day"),
-        "5d": F.date_sub(last, 5),
-        "1m": F.add_months(last, -1),
-        "3m": F.add_months(last, -3),
-        "6m": F.add_months(last, -6),
-        "1y": F.add_months(last, -12),
-        "3y": F.add_months(last, -36),
-        "ytd": F.make_date(F.year("as_of") - 1, F.lit(12), F.lit(31)),
+        "prev": "prev_trading_day",
+        "5d": f"date_sub({last}, 5)",
+        "1m": f"add_months({last}, -1)",
+        "3m": f"add_months({last}, -3)",
+        "6m": f"add_months({last}, -6)",
+        "1y": f"add_months({last}, -12)",
+        "3y": f"add_months({last}, -36)",
+        "ytd": "make_date(year(as_of) - 1, 12, 31)",
     }
-    pairs = F.array(
-        *[F.struct(F.lit(k).alias("label"), v.alias("target")) for k, v in targets.items()]
-    )
-    long = base.select("as_of", F.inline(pairs))
+    pairs = ", ".join(f"struct('{k}' as label, {v} as target)" for k, v in targets.items())
+    long = base.selectExpr("as_of", f"inline(array({pairs}))")
     resolved = look_up(long, dense, F.col("target"), "last_trading_day")
     return resolved.where(
         F.col("last_trading_day") >= F.date_sub("as_of", LOOK_BACK_DAYS)
@@ -134,7 +132,7 @@ def trading_dates(as_of: DataFrame, dense: DataFrame) -> DataFrame:
     return (
         reference_dates(as_of, dense)
         .groupBy("as_of")
-        .agg(*[F.max(F.when(F.col("label") == k, F.col("ref_date"))).alias(f"d_{k}") for k in labels])
+        .agg(*[F.expr(f"max(case when label = '{k}' then ref_date end) as d_{k}") for k in labels])
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketlake.functions.performance import change, change_pct
 from marketlake.operators.calendar import reference_dates
+from marketlake.operators.universe import restrict
 from marketlake.schemas import CACHE, HORIZONS, REF_COLUMNS
 
 RECENT = "recent"
@@ -25,21 +26,32 @@ def reference_closes(bars: DataFrame, as_of: DataFrame, dense: DataFrame) -> Dat
 
 
 def close_of_day(
-    bars: DataFrame, as_of: DataFrame, dense: DataFrame, lookback_days: int = 5
+    bars: DataFrame,
+    as_of: DataFrame,
+    dense: DataFrame,
+    lookback_days: int = 5,
+    universe: DataFrame | None = None,
 ) -> DataFrame:
     """Cache rows per (as_of, ticker): latest price, reference closes, change, performance.
 
     The look-back days are added to the reference dates as one more label, so latest bar and
-    reference closes come out of the same join and the same aggregate.
+    reference closes come out of the same join and the same aggregate. ``universe`` limits the
+    work to tracked tickers, after the bars have been cut to the wanted dates.
     """
     hits = _with_recent(bars, as_of, dense, lookback_days)
+    if universe is not None:
+        hits = restrict(hits, universe)
     rows = hits.groupBy("as_of", "ticker").agg(*_newest(), *_closes())
     out = _ordered(performance(rows), "as_of")
     return out.where(F.coalesce("price", "prevClose", *REF_COLUMNS).isNotNull())
 
 
 def seed_rows(
-    bars: DataFrame, as_of: DataFrame, dense: DataFrame, lookback_days: int = 10
+    bars: DataFrame,
+    as_of: DataFrame,
+    dense: DataFrame,
+    lookback_days: int = 10,
+    universe: DataFrame | None = None,
 ) -> DataFrame:
     """Cache rows for newly added tickers: as ``close_of_day``, but the previous close is the
     second-latest bar of the look-back window, whatever its date; zero counts as missing.
@@ -48,18 +60,24 @@ def seed_rows(
     The collected list holds the bars of the look-back window only, so at most eleven.
     """
     hits = _with_recent(bars, as_of, dense, lookback_days)
-    recent = F.collect_list(F.when(_is_recent(), F.struct("ref_date", "close")))
-    second = F.try_element_at(F.sort_array(recent), F.lit(-2)).getField("close")
-    rows = hits.groupBy("as_of", "ticker").agg(
-        *_newest(), *_closes(), F.nullif(second, F.lit(0.0)).alias("_second")
-    )
+    if universe is not None:
+        hits = restrict(hits, universe)
+    recent = f"collect_list(case when label = '{RECENT}' then struct(ref_date, close) end)"
+    second = F.expr(f"nullif(try_element_at(sort_array({recent}), -2).close, 0D) as _second")
+    rows = hits.groupBy("as_of", "ticker").agg(*_newest(), *_closes(), second)
     rows = rows.where("price is not null").withColumn("prevClose", F.col("_second"))
     return _ordered(performance(rows), "as_of")
 
 
 def performance(rows: DataFrame) -> DataFrame:
     """Adds change, changePct and the seven performance columns from price, prevClose, ref*."""
-    return _with_perf(_with_change(rows))
+    return rows.withColumns(
+        {
+            "change": change("price", "prevClose"),
+            "changePct": change_pct("price", "prevClose"),
+            **{perf: change_pct("price", ref) for ref, perf in HORIZONS.values()},
+        }
+    )
 
 
 def _with_recent(bars: DataFrame, as_of: DataFrame, dense: DataFrame, days: int) -> DataFrame:
@@ -84,42 +102,24 @@ def _on_dates(bars: DataFrame, dates: DataFrame) -> DataFrame:
     day_type = bars.schema["date"].dataType
     dates = dates.withColumn("date", F.col("ref_date").cast(day_type))
     wanted = bars.join(F.broadcast(dates.select("date")), "date", "left_semi")
-    return wanted.select(
+    return wanted.selectExpr(
         "ticker",
         "date",
         "close",
-        F.coalesce(F.col("volume").cast("bigint"), F.lit(0)).alias("bar_volume"),
-        F.coalesce("timestamp_ms", F.lit(0)).alias("timestamp_ms"),
+        "coalesce(cast(volume as bigint), 0) as bar_volume",
+        "coalesce(timestamp_ms, 0) as timestamp_ms",
     ).join(F.broadcast(dates), "date")
 
 
-def _is_recent() -> Column:
-    return F.col("label") == RECENT
-
-
 def _newest() -> list[Column]:
-    day = F.when(_is_recent(), F.col("ref_date"))
-    return [
-        F.max_by("close", day).alias("price"),
-        F.max_by("bar_volume", day).alias("volume"),
-        F.max_by("timestamp_ms", day).alias("timestamp"),
-    ]
+    day = f"case when label = '{RECENT}' then ref_date end"
+    fields = {"price": "close", "volume": "bar_volume", "timestamp": "timestamp_ms"}
+    return [F.expr(f"max_by({source}, {day}) as {name}") for name, source in fields.items()]
 
 
 def _closes() -> list[Column]:
     names = {"prev": "prevClose", **{label: ref for label, (ref, _) in HORIZONS.items()}}
-    return [F.max(F.when(F.col("label") == k, F.col("close"))).alias(v) for k, v in names.items()]
-
-
-def _with_change(rows: DataFrame) -> DataFrame:
-    price, prev = F.col("price"), F.col("prevClose")
-    return rows.withColumns({"change": change(price, prev), "changePct": change_pct(price, prev)})
-
-
-def _with_perf(rows: DataFrame) -> DataFrame:
-    return rows.withColumns(
-        {perf: change_pct(F.col("price"), F.col(ref)) for ref, perf in HORIZONS.values()}
-    )
+    return [F.expr(f"max(case when label = '{k}' then close end) as {v}") for k, v in names.items()]
 
 
 def _ordered(rows: DataFrame, *keys: str) -> DataFrame:

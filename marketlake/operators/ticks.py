@@ -13,6 +13,12 @@ from marketlake.functions.performance import change, change_pct, first_nonzero
 from marketlake.functions.symbols import display_ticker
 from marketlake.schemas import DEMO_TICKERS, HORIZONS, PERF_COLUMNS, REF_COLUMNS
 
+ZERO_DEFAULTS = [
+    "coalesce(change, 0D) as change",
+    "coalesce(changePct, 0D) as changePct",
+    "coalesce(volume, 0) as volume",
+    "coalesce(timestamp, 0) as timestamp",
+]
 TICK_COLUMNS = ["ticker", "price", "open", "change", "changePct", "timestamp", "volume", "node"]
 
 
@@ -20,18 +26,15 @@ def normalize_ticks(messages: DataFrame, node: str = "spark") -> DataFrame:
     """Raw aggregate messages -> ticks. Messages without symbol or close are dropped; an open
     of zero counts as missing; change is against the open until a previous close is known."""
     usable = messages.where("symbol is not null and close is not null")
-    close = F.col("close")
-    open_ = first_nonzero(F.col("official_open_price"), F.col("open"), close)
-    ticks = usable.withColumn("_open", open_)
-    diff = close - F.col("_open")
+    ticks = usable.withColumn("_open", first_nonzero("official_open_price", "open", "close"))
     return ticks.select(
         display_ticker(F.col("symbol")).alias("ticker"),
-        close.alias("price"),
+        F.col("close").alias("price"),
         F.col("_open").alias("open"),
-        diff.alias("change"),
-        F.coalesce(F.try_divide(diff, "_open") * 100, F.lit(0.0)).alias("changePct"),
-        F.coalesce("end_timestamp", F.lit(0)).alias("timestamp"),
-        F.coalesce("accumulated_volume", F.lit(0)).alias("volume"),
+        F.expr("close - _open as change"),
+        F.expr("coalesce(try_divide(close - _open, _open) * 100, 0D) as changePct"),
+        F.expr("coalesce(end_timestamp, 0) as timestamp"),
+        F.expr("coalesce(accumulated_volume, 0) as volume"),
         F.lit(node).alias("node"),
         "seq",
     )
@@ -45,13 +48,13 @@ def enrich(ticks: DataFrame, cache: DataFrame) -> DataFrame:
     below its threshold; above, it sort-merges and AQE splits a hot ticker's rows.
     """
     side = cache.select("ticker", "prevClose", *REF_COLUMNS)
-    joined = ticks.join(side, "ticker", "left")
-    price, prev = F.col("price"), F.col("prevClose")
-    out = joined.withColumns(
+    known = F.col("prevClose").isNotNull()
+    pct = change_pct("price", "prevClose")
+    out = ticks.join(side, "ticker", "left").withColumns(
         {
-            "change": F.when(prev.isNotNull(), change(price, prev)).otherwise(F.col("change")),
-            "changePct": F.when(prev.isNotNull(), change_pct(price, prev)).otherwise(F.col("changePct")),
-            **{perf: change_pct(price, F.col(ref)) for ref, perf in HORIZONS.values()},
+            "change": F.when(known, change("price", "prevClose")).otherwise(F.col("change")),
+            "changePct": F.when(known, pct).otherwise(F.col("changePct")),
+            **{perf: change_pct("price", ref) for ref, perf in HORIZONS.values()},
         }
     )
     return out.select(*ticks.columns, "prevClose", *PERF_COLUMNS)
@@ -66,10 +69,7 @@ def latest_tick(ticks: DataFrame) -> DataFrame:
 
 def cache_fields(ticks: DataFrame) -> DataFrame:
     """What a live tick writes to the cache; it never writes prevClose or reference closes."""
-    zero = {"change": 0.0, "changePct": 0.0, "volume": 0, "timestamp": 0}
-    return ticks.select(
-        "ticker", "price", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in zero.items()], *PERF_COLUMNS
-    )
+    return ticks.selectExpr("ticker", "price", *ZERO_DEFAULTS, *PERF_COLUMNS)
 
 
 def merge_cache(cache: DataFrame, updates: DataFrame) -> DataFrame:
@@ -78,11 +78,12 @@ def merge_cache(cache: DataFrame, updates: DataFrame) -> DataFrame:
     Both sides hold one row per ticker, so the join keys cannot be skewed.
     """
     fields = [c for c in cache.columns if c != "ticker"]
-    new = updates.select("ticker", *[F.col(c).alias(f"_{c}") for c in fields if c in updates.columns])
-    joined = cache.join(new, "ticker", "full_outer")
-    return joined.select(
-        "ticker",
-        *[(F.coalesce(f"_{c}", c) if c in updates.columns else F.col(c)).alias(c) for c in fields],
+    shared = [c for c in fields if c in updates.columns]
+    joined = cache.join(
+        updates.selectExpr("ticker", *[f"{c} as _{c}" for c in shared]), "ticker", "full_outer"
+    )
+    return joined.selectExpr(
+        "ticker", *[f"coalesce(_{c}, {c}) as {c}" if c in shared else c for c in fields]
     )
 
 
@@ -90,14 +91,7 @@ def cached_ticks(cache: DataFrame, positive_only: bool = False) -> DataFrame:
     """Readable ticks of the cache: rows without a price are left out, four fields default to
     zero. ``positive_only`` keeps those with a price above zero (the warm-start set)."""
     usable = cache.where("price > 0" if positive_only else "price is not null")
-    zero = {"change": 0.0, "changePct": 0.0, "volume": 0, "timestamp": 0}
-    return usable.select(
-        "ticker",
-        "price",
-        *[F.coalesce(c, F.lit(v)).alias(c) for c, v in zero.items()],
-        "prevClose",
-        *PERF_COLUMNS,
-    )
+    return usable.selectExpr("ticker", "price", *ZERO_DEFAULTS, "prevClose", *PERF_COLUMNS)
 
 
 def allowed_feed(ticks: DataFrame, allowed: DataFrame) -> DataFrame:

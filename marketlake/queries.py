@@ -58,9 +58,10 @@ def _silver(spark: SparkSession, sf: str, kind: str = "narrow") -> DataFrame:
 
 
 def _last_date(spark: SparkSession, sf: str) -> DataFrame:
-    """The newest date of the history: one row (as_of)."""
+    """The newest date of the history as a one-row table, as a nightly job gets its date."""
     lineitem = feeds.table(spark, sf, "lineitem")
-    return lineitem.agg(F.to_date(F.max("l_shipdate")).alias("as_of"))
+    newest = lineitem.agg(F.to_date(F.max("l_shipdate"))).first()[0]
+    return spark.range(1).select(F.lit(newest).alias("as_of"))
 
 
 def _all_dates(spark: SparkSession, sf: str) -> DataFrame:
@@ -227,8 +228,8 @@ def close_of_day_cache(spark: SparkSession, sf: str) -> DataFrame:
     lineitem, orders, part = _facts(spark, sf)
     watch = feeds.user_tickers(lineitem, orders, part)
     universe = U.tracked_universe(watch, feeds.positions(lineitem, orders, part))
-    bars = U.restrict(_history(spark, sf), universe)
-    return R.close_of_day(bars, _last_date(spark, sf), dense).drop("as_of")
+    rows = R.close_of_day(_history(spark, sf), _last_date(spark, sf), dense, universe=universe)
+    return rows.drop("as_of")
 
 
 @query

@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # no call-site capture per column: plans with many columns are built faster
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
