@@ -72,18 +72,23 @@ def cache_fields(ticks: DataFrame) -> DataFrame:
     return ticks.selectExpr("ticker", "price", *ZERO_DEFAULTS, *PERF_COLUMNS)
 
 
-def merge_cache(cache: DataFrame, updates: DataFrame) -> DataFrame:
+def merge_cache(cache: DataFrame, updates: DataFrame, only_newer: bool = False) -> DataFrame:
     """Field-wise merge: a null in ``updates`` (or a column it lacks) keeps the cached value.
 
-    Both sides hold one row per ticker, so the join keys cannot be skewed.
+    ``only_newer`` ignores an update whose timestamp is older than the cached one, so that the
+    order in which files of a stream arrive does not matter. Both sides hold one row per
+    ticker, so the join keys cannot be skewed.
     """
     fields = [c for c in cache.columns if c != "ticker"]
     shared = [c for c in fields if c in updates.columns]
     joined = cache.join(
         updates.selectExpr("ticker", *[f"{c} as _{c}" for c in shared]), "ticker", "full_outer"
     )
+    take = "coalesce(_{0}, {0})"
+    if only_newer:
+        take = "case when _timestamp < timestamp then {0} else coalesce(_{0}, {0}) end"
     return joined.selectExpr(
-        "ticker", *[f"coalesce(_{c}, {c}) as {c}" if c in shared else c for c in fields]
+        "ticker", *[f"{take.format(c)} as {c}" if c in shared else c for c in fields]
     )
 
 

@@ -500,3 +500,26 @@ where day between lo and hi and day not in (select d from b)""",
     """b as (select distinct cast(l_shipdate as date) as d from lineitem
   where l_returnflag = 'R' and l_quantity >= 49)""",
 )
+
+# --- lakehouse files and streams --------------------------------------------------------------
+
+ORACLE["csv_to_bronze"] = sql(
+    """select ticker, volume, open, close, high, low, window_start, transactions, '' as otc, date
+from silver""",
+    minute("narrow"),
+)
+ORACLE["silver_overwrite"] = ORACLE["silver_bars"]
+ORACLE["load_report"] = sql(
+    """select date, count(*) as rows, count(*) filter (volume = 99 and close > 150) as bad_rows,
+  case when bool_or(volume = 99 and close > 150) then 'failed' else 'ok' end as status
+from silver group by date""",
+    minute("wide"),
+)
+ORACLE["stream_cache"] = ORACLE["cache_merge"]
+ORACLE["stream_deltas"] = sql(
+    "select ticker, 'tick' as type, price, change, perf5d from enriched",
+    HISTORY,
+    QUOTES,
+    ticks("brand"),
+    ENRICHED,
+)

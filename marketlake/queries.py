@@ -18,10 +18,14 @@ from marketlake.operators import quality as Q
 from marketlake.operators import reference as R
 from marketlake.operators import ticks as K
 from marketlake.operators import universe as U
-from marketlake.session import staged
-from marketlake.sources import feeds
+from marketlake.plans.lakehouse import Lake, load_files, refresh_silver
+from marketlake.session import scratch_path, staged
+from marketlake.sources import feeds, lake
+from marketlake.sources import raw_files as raw
+from marketlake.sources.cache import CacheTable
 from marketlake.sources.calendar import rule_calendar
 from marketlake.sources.lake import to_silver
+from marketlake.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -427,3 +431,76 @@ def missing_sessions(spark: SparkSession, sf: str) -> DataFrame:
     lineitem = feeds.table(spark, sf, "lineitem").where("l_returnflag = 'R' and l_quantity >= 49")
     bars = lineitem.select(F.to_date("l_shipdate").alias("date"))
     return Q.missing_sessions(bars, _calendar(spark, "history"))
+
+
+# --- lakehouse files --------------------------------------------------------------------------
+
+
+def _export(spark: SparkSession, bars: DataFrame) -> list[str]:
+    """Bars written out as gzip CSV day files: their paths."""
+    root = scratch_path(spark, "day-files")
+    raw.write_day_files(bars, root)
+    return raw.list_files(spark, raw.exported_globs(root))
+
+
+@query
+def csv_to_bronze(spark: SparkSession, sf: str) -> DataFrame:
+    """Day files -> staged -> bronze, loaded twice: the second load must change nothing."""
+    paths = _export(spark, feeds.event_bars(_events(spark, sf)))
+    tables = Lake(scratch_path(spark, "lake"))
+    load_files(spark, paths, tables)
+    load_files(spark, paths, tables)
+    return lake.read_bronze(spark, tables.path("bronze"))
+
+
+@query
+def silver_overwrite(spark: SparkSession, sf: str) -> DataFrame:
+    """Bronze -> silver, then a refresh of one date: other partitions must stay."""
+    tables = Lake(scratch_path(spark, "lake"))
+    lake.write_bronze(feeds.event_bars(_events(spark, sf), "wide"), tables.path("bronze"))
+    refresh_silver(spark, tables)
+    refresh_silver(spark, tables, ["2024-01-16"])
+    silver = lake.read_silver(spark, tables.path("silver"))
+    return silver.select("ticker", "date", "window_start", "timestamp", "session", "close")
+
+
+@query
+def load_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Day files with unparsable closes: rows, bad rows and status of each date."""
+    bars = feeds.event_bars(_events(spark, sf), "wide")
+    broken = F.when((F.col("volume") == 99) & (F.col("close") > 150), "n.a.")
+    paths = _export(spark, bars.withColumn("close", F.coalesce(broken, F.col("close").cast("string"))))
+    return Q.load_report(raw.read_day_files(spark, paths))
+
+
+# --- streams ----------------------------------------------------------------------------------
+
+
+def _relay(spark: SparkSession, sf: str) -> tuple[CacheTable, str]:
+    """Runs all messages, as files, through the stream into a cache and a delta folder."""
+    root = scratch_path(spark, "live")
+    messages = feeds.messages(_events(spark, sf), "brand")
+    messages.repartitionByRange(4, "seq").write.json(f"{root}/messages")
+    cache = CacheTable(spark, f"{root}/cache")
+    cache.merge(_quotes(spark, sf))
+    ticks = K.normalize_ticks(live.json_source(spark, f"{root}/messages", files_per_batch=2))
+    emit = live.folder_emitter(f"{root}/out")
+    live.start_relay(ticks, cache, emit, f"{root}/checkpoint").awaitTermination()
+    return cache, f"{root}/out"
+
+
+@query
+def stream_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """The cache after the stream: equal to the batch merge."""
+    return _relay(spark, sf)[0].read()
+
+
+@query
+def stream_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    """The delta messages of the stream, parsed back."""
+    _, out = _relay(spark, sf)
+    records = spark.read.schema("key string, value string").json(f"{out}/ticks")
+    body = F.from_json("value", "type string, tick struct<price double, change double, perf5d double>")
+    return records.select(F.col("key").alias("ticker"), body.alias("b")).select(
+        "ticker", "b.type", "b.tick.price", "b.tick.change", "b.tick.perf5d"
+    )

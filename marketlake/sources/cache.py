@@ -2,8 +2,8 @@
 
 Plain Parquet has no in-place merge, and a path must not be overwritten while it is read. Each
 merge therefore writes a new version folder and then appends its number to a small commit
-table; readers take the newest committed version. Re-running a merge with the same version
-number gives the same result, which makes a streaming batch safe to repeat.
+table; readers take the newest committed version. A merge that is repeated after a failure
+writes the same values again. One job at a time may write a cache.
 """
 
 from __future__ import annotations
@@ -23,34 +23,26 @@ class CacheTable:
         self.spark = spark
         self.path = path.rstrip("/")
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """The newest committed version, or the newest one below ``before``; empty at first."""
-        version = self._newest(before)
+    def read(self) -> DataFrame:
+        """The newest committed version; no rows before the first merge."""
+        version = self.version()
         if version is None:
             return self.spark.createDataFrame([], CACHE)
         return self.spark.read.schema(CACHE).parquet(f"{self.path}/data/{version}")
 
-    def merge(self, updates: DataFrame, version: int | None = None) -> int:
-        """Merges one row per ticker into the table and returns the version written.
-
-        ``version`` is given by callers that may repeat a merge (the batch id of a stream);
-        without it the next free number is taken.
-        """
-        newest = self._newest()
-        if version is None:
-            version = 0 if newest is None else newest + 1
-        merged = merge_cache(self.read(before=version), updates)
+    def merge(self, updates: DataFrame, only_newer: bool = False) -> int:
+        """Merges one row per ticker into the table and returns the version written."""
+        newest = self.version()
+        version = 0 if newest is None else newest + 1
+        merged = merge_cache(self.read(), updates, only_newer)
         merged.write.mode("overwrite").parquet(f"{self.path}/data/{version}")
-        self.spark.createDataFrame([(version,)], COMMITS).write.mode("append").json(
-            f"{self.path}/commits"
-        )
+        commit = self.spark.range(1).select(F.lit(version).cast("bigint").alias("version"))
+        commit.coalesce(1).write.mode("append").json(f"{self.path}/commits")
         return version
 
-    def _newest(self, before: int | None = None) -> int | None:
+    def version(self) -> int | None:
         try:
             commits = self.spark.read.schema(COMMITS).json(f"{self.path}/commits")
         except AnalysisException:  # nothing committed yet
             return None
-        if before is not None:
-            commits = commits.where(F.col("version") < before)
         return commits.agg(F.max("version")).first()[0]

@@ -42,6 +42,11 @@ def write_bronze(bars: DataFrame, path: str) -> None:
     _overwrite_partitions(rows, path, ["date"], ["ticker", "window_start"])
 
 
+def write_quarantine(rows: DataFrame, path: str) -> None:
+    """Unparsable rows (date, raw JSON); a date is replaced when it is loaded again."""
+    _overwrite_partitions(rows, path, ["date"], [])
+
+
 def read_bronze(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BRONZE).parquet(path)
 

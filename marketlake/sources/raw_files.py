@@ -7,6 +7,7 @@ read with its own header as schema, and columns are then taken by name.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
@@ -20,7 +21,8 @@ from marketlake.schemas import BRONZE, RAW_COLUMNS
 
 # File suffix and the spellings of a missing number.
 SUFFIX = ".csv.gz"
-DATE_IN_NAME = r"([^/]+)\.csv\.gz$"
+# the date is the file name, or the folder of a day that was written as several files
+DATE_IN_NAME = r"(\d{4}-\d{2}-\d{2})(?:/[^/]+)?\.csv\.gz$"
 NULL_NUMBERS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "N/A", "NA", "NULL", "NaN", "n/a", "nan", "null",
@@ -32,12 +34,24 @@ def day_file_globs(root: str, year: int, months: Iterable[int]) -> list[str]:
     return [f"{root.rstrip('/')}/{year}/{month:02d}/*{SUFFIX}" for month in months]
 
 
+def exported_globs(root: str) -> list[str]:
+    """The same for a root written by ``write_day_files``."""
+    return [f"{root.rstrip('/')}/*/*/*/*{SUFFIX}"]
+
+
 def list_files(spark: SparkSession, globs: list[str]) -> list[str]:
     """Sorted paths behind the patterns: names only, no content is read."""
     files = spark.read.format("binaryFile").load(globs).select("path")
     return sorted(row.path for row in files.collect())
 
 
+def date_of(path: str) -> str:
+    match = re.search(DATE_IN_NAME, path)
+    if match is None:
+        raise ValueError(f"no date in the name of {path}")
+    return match.group(1)
+
+
 def header_groups(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
     """Paths by header. Each header look-up reads the first line of one file only."""
 
@@ -79,7 +93,8 @@ def align(table: DataFrame, date: Column) -> DataFrame:
 
 
 def write_day_files(bars: DataFrame, root: str) -> None:
-    """Writes bars as gzip CSV under ``{root}/{year}/{MM}/date=...`` (test and export helper)."""
+    """Exports bars as gzip CSV in ``{root}/{year}/{MM}``-like folders, one folder per day; a
+    large day becomes several files."""
     (
         bars.hint("rebalance", "date")
         .withColumns({"year": F.substring("date", 1, 4), "month": F.substring("date", 6, 2)})
