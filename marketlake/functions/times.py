@@ -14,8 +14,13 @@ EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
 def epoch_micros(utc: Column) -> Column:
-    """UTC wall time (NTZ) -> microseconds since the epoch."""
-    return F.timestamp_diff("MICROSECOND", F.expr(EPOCH), utc)
+    """UTC wall time (NTZ) -> microseconds since the epoch.
+
+    Subtraction of two NTZ values is free of zones; ``timestamp_diff`` would cast both through
+    the session zone and be an hour off around that zone's clock changes.
+    """
+    seconds = (utc - F.expr(EPOCH)).cast("interval second").cast("decimal(18,6)")
+    return (seconds * 1_000_000).cast("bigint")
 
 
 def wall_time(micros: Column) -> Column:
@@ -48,7 +53,7 @@ def ny_epoch_seconds(day: Column, minute: Column) -> Column:
     """Unix seconds of a New York wall-clock minute on ``day``."""
     wall = F.timestamp_add("MINUTE", minute, day.cast("timestamp_ntz"))
     utc = F.convert_timezone(F.lit(NEW_YORK), F.lit("UTC"), wall)
-    return F.timestamp_diff("SECOND", F.expr(EPOCH), utc)
+    return F.call_function("div", epoch_micros(utc), F.lit(1_000_000))
 
 
 def minute_of_day(wall: Column) -> Column:

@@ -83,9 +83,7 @@ def history_bars(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     Line keys are not unique, hence the full ordering struct ending in the price.
     """
     rank = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price")
-    midnight = F.timestamp_diff(
-        "SECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col("date").cast("timestamp_ntz")
-    )
+    midnight = F.unix_date("date").cast("bigint") * 86_400_000
     return (
         order_lines(lineitem, part)
         .groupBy("ticker", "date")
@@ -97,7 +95,7 @@ def history_bars(lineitem: DataFrame, part: DataFrame) -> DataFrame:
             F.sum("shares").alias("volume"),
             F.count(F.lit(1)).alias("transactions"),
         )
-        .withColumn("timestamp_ms", midnight * 1000)
+        .withColumn("timestamp_ms", midnight)
     )
 
 

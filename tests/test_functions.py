@@ -1,0 +1,110 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from marketlake.functions import symbols
+from marketlake.functions.sessions import bar_session, with_timestamp
+from marketlake.functions.times import ny_epoch_seconds, ny_from_utc
+from marketlake.operators.reference import performance
+from marketlake.operators.ticks import normalize_ticks
+from marketlake.schemas import CACHE, MESSAGE
+
+
+@pytest.fixture(params=["UTC", "America/Los_Angeles", "Asia/Tokyo"])
+def zone(spark, request):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def one(df):
+    return df.first()[0]
+
+
+def test_window_start_to_new_york_in_any_session_zone(spark, zone):
+    cases = {
+        1704119400000000000: dt.datetime(2024, 1, 1, 9, 30),
+        1710163800000000000: dt.datetime(2024, 3, 11, 9, 30),  # after the spring change
+        1730626200000000000: dt.datetime(2024, 11, 3, 4, 30),  # hour repeated in the west
+        1704119400123456789: dt.datetime(2024, 1, 1, 9, 30, 0, 123456),
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "window_start bigint")
+    got = {r.window_start: r.timestamp for r in with_timestamp(df).collect()}
+    assert got == cases
+
+
+def test_utc_to_new_york_over_both_clock_changes(spark, zone):
+    import zoneinfo
+
+    ny = zoneinfo.ZoneInfo("America/New_York")
+    start = dt.datetime(2024, 3, 9)
+    stamps = [start + dt.timedelta(minutes=30 * i) for i in range(200)]
+    stamps += [dt.datetime(2024, 11, 2) + dt.timedelta(minutes=30 * i) for i in range(200)]
+    df = spark.createDataFrame([(s,) for s in stamps], "ts timestamp_ntz")
+    got = {r.ts: r.ny for r in df.select("ts", ny_from_utc(F.col("ts")).alias("ny")).collect()}
+    for s in stamps:
+        assert got[s] == s.replace(tzinfo=dt.UTC).astimezone(ny).replace(tzinfo=None)
+
+
+def test_wall_clock_to_unix_seconds(spark, zone):
+    df = spark.createDataFrame([(dt.date(2024, 1, 16),), (dt.date(2024, 7, 16),)], "d date")
+    got = [r[0] for r in df.select(ny_epoch_seconds(F.col("d"), F.lit(240))).collect()]
+    assert got == [1705395600, 1721116800]
+
+
+def test_session_bounds(spark):
+    cases = {
+        "03:59": "closed", "04:00": "pre_market", "09:29": "pre_market", "09:30": "market",
+        "15:59": "market", "16:00": "post_market", "19:59": "post_market", "20:00": "closed",
+    }
+    rows = [(k, dt.datetime.fromisoformat(f"2024-01-06T{k}:00")) for k in cases]  # a Saturday
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz")
+    assert {r.k: r.s for r in df.select("k", bar_session(F.col("ts")).alias("s")).collect()} == cases
+
+
+def test_symbols(spark):
+    df = spark.createDataFrame([(" aapl ",), ("A.msft",), ("a.A.x",), ("TOOLONG",), ("",), (None,)], "t string")
+    got = df.select(
+        symbols.feed_symbol(F.col("t")), symbols.display_ticker(F.col("t")), symbols.is_valid_ticker(F.col("t"))
+    ).collect()
+    assert [tuple(r) for r in got] == [
+        ("A.AAPL", " aapl ", True),
+        ("A.MSFT", "msft", False),
+        ("A.A.X", "a.A.x", False),
+        ("A.TOOLONG", "TOOLONG", False),
+        ("A.", "", False),
+        (None, None, False),
+    ]
+
+
+def test_normalize_open_rules(spark):
+    rows = [
+        ("A.X", 10.0, 8.0, 0.0, 5, 7, 1),
+        ("A.Z", 0.0, None, None, None, None, 2),
+        ("A.O", 10.0, 8.0, 5.0, 5, 7, 3),
+        ("A.C", 10.0, None, None, 5, 7, 4),
+        (None, 10.0, 1.0, 1.0, 5, 7, 5),
+        ("A.N", None, 1.0, 1.0, 5, 7, 6),
+    ]
+    got = {r.ticker: r for r in normalize_ticks(spark.createDataFrame(rows, MESSAGE)).collect()}
+    assert set(got) == {"X", "Z", "O", "C"}
+    assert (got["X"].open, got["X"].change, got["X"].changePct) == (8.0, 2.0, 25.0)
+    assert (got["Z"].open, got["Z"].changePct, got["Z"].timestamp, got["Z"].volume) == (0.0, 0.0, 0, 0)
+    assert (got["O"].open, got["O"].changePct) == (5.0, 100.0)
+    assert (got["C"].open, got["C"].change) == (10.0, 0.0)
+
+
+def test_change_and_performance(spark):
+    base = dict.fromkeys(CACHE.fieldNames())
+    rows = [
+        {**base, "ticker": "A", "price": 224.37, "prevClose": 222.80, "ref5d": 200.0},
+        {**base, "ticker": "B", "price": 10.0, "prevClose": 0.0, "ref5d": 0.0},
+        {**base, "ticker": "C", "prevClose": 5.0},
+    ]
+    got = {r.ticker: r for r in performance(spark.createDataFrame(rows, CACHE)).collect()}
+    assert (got["A"].change, got["A"].changePct, got["A"].perf5d) == (1.57, 0.7047, 12.185)
+    assert got["A"].perf1m is None
+    assert (got["B"].change, got["B"].changePct, got["B"].perf5d) == (10.0, None, None)
+    assert got["C"].change is None
