@@ -120,6 +120,7 @@ def ingest_new_files(
 
     files = (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.csv.gz")
         .option("maxFilesPerTrigger", files_per_run)
