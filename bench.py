@@ -41,6 +41,9 @@ HEADLINE = [
     "apply_watchlist_changes",
     "apply_position_changes",
     "missing_sessions",
+    "csv_to_bronze",
+    "silver_overwrite",
+    "stream_cache",
 ]
 
 

@@ -1,9 +1,12 @@
 """Staged, bronze and silver tables as partitioned Parquet.
 
-Writes rebalance on the partition date: AQE then cuts a large day into several files near the
-advisory size and puts small days together, so neither one huge day nor thousands of tiny
-files come out. Rows are sorted by ticker inside a file, which lets Parquet min/max statistics
-skip row groups for a ticker filter.
+Only bronze is shuffled when it is written. It is rebalanced on its date: AQE cuts a large day
+into several files near the advisory size and puts small days together, so neither one huge
+file nor thousands of tiny ones come out. Rows are sorted by ticker inside a file, which lets
+Parquet min/max statistics skip row groups for a ticker filter.
+
+Staged files come from day files that hold one date each, and silver is bronze with two more
+columns: in both cases the input is already split by date, and tasks write what they read.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ def read_staged(spark: SparkSession, path: str) -> DataFrame:
 def write_bronze(bars: DataFrame, path: str) -> None:
     """Loads bars into bronze, partitioned by date only. A date in ``bars`` replaces that date
     in the table, so loading a day twice does not duplicate it."""
-    rows = bars.select(*BRONZE.fieldNames())
+    rows = bars.select(*BRONZE.fieldNames()).hint("rebalance", "date")
     _overwrite_partitions(rows, path, ["date"], ["ticker", "window_start"])
 
 
@@ -62,9 +65,12 @@ def write_silver(bronze: DataFrame, path: str, by_ticker: bool = False) -> None:
     Partitioned by date; ``by_ticker`` adds ticker as a second partition column, which makes
     one file per ticker and day and pays off only for few tickers.
     """
-    keys = ["date", "ticker"] if by_ticker else ["date"]
-    order = ["window_start"] if by_ticker else ["ticker", "window_start"]
-    _overwrite_partitions(to_silver(bronze), path, keys, order)
+    silver = to_silver(bronze)
+    if by_ticker:
+        keys = ["date", "ticker"]
+        _overwrite_partitions(silver.hint("rebalance", *keys), path, keys, ["window_start"])
+    else:
+        _overwrite_partitions(silver, path, ["date"], ["ticker", "window_start"])
 
 
 def read_silver(spark: SparkSession, path: str) -> DataFrame:
@@ -73,8 +79,7 @@ def read_silver(spark: SparkSession, path: str) -> DataFrame:
 
 def _overwrite_partitions(rows: DataFrame, path: str, keys: list[str], order: list[str]) -> None:
     (
-        rows.hint("rebalance", *keys)
-        .sortWithinPartitions(*keys, *order)
+        rows.sortWithinPartitions(*keys, *order)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
