@@ -58,6 +58,8 @@ def main() -> None:
             "spark.master": f"local[{cpus}]",
             "spark.sql.shuffle.partitions": os.environ.get("BENCH_SHUFFLE", "8"),
             "spark.driver.memory": "8g",
+            # tiny shuffles on one machine: keep a partition per core instead of merging to 1 MB
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },

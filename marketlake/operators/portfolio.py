@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from marketlake.functions.symbols import cleaned_ticker, is_valid_ticker
 from marketlake.schemas import PERF_COLUMNS
 
-MONEY = "decimal(38,6)"
 WATCH_COLUMNS = ["price", "change", "changePct", "volume", "prevClose", *PERF_COLUMNS]
 
 
@@ -74,18 +73,15 @@ def positions_report(positions: DataFrame, users: DataFrame, ticks: DataFrame) -
 
 
 def portfolio_totals(report: DataFrame) -> DataFrame:
-    """Value, profit and cost per user. Sums are decimal: a double sum would depend on the
+    """Value, profit and cost per user, exact to a millionth: a double sum would depend on the
     order in which tasks finish."""
-    value = F.coalesce("marketValue", "totalCost")
     sums = report.groupBy("username").agg(
-        _money_sum(value).alias("totalValue"),
-        _money_sum(F.coalesce("pl", F.lit(0.0))).alias("totalPl"),
-        _money_sum(F.col("totalCost")).alias("grandCost"),
+        _money_sum("coalesce(marketValue, totalCost)").alias("totalValue"),
+        _money_sum("coalesce(pl, 0D)").alias("totalPl"),
+        _money_sum("totalCost").alias("grandCost"),
     )
-    pct = F.when(
-        F.col("grandCost") > 0, F.try_divide("totalPl", "grandCost") * 100
-    ).otherwise(0.0)
-    return sums.withColumn("totalPlPct", pct)
+    pct = "case when grandCost > 0 then try_divide(totalPl, grandCost) * 100 else 0D end"
+    return sums.selectExpr("*", f"{pct} as totalPlPct")
 
 
 def position_inputs(entries: DataFrame) -> DataFrame:
@@ -113,8 +109,12 @@ def ticker_inputs(entries: DataFrame) -> DataFrame:
     )
 
 
-def _money_sum(value: Column) -> Column:
-    return F.sum(value.cast("decimal(28,6)")).cast("double")
+def _money_sum(value: str) -> Column:
+    """Sums whole units and millionths apart, as two bigints: exact, free of overflow for any
+    real amount, and much cheaper per row than decimals."""
+    units = f"sum(floor({value}))"
+    micros = f"sum(cast(rint(({value} - floor({value})) * 1000000) as bigint))"
+    return F.expr(f"cast(cast({units} as decimal(25,0)) * 1000000 + {micros} as double) / 1000000")
 
 
 def _positive(name: str) -> Column:

@@ -25,10 +25,10 @@ def missing_sessions(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     Only ``date`` is read, and it is reduced to distinct dates before it meets the calendar.
     """
     loaded = bars.select(F.to_date("date").alias("date")).distinct()
-    span = loaded.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    first = loaded.select(F.min("date")).scalar()
+    last = loaded.select(F.max("date")).scalar()
     days = calendar.where("close_minute is not null").select("date")
-    within = days.join(F.broadcast(span), days["date"].between(F.col("lo"), F.col("hi")))
-    return within.join(loaded, "date", "left_anti").select("date")
+    return days.where(F.col("date").between(first, last)).join(loaded, "date", "left_anti")
 
 
 def compare_counts(expected: DataFrame, actual: DataFrame) -> DataFrame:

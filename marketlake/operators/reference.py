@@ -38,7 +38,7 @@ def close_of_day(
     reference closes come out of the same join and the same aggregate. ``universe`` limits the
     work to tracked tickers, after the bars have been cut to the wanted dates.
     """
-    hits = _with_recent(bars, as_of, dense, lookback_days)
+    hits = _on_dates(bars, wanted_dates(as_of, dense, lookback_days))
     if universe is not None:
         hits = restrict(hits, universe)
     rows = hits.groupBy("as_of", "ticker").agg(*_newest(), *_closes())
@@ -59,7 +59,7 @@ def seed_rows(
 
     The collected list holds the bars of the look-back window only, so at most eleven.
     """
-    hits = _with_recent(bars, as_of, dense, lookback_days)
+    hits = _on_dates(bars, wanted_dates(as_of, dense, lookback_days))
     if universe is not None:
         hits = restrict(hits, universe)
     recent = f"collect_list(case when label = '{RECENT}' then struct(ref_date, close) end)"
@@ -80,14 +80,15 @@ def performance(rows: DataFrame) -> DataFrame:
     )
 
 
-def _with_recent(bars: DataFrame, as_of: DataFrame, dense: DataFrame, days: int) -> DataFrame:
+def wanted_dates(as_of: DataFrame, dense: DataFrame, lookback_days: int) -> DataFrame:
+    """(as_of, label, ref_date): the reference dates and, as label ``recent``, the look-back."""
     dates = as_of.select("as_of").distinct()
     recent = dates.select(
         "as_of",
         F.lit(RECENT).alias("label"),
-        F.explode(F.sequence(F.date_sub("as_of", days), "as_of")).alias("ref_date"),
+        F.explode(F.sequence(F.date_sub("as_of", lookback_days), "as_of")).alias("ref_date"),
     )
-    return _on_dates(bars, reference_dates(dates, dense).unionByName(recent))
+    return reference_dates(dates, dense).unionByName(recent)
 
 
 def _on_dates(bars: DataFrame, dates: DataFrame) -> DataFrame:
@@ -96,8 +97,8 @@ def _on_dates(bars: DataFrame, dates: DataFrame) -> DataFrame:
     The dates side is bounded by the calendar (at most about two dozen rows per as_of day), so
     broadcasting it is safe at any data size. The semi join comes first because Catalyst moves
     it below the aggregate that made the bars, down to the scan: minute bars of other days are
-    dropped before they are grouped, or never read where ``date`` is a partition column. The
-    key keeps the type of that column for this reason.
+    dropped before they are grouped. The key keeps the type of the date column, so that it can
+    be a partition column.
     """
     day_type = bars.schema["date"].dataType
     dates = dates.withColumn("date", F.col("ref_date").cast(day_type))

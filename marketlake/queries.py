@@ -19,7 +19,7 @@ from marketlake.operators import reference as R
 from marketlake.operators import ticks as K
 from marketlake.operators import universe as U
 from marketlake.plans.lakehouse import Lake, load_files, refresh_silver
-from marketlake.session import scratch_path, staged
+from marketlake.session import one_day, scratch_path, staged
 from marketlake.sources import feeds, lake
 from marketlake.sources import raw_files as raw
 from marketlake.sources.cache import CacheTable
@@ -52,9 +52,16 @@ def _calendar(spark: SparkSession, which: str) -> DataFrame:
     return rule_calendar(spark, *feeds.CALENDAR_YEARS[which])
 
 
+_DENSE: dict[tuple[int, str], tuple[SparkSession, DataFrame]] = {}
+
+
 def _dense(spark: SparkSession, which: str) -> DataFrame:
-    """The dense calendar, kept in memory: a few thousand rows that most queries look up."""
-    return C.dense_calendar(_calendar(spark, which)).persist()
+    """The dense calendar, made once per session and kept in memory: a few thousand rows that
+    most queries look up."""
+    key = (id(spark), which)
+    if key not in _DENSE:
+        _DENSE[key] = (spark, C.dense_calendar(_calendar(spark, which)).persist())
+    return _DENSE[key][1]
 
 
 def _silver(spark: SparkSession, sf: str, kind: str = "narrow") -> DataFrame:
@@ -65,7 +72,7 @@ def _last_date(spark: SparkSession, sf: str) -> DataFrame:
     """The newest date of the history as a one-row table, as a nightly job gets its date."""
     lineitem = feeds.table(spark, sf, "lineitem")
     newest = lineitem.agg(F.to_date(F.max("l_shipdate"))).first()[0]
-    return spark.range(1).select(F.lit(newest).alias("as_of"))
+    return one_day(spark, newest)
 
 
 def _all_dates(spark: SparkSession, sf: str) -> DataFrame:

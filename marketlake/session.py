@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -45,6 +47,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def one_day(spark: SparkSession, day: dt.date) -> DataFrame:
+    """A one-row table (as_of), kept out of constant folding so that joins on it stay equi-joins."""
+    return spark.createDataFrame(pa.table({"as_of": pa.array([day], pa.date32())}))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
