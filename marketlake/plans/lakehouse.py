@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ from marketlake.sources.raw_files import (
     read_day_files,
 )
 
+log = logging.getLogger(__name__)
+
 MANIFEST = "date string, rows bigint, bad_rows bigint, status string"
 DAYS_PER_COMMIT = 50
 
@@ -43,12 +48,44 @@ def backfill(
 
 
 def load_files(spark: SparkSession, paths: list[str], tables: Lake) -> DataFrame:
-    """Stages day files, then commits their dates to bronze."""
+    """Stages day files, then commits their dates to bronze.
+
+    Files that cannot be read at all (broken compression, say) are reported as unreadable and
+    the others go on; if none can be read, the cause is not a file and the error is raised.
+    """
     if not paths:
         return spark.createDataFrame([], MANIFEST)
-    parsed = read_day_files(spark, paths)
-    lake.write_staged(parsed, tables.path("staged"))
-    return commit_staged(spark, tables, sorted({date_of(path) for path in paths}))
+    started = time.perf_counter()
+    unreadable = _stage(spark, paths, tables)
+    if len(unreadable) == len(paths):
+        raise next(iter(unreadable.values()))
+    for path, error in unreadable.items():
+        log.error("cannot read %s: %s", path, error)
+    report = commit_staged(spark, tables, sorted({date_of(p) for p in paths if p not in unreadable}))
+    if unreadable:
+        lost = spark.createDataFrame([(date_of(p), 0, 0, "unreadable") for p in unreadable], MANIFEST)
+        _record(spark, tables, lost.collect())
+        report = report.unionByName(lost)
+    rows = report.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    seconds = time.perf_counter() - started
+    log.info(
+        "%d files, %d unreadable, %d rows in %.1f s (%.0f rows/s)",
+        len(paths), len(unreadable), rows, seconds, rows / seconds,
+    )
+    return report
+
+
+def _stage(spark: SparkSession, paths: list[str], tables: Lake) -> dict[str, Exception]:
+    """Stages all files in one job. Only if that fails are the files halved to find the broken
+    ones, which are returned with their errors."""
+    try:
+        lake.write_staged(read_day_files(spark, paths), tables.path("staged"))
+        return {}
+    except (PySparkException, Py4JJavaError) as error:
+        if len(paths) == 1:
+            return {paths[0]: error}
+        half = len(paths) // 2
+        return _stage(spark, paths[:half], tables) | _stage(spark, paths[half:], tables)
 
 
 def commit_staged(

@@ -74,6 +74,32 @@ def test_backfill_reads_only_its_months_and_isolates_bad_files(spark, tmp_path,
     assert lake.read_bronze(spark, tables.path("bronze")).count() == 5
 
 
+def test_unreadable_files_are_reported_and_the_others_loaded(spark, tmp_path, tables):
+    root = f"{tmp_path}/raw"
+    files = [day_file(root, f"2024-01-0{d}", [line("A", float(d), NS)] * 500) for d in range(2, 7)]
+    with open(files[1], "rb") as whole:
+        content = whole.read()
+    with open(files[1], "wb") as cut:
+        cut.write(content[: len(content) // 2])
+    with open(files[3], "wb") as junk:
+        junk.write(b"this is not gzip")
+    report = {r.date: r.status for r in LH.load_files(spark, files, tables).collect()}
+    assert report == {
+        "2024-01-02": "ok", "2024-01-03": "unreadable", "2024-01-04": "ok",
+        "2024-01-05": "unreadable", "2024-01-06": "ok",
+    }
+    assert {d for _, d in closes(spark, tables)} == {"2024-01-02", "2024-01-04", "2024-01-06"}
+    assert LH.committed(spark, tables).where("status = 'unreadable'").count() == 2
+    with pytest.raises(Exception):
+        LH.load_files(spark, [files[3]], tables)
+
+
+def test_header_only_file(spark, tmp_path, tables):
+    files = [day_file(f"{tmp_path}/raw", "2024-01-02", []), day_file(f"{tmp_path}/raw", "2024-01-03", [line("A", 1.0, NS)])]
+    LH.load_files(spark, files, tables)
+    assert closes(spark, tables) == {("A", "2024-01-03"): 1.0}
+
+
 def test_many_days_are_committed_in_batches(spark, tmp_path, tables, monkeypatch):
     monkeypatch.setattr(LH, "DAYS_PER_COMMIT", 2)
     files = [day_file(f"{tmp_path}/raw", f"2024-01-0{d}", [line("A", float(d), NS)]) for d in range(2, 7)]
