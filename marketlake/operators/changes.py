@@ -89,30 +89,23 @@ def apply_position_changes(positions: DataFrame, changes: DataFrame) -> DataFram
         .join(positions.select("id"), "id", "left_anti")
     )
     alive = base.unionByName(added)
-    edits = changes.where(F.col("op").isin("update", "delete")).select(
-        F.col("position_id").alias("id"),
-        F.col("user_id").alias("_user"),
-        "seq",
-        (F.col("op") == "delete").alias("_delete"),
-        F.col("shares").alias("_shares"),
-        F.col("cost_basis").alias("_basis"),
-    )
-    update_seq = F.when(~F.col("_delete"), F.col("seq"))
-    effects = (
-        edits.join(alive.select("id", "user_id", "born_at"), "id")
-        .where("_user = user_id and seq > born_at")
-        .groupBy("id")
+    # reduced per position and user before the join: a position with very many edits costs one
+    # row per map task, and the last edit of its owner is all that counts
+    is_update = "case when op = 'update' then seq end"
+    edits = (
+        changes.where(F.col("op").isin("update", "delete"))
+        .groupBy(F.col("position_id").alias("id"), "user_id")
         .agg(
-            F.bool_or("_delete").alias("_gone"),
-            F.max(update_seq).alias("_updated"),
-            F.max_by("_shares", update_seq).alias("_shares"),
-            F.max_by("_basis", update_seq).alias("_basis"),
+            F.expr("max(case when op = 'delete' then seq end) as _deleted"),
+            F.expr(f"max({is_update}) as _updated"),
+            F.expr(f"max_by(shares, {is_update}) as _shares"),
+            F.expr(f"max_by(cost_basis, {is_update}) as _basis"),
         )
     )
-    updated = F.col("_updated").isNotNull()
+    updated = F.expr("_updated > born_at")
     return (
-        alive.join(effects, "id", "left")
-        .where("not coalesce(_gone, false)")
+        alive.join(edits, ["id", "user_id"], "left")
+        .where("_deleted is null or _deleted < born_at")
         .select(
             "id",
             "user_id",

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from marketlake.functions.sessions import with_session, with_timestamp
 from marketlake.schemas import BRONZE, SILVER
+from marketlake.sources.raw_files import align
 
 STAGED = T.StructType(
     BRONZE.fields
@@ -41,7 +42,7 @@ def read_staged(spark: SparkSession, path: str) -> DataFrame:
 def write_bronze(bars: DataFrame, path: str) -> None:
     """Loads bars into bronze, partitioned by date only. A date in ``bars`` replaces that date
     in the table, so loading a day twice does not duplicate it."""
-    rows = bars.select(*BRONZE.fieldNames()).hint("rebalance", "date")
+    rows = align(bars, F.col("date")).hint("rebalance", "date")
     _overwrite_partitions(rows, path, ["date"], ["ticker", "window_start"])
 
 
