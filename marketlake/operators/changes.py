@@ -7,7 +7,7 @@ and a key with very many changes needs no single task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["user_id", "ticker"]
@@ -28,40 +28,54 @@ def expand_watchlist_changes(changes: DataFrame) -> DataFrame:
     )
 
 
-def apply_watchlist_changes(user_tickers: DataFrame, changes: DataFrame) -> DataFrame:
+def apply_watchlist_changes(
+    user_tickers: DataFrame, changes: DataFrame, bucket_steps: int = 1 << 20
+) -> DataFrame:
     """Watchlists after add (insert if absent, at position 0), remove and reorder changes.
 
     A row's life starts with the base table, or with the first add after the last remove; its
-    sort order is that of the last reorder within that life.
+    sort order is that of the last reorder within that life. The first add after the last
+    remove is found per (key, range of steps) and then over the ranges, so that a key with very
+    many changes is spread over tasks.
     """
-    steps = expand_watchlist_changes(changes)
-    is_add, is_remove = F.col("op") == "add", F.col("op") == "remove"
-    removed = steps.where(is_remove).groupBy(*KEY).agg(F.max("step").alias("removed_at"))
-
-    born = (
-        steps.where(is_add)
-        .join(removed, KEY, "left")
-        .where("removed_at is null or step > removed_at")
-        .groupBy(*KEY)
-        .agg(F.min("step").alias("born_at"))
-    )
-    kept = user_tickers.join(removed.select(*KEY), KEY, "left_anti").select(
-        *KEY, "sort_order", F.lit(-1).cast("bigint").alias("born_at")
+    steps = expand_watchlist_changes(changes).withColumn(
+        "bucket", F.call_function("div", "step", F.lit(bucket_steps))
     )
-    # a row that was never removed keeps its base entry, whatever adds follow
-    alive = (
-        kept.unionByName(born.withColumn("sort_order", F.lit(0)))
-        .groupBy(*KEY)
-        .agg(F.min_by("sort_order", "born_at").alias("sort_order"), F.min("born_at").alias("born_at"))
+    in_bucket = Window.partitionBy(*KEY, "bucket")
+    removal = F.max(F.when(F.col("op") == "remove", F.col("step"))).over(in_bucket)
+    ranges = (
+        steps.withColumn("removed", removal)
+        .groupBy(*KEY, "bucket")
+        .agg(
+            F.first("removed").alias("removed"),
+            F.expr("min(case when op = 'add' and step > coalesce(removed, -1) then step end) as added"),
+            F.expr("max(case when op = 'reorder' then struct(step, position) end) as moved"),
+        )
     )
-    moved = (
-        steps.where(F.col("op") == "reorder")
+    whole = Window.partitionBy(*KEY)
+    lives = (
+        ranges.withColumn("removed_at", F.max("removed").over(whole))
         .groupBy(*KEY)
-        .agg(F.max(F.struct("step", "position")).alias("last_move"))
+        .agg(
+            F.first("removed_at").alias("removed_at"),
+            F.expr("min(case when added > coalesce(removed_at, -1) then added end) as added_at"),
+            F.max("moved").alias("moved"),
+        )
     )
-    in_life = F.col("last_move.step") > F.col("born_at")
-    return alive.join(moved, KEY, "left").select(
-        *KEY, F.when(in_life, F.col("last_move.position")).otherwise(F.col("sort_order")).alias("sort_order")
+    base = user_tickers.select(*KEY, "sort_order", F.lit(True).alias("listed"))
+    state = base.join(lives, KEY, "full_outer")
+    kept = F.expr("listed and removed_at is null")
+    return (
+        state.withColumns(
+            {
+                "born_at": F.when(kept, -1).otherwise(F.col("added_at")),
+                "start": F.when(kept, F.col("sort_order")).otherwise(0),
+            }
+        )
+        .where("born_at is not null")
+        .selectExpr(
+            *KEY, "case when moved.step > born_at then moved.position else start end as sort_order"
+        )
     )
 
 
