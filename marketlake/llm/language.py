@@ -103,7 +103,8 @@ def learn(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict[
                 vector = profiles.of(text)
                 if vector is not None:
                     sums[lang] = sums.get(lang, 0) + vector
-        yield pd.DataFrame({"lang": list(sums), "sums": [v.tolist() for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "sums": [v.tolist() for v in sums.values()]})
 
     parts = sample.mapInPandas(bundle, "lang string, sums array<double>")
     added = parts.select("lang", F.posexplode("sums")).groupBy("lang", "pos").agg(F.sum("col").alias("s"))
