@@ -28,9 +28,9 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}+"
 WORD = r"[A-Za-z0-9+/_=-]{3,}+"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 SIZE = len(ALPHABET) + 1  # code 0: any other character
-#: Of ordinary words and of random strings: the weight of what pairs fall back on, and how much of it is even.
+#: Of ordinary words and of random strings: the pairs, and the share of all, that are spread evenly.
 #: Random strings come in more alphabets than those labelled, so half of theirs is.
-SMOOTHING = ((10.0, 0.0), (100.0, 0.5))
+SMOOTHING = ((5.0, 0.0), (5.0, 0.5))
 #: Documents whose words train the model of ordinary identifiers.
 WORD_DOCUMENTS = 10_000
 
@@ -97,13 +97,10 @@ def train(rows: DataFrame, word_documents: int = WORD_DOCUMENTS) -> list[float]:
 
 
 def smoothed(counts: list[float], weight: float, even: float) -> list[float]:
-    """P(second | first) of every pair. Pairs count against the second character's own frequency with
-    ``weight``, of which a share ``even`` is spread over all characters alike."""
-    single = [sum(counts[b::SIZE]) + 0.1 for b in range(SIZE)]
-    total = sum(single)
-    fall_back = [even / SIZE + (1 - even) * n / total for n in single]
-    first = [sum(counts[a * SIZE : (a + 1) * SIZE]) for a in range(SIZE)]
-    return [(n + weight * fall_back[i % SIZE]) / (first[i // SIZE] + weight) for i, n in enumerate(counts)]
+    """P(second | first) of every pair. ``weight`` pairs of each first character, and a share ``even`` of the
+    whole, are spread evenly: a character never seen before another says nothing about what follows."""
+    first = [sum(counts[a * SIZE : (a + 1) * SIZE]) + weight for a in range(SIZE)]
+    return [even / SIZE + (1 - even) * (n + weight / SIZE) / first[i // SIZE] for i, n in enumerate(counts)]
 
 
 def mean_ratio(value: Column, ratios: list[float]) -> Column:

@@ -111,7 +111,8 @@ def test_markov_models_tell_random_strings_from_identifiers(spark):
     hexes = ["".join(rng.choice(list("0123456789abcdef"), 32)) for _ in range(200)]
     keys = ["AKIA" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16)) for _ in range(200)]
     rows = [f"{sentence(i, 40)} token={a} {b} {sentence(i + 999, 30)}" for i, (a, b) in enumerate(zip(hexes, keys, strict=True))]
-    plain = [sentence(i + 5000, 60) for i in range(200)]
+    # ordinary text has capitals and numbers too, else the model knows nothing of what follows them
+    plain = [f"{sentence(i + 5000, 60)} {sentence(i + 7000, 20).title()} {sentence(i, 9).upper()} {1900 + i} {i * 7919}" for i in range(200)]
     base64 = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 36))
     rows += [*plain, f"see {base64} here", "see thequickbrownfoxandthelazydogrunsto2dens here"]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
