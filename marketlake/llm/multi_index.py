@@ -142,7 +142,8 @@ def nearest(
         for at in range(0, len(asked), 256):
             part = asked.iloc[at : at + 256]
             wants = np.unpackbits(np.array([np.frombuffer(s, np.uint8) for s in part["seen"]]), axis=1)[:, : shape[1]]
-            score = np.stack(part["v"].to_numpy()) @ matrix.T
+            # not a matrix product: that may sum equal vectors in different orders and so break ties
+            score = np.einsum("qd,nd->qn", np.stack(part["v"].to_numpy()), matrix)
             own = part["query_id"].to_numpy()[:, None] == ids[None, :]
             score[(wants[:, column] == 0) | own] = -np.inf
             best = np.argsort(-score, axis=1, kind="stable")[:, : k + 4]
