@@ -19,10 +19,13 @@ number of them.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,30 +80,37 @@ def load_pieces(path: str) -> Pieces:
     return Pieces(table, byte_ids, lowest - (WEIGHT / 2 if bpe else 10.0), hexes)
 
 
+def reachable(table: dict[str, tuple[int, float]]) -> dict[str, tuple[int, float] | None]:
+    """The pieces and, with None, all their beginnings: past a string that is neither, no piece follows."""
+    return {p[:n]: None for p in table for n in range(1, len(p))} | table
+
+
 def best_path(
-    word: str, table: dict[str, tuple[int, float]], byte_ids: list[int], byte_score: float, longest: int
+    word: str, reach: dict[str, tuple[int, float] | None], byte_ids: list[int], byte_score: float
 ) -> tuple[int, ...]:
-    """The same fold for one word, in a task."""
-    ends = [(0.0, 0, ())]
-    for end in range(1, len(word) + 1):
-        best = None
-        for start in range(max(0, end - longest), end):
-            edge = table.get(word[start:end])
+    """The same fold for one word, in a task: from each position on to all that its edges lead to."""
+    n = len(word)
+    best, edges = [0.0] + [-math.inf] * n, [(0, ())] * (n + 1)
+    for start in range(n):
+        here, end, single = best[start], start + 1, False
+        while end <= n:
+            edge = reach.get(word[start:end], 0)
+            if edge == 0:
+                break
             if edge is not None:
-                ids, score = edge[:1], edge[1]
-            elif end - start == 1:
-                data = word[start].encode()
-                ids, score = tuple(byte_ids[b] for b in data), byte_score * len(data)
-            else:
-                continue
-            score += ends[start][0]
-            if best is None or score > best[0]:
-                best = (score, start, ids)
-        ends.append(best)
-    path, at = [], len(word)
+                single |= end == start + 1
+                if here + edge[1] > best[end]:
+                    best[end], edges[end] = here + edge[1], (start, edge[:1])
+            end += 1
+        if not single:
+            data = word[start].encode()
+            if here + byte_score * len(data) > best[start + 1]:
+                best[start + 1] = here + byte_score * len(data)
+                edges[start + 1] = (start, tuple(byte_ids[b] for b in data))
+    path, at = [], n
     while at:
-        path.append(ends[at][2])
-        at = ends[at][1]
+        at, ids = edges[at]
+        path.append(ids)
     return tuple(i for ids in reversed(path) for i in ids)
 
 
@@ -147,16 +157,16 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     return solved.select("word", path.alias("ids"))
 
 
-def marked(text: Column) -> Column:
-    """The text as the model sees it; empty for a null or empty one."""
-    text = F.coalesce(text, F.lit(""))
-    return F.when(text == "", text).otherwise(F.concat(F.lit(MARK), F.translate(text, " ", MARK)))
+def mark(text: str) -> str:
+    return MARK + text.replace(" ", MARK) if text else ""
 
 
 def frequent_words(rows: DataFrame, limit: int) -> DataFrame:
-    """The most frequent words, at most ``limit``, with ties left out together. Counts are over all rows."""
-    words = rows.select(F.explode(F.regexp_extract_all(marked(F.col("text")), F.lit(WORD), F.lit(0))).alias("word"))
-    counts = words.filter(F.length("word") <= DICTIONARY_CHARS).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """The most frequent words after a space, as nearly all are; at most ``limit``, ties left out together.
+    Counts are over all rows."""
+    words = rows.select(F.explode(F.split("text", r"[ \n]+")).alias("word")).filter("word <> ''")
+    words = words.select(F.concat(F.lit(MARK), F.translate("word", MARK, "")).alias("word"))
+    counts = words.filter(F.length("word").between(2, DICTIONARY_CHARS)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     # words seen once gain nothing from a dictionary
     counts = staged(counts.filter("n > 1"), "words")
     totals = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
@@ -176,30 +186,29 @@ def encode(
     rows = pick(docs, doc_id=id_col, text=text_col)
     known = encode_words(frequent_words(rows, dictionary), pieces).toArrow()
     known = dict(zip(known["word"].to_pylist(), map(tuple, known["ids"].to_pylist()), strict=True))
-    lattice = (pieces.table, pieces.byte_ids, pieces.byte_score, pieces.longest)
-    shared = spark.sparkContext.broadcast((known, lattice))
+    shared = spark.sparkContext.broadcast((known, (pieces.table, pieces.byte_ids, pieces.byte_score)))
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, lattice = shared.value
-        rest, cut = {}, re.compile(WORD)
+        known, (table, *of_bytes) = shared.value
+        reach, cut = reachable(table), re.compile(WORD)
+
+        class Memo(dict):
+            def __missing__(self, word: str) -> tuple[int, ...]:
+                found = best_path(word, reach, *of_bytes)
+                if len(self) >= len(known) + kept_words:
+                    self.clear()
+                    self.update(known)
+                if len(word) <= DICTIONARY_CHARS:
+                    self[word] = found
+                return found
+
+        ids = Memo(known).__getitem__
         for frame in frames:
-            encoded = []
-            for text in frame["text"]:
-                if text is None:
-                    encoded.append(None)
-                    continue
-                ids: list[int] = []
-                for word in cut.findall(MARK + text.replace(" ", MARK)) if text else ():
-                    found = known.get(word) or rest.get(word)
-                    if found is None:
-                        found = best_path(word, *lattice)
-                        if len(rest) >= kept_words:
-                            rest.clear()
-                        if len(word) <= DICTIONARY_CHARS:
-                            rest[word] = found
-                    ids += found
-                encoded.append(ids)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": encoded})
+            encoded = [
+                None if text is None else np.fromiter(chain.from_iterable(map(ids, cut.findall(mark(text)))), np.int32)
+                for text in frame["text"]
+            ]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": pd.Series(encoded, dtype=object)})
 
     return rows.mapInPandas(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 

@@ -195,7 +195,7 @@ def test_lattice_finds_the_best_path(spark, pieces):
     assert {r.word for r in rows} == set(words)
     score = {i: s for i, s in pieces.table.values()} | dict.fromkeys(pieces.byte_ids, pieces.byte_score)
     for r in rows:
-        lattice = (pieces.table, pieces.byte_ids, pieces.byte_score, pieces.longest)
+        lattice = (sentence_pieces.reachable(pieces.table), pieces.byte_ids, pieces.byte_score)
         assert tuple(r.ids) == sentence_pieces.best_path(r.word, *lattice)
         assert sum(score[i] for i in r.ids) == least_pieces(r.word, pieces)
 
