@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +36,7 @@ from marketlake.session import staged
 MARK = "▁"
 WORD = f"{MARK}+[^{MARK}\\n]*|[^{MARK}\\n]+|\\n+"
 #: Words of the dictionary, and their length, at most.
-DICTIONARY = 1 << 18
+DICTIONARY = 1 << 17
 DICTIONARY_CHARS = 32
 WEIGHT = float(1 << 20)
 
@@ -161,12 +161,16 @@ def mark(text: str) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
+def marked(text: Column) -> Column:
+    """The same for a column; a null text is empty."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(text == "", text).otherwise(F.concat(F.lit(MARK), F.translate(text, " ", MARK)))
+
+
 def frequent_words(rows: DataFrame, limit: int) -> DataFrame:
-    """The most frequent words after a space, as nearly all are; at most ``limit``, ties left out together.
-    Counts are over all rows."""
-    words = rows.select(F.explode(F.split("text", r"[ \n]+")).alias("word")).filter("word <> ''")
-    words = words.select(F.concat(F.lit(MARK), F.translate("word", MARK, "")).alias("word"))
-    counts = words.filter(F.length("word").between(2, DICTIONARY_CHARS)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """The most frequent words, at most ``limit``, with ties left out together. Counts are over all rows."""
+    words = rows.select(F.explode(F.regexp_extract_all(marked(F.col("text")), F.lit(WORD), F.lit(0))).alias("word"))
+    counts = words.filter(F.length("word") <= DICTIONARY_CHARS).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     # words seen once gain nothing from a dictionary
     counts = staged(counts.filter("n > 1"), "words")
     totals = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
@@ -177,7 +181,7 @@ def frequent_words(rows: DataFrame, limit: int) -> DataFrame:
 
 def encode(
     docs: DataFrame, model: str | Pieces, id_col: str = "doc_id", text_col: str = "text", *,
-    dictionary: int = DICTIONARY, kept_words: int = 200_000,
+    dictionary: int = DICTIONARY, kept_words: int = 100_000,
 ) -> DataFrame:
     """(doc_id, ids) per row: the piece ids of the whole text. A null text gives null, an empty one
     no ids. Repeated rows are encoded each. ``kept_words`` bounds what a task remembers beyond the dictionary."""
@@ -188,29 +192,31 @@ def encode(
     known = dict(zip(known["word"].to_pylist(), map(tuple, known["ids"].to_pylist()), strict=True))
     shared = spark.sparkContext.broadcast((known, (pieces.table, pieces.byte_ids, pieces.byte_score)))
 
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (table, *of_bytes) = shared.value
         reach, cut = reachable(table), re.compile(WORD)
 
         class Memo(dict):
             def __missing__(self, word: str) -> tuple[int, ...]:
                 found = best_path(word, reach, *of_bytes)
-                if len(self) >= len(known) + kept_words:
-                    self.clear()
-                    self.update(known)
+                while len(self) >= len(known) + kept_words:  # the dictionary came first, so it stays
+                    self.popitem()
                 if len(word) <= DICTIONARY_CHARS:
                     self[word] = found
                 return found
 
         ids = Memo(known).__getitem__
-        for frame in frames:
-            encoded = [
-                None if text is None else np.fromiter(chain.from_iterable(map(ids, cut.findall(mark(text)))), np.int32)
-                for text in frame["text"]
-            ]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": pd.Series(encoded, dtype=object)})
-
-    return rows.mapInPandas(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+        for batch in batches:
+            encoded = []
+            for text in batch.column("text"):
+                text = text.as_py()
+                words = () if text is None else cut.findall(mark(text))
+                encoded.append(None if text is None else np.fromiter(chain.from_iterable(map(ids, words)), np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(encoded, pa.list_(pa.int32()))], names=["doc_id", "ids"]
+            )
+
+    return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decoded(ids: Column, pieces: Pieces) -> Column:
