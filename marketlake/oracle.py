@@ -161,7 +161,7 @@ pos as (select o_orderkey as id, o_custkey as user_id, ticker, cast(shares as do
 WATCH = """watch as (select o_custkey as user_id, ticker, min(l_linenumber) as sort_order
   from lines join orders on l_orderkey = o_orderkey group by all)"""
 QUOTES = f"""{OLD}, {LAST_DATE}, {REFDATES}, {REFCLOSES}, {close_rows(10)},
-quotes as (select * exclude (as_of) from closes where not ends_with(ticker, '7'))"""
+quotes as (select * exclude (as_of) from closes)"""
 REPORT = """report as (select c_name as username, pos.id, pos.ticker, shares, cost_basis, opened_at, price,
     shares * cost_basis as totalCost, shares * price as marketValue,
     shares * price - shares * cost_basis as pl,
@@ -227,7 +227,7 @@ ORACLE["monthly_bars"] = sql(
 )
 ORACLE["latest_bar"] = sql(
     """select ticker, close as price, cast(volume as bigint) as volume, timestamp_ms as "timestamp"
-from daily where date between '2024-01-25' and '2024-01-30'
+from daily where date between (select cast(cast(max(date) as date) - 5 as varchar) from daily) and (select max(date) from daily)
 qualify row_number() over (partition by ticker order by date desc) = 1""",
     minute("wide"),
     f"daily as ({rolled('silver', 'ticker, date')})",
@@ -497,8 +497,7 @@ ORACLE["missing_sessions"] = sql(
     """select day as date from td, (select min(d) as lo, max(d) as hi from b)
 where day between lo and hi and day not in (select d from b)""",
     OLD,
-    """b as (select distinct cast(l_shipdate as date) as d from lineitem
-  where l_returnflag = 'R' and l_quantity >= 49)""",
+    """b as (select distinct cast(l_shipdate as date) as d from lineitem)""",
 )
 
 # --- lakehouse files and streams --------------------------------------------------------------

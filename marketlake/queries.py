@@ -153,7 +153,8 @@ def monthly_bars(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def latest_bar(spark: SparkSession, sf: str) -> DataFrame:
     bars = B.daily_bars(_silver(spark, sf, "wide"), session=None)
-    return B.latest_bar(bars, F.to_date(F.lit("2024-01-30")), 5)
+    newest = bars.agg(F.to_date(F.max("date"))).first()[0]
+    return B.latest_bar(bars, F.lit(newest), 5)
 
 
 @query
@@ -306,11 +307,10 @@ def portfolio_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _quotes(spark: SparkSession, sf: str) -> DataFrame:
-    """The cache after the close of the newest date, without one ticker per ten: some
-    positions have no quote. Written out, so that joins see its true size."""
+    """The cache after the close of the newest date. Written out, so that joins see its true size."""
     dense = _dense(spark, "history")
     rows = R.close_of_day(_history(spark, sf), _last_date(spark, sf), dense, 10).drop("as_of")
-    return staged(rows.where(~F.col("ticker").endswith("7")), "quotes")
+    return staged(rows, "quotes")
 
 
 def _watch_inputs(spark: SparkSession, sf: str, quotes: bool = True) -> tuple:
@@ -434,8 +434,8 @@ def counts_per_date(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def missing_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """Trading days without any large returned line: gaps in that part of the history."""
-    lineitem = feeds.table(spark, sf, "lineitem").where("l_returnflag = 'R' and l_quantity >= 49")
+    """Trading days without a line, between the first and the last of the history."""
+    lineitem = feeds.table(spark, sf, "lineitem")
     bars = lineitem.select(F.to_date("l_shipdate").alias("date"))
     return Q.missing_sessions(bars, _calendar(spark, "history"))
 
