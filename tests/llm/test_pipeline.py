@@ -1,0 +1,21 @@
+"""The whole pipeline against plain versions of its stages."""
+
+import corpus_pipeline
+from marketlake.llm import queries
+from test_dedup import flat, plain_components, plain_fingerprint
+
+
+def test_pipeline_keeps_what_plain_stages_keep(spark, sf, documents):
+    from sentencepiece import SentencePieceProcessor
+
+    texts = {d[0]: d[1] for d in documents if any(c.isalpha() for c in d[1] or "")}
+    first = {}
+    for doc_id in sorted(texts):
+        first.setdefault(flat(texts[doc_id]), doc_id)
+    unique = sorted(first.values())
+    near = plain_components([(i, plain_fingerprint(texts[i])) for i in unique])
+    rows = corpus_pipeline.run(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(i for i, _, component in near if i == component)
+    model = SentencePieceProcessor(model_file=queries.piece_model())
+    for r in rows:
+        assert model.decode(list(r.token_ids)) == texts[r.doc_id] and r.n_tokens == len(r.token_ids)
