@@ -6,9 +6,11 @@ substrings of bounded length, equi-joined to the piece table, the edges found ar
 and a fold with the higher-order ``aggregate`` keeps the best path to every position. A character
 without a piece becomes its UTF-8 bytes.
 
-A unigram model's own scores are log-probabilities. A BPE model has merge ranks instead; the best
-path is then the one of fewest pieces, among these the one of least rank sum. Ties go to the
-longer last piece.
+A unigram model's own scores are log-probabilities, and the best path has the greatest sum. A BPE
+model's scores are merge ranks, and their sum says nothing: there, a piece may follow another only
+if merging the two side by side leaves them as they are (``Apart``). Just one path meets that at
+every step, and it is the one that merging by rank gives, so the ids are the model's own. Ties go
+to the longer last piece.
 
 The words of a corpus have no bound, so their encodings can't be broadcast, and a join of every
 occurrence would shuffle several times the corpus. So the relation runs on the most frequent
@@ -38,32 +40,72 @@ WORD = f"{MARK}+[^{MARK}\\n]*|[^{MARK}\\n]+|\\n+"
 #: Words of the dictionary, and their length, at most.
 DICTIONARY = 1 << 17
 DICTIONARY_CHARS = 32
-WEIGHT = float(1 << 20)
+#: Stands for the start of a word and for a character as bytes: no piece merges with these.
+BYTES = -1
+#: The type of an ordinary piece in a model file.
+NORMAL = 1
+#: Pairs that ``Apart`` remembers, at most.
+KEPT_PAIRS = 1 << 18
 
 
 @dataclass(frozen=True)
 class Pieces:
-    """The piece table of a model: piece -> (id, score), the ids of the 256 bytes, all pieces by id."""
+    """The piece table of a model: piece -> (id, weight on the path), the ids of the 256 bytes, all
+    pieces by id. ``ranks`` are a BPE model's scores by piece, None for a unigram model."""
 
     table: dict[str, tuple[int, float]]
     byte_ids: list[int]
     byte_score: float
     hexes: list[str]
+    ranks: dict[str, float] | None
 
     @property
     def longest(self) -> int:
         return max(map(len, self.table))
 
+    def apart(self) -> Apart | None:
+        return Apart({i: p for p, (i, _) in self.table.items()}, self.ranks) if self.ranks else None
+
+
+class Apart(dict):
+    """Whether a piece may follow another in a BPE model, by ``before << 32 | after``: not so if a
+    merge joins them. Answers are remembered, a bounded number of them."""
+
+    def __init__(self, names: dict[int, str], ranks: dict[str, float]):
+        self.names, self.ranks = names, ranks
+
+    def __missing__(self, pair: int) -> bool:
+        two = [self.names[pair >> 32], self.names[pair & 0xFFFFFFFF]]
+        if len(self) >= KEPT_PAIRS:
+            self.clear()
+        self[pair] = found = merged("".join(two), self.ranks) == two
+        return found
+
+    def __reduce__(self):
+        return Apart, (self.names, self.ranks)
+
+
+def merged(text: str, ranks: dict[str, float]) -> list[str]:
+    """Merging by rank: always the neighbours of the highest score, the leftmost first."""
+    parts = list(text)
+    while True:
+        joined = [(ranks[two], -k) for k in range(len(parts) - 1) if (two := parts[k] + parts[k + 1]) in ranks]
+        if not joined:
+            return parts
+        k = -max(joined)[1]
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
 
 def load_pieces(path: str) -> Pieces:
-    """Reads a model file. Control and unknown pieces take no part."""
+    """Reads a model file. Control and unknown pieces take no part; user-defined ones are refused."""
     from sentencepiece import SentencePieceProcessor
     from sentencepiece.sentencepiece_model_pb2 import ModelProto
 
     model = SentencePieceProcessor(model_file=path)
     with open(path, "rb") as f:
-        bpe = ModelProto.FromString(f.read()).trainer_spec.model_type == 2
-    table, byte_ids, hexes = {}, [0] * 256, []
+        proto = ModelProto.FromString(f.read())
+    bpe = proto.trainer_spec.model_type == 2
+    scores, byte_ids, hexes = {}, [0] * 256, []
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         if model.is_byte(i):
@@ -71,13 +113,19 @@ def load_pieces(path: str) -> Pieces:
             hexes.append(piece[3:-1])
         elif model.is_control(i) or model.is_unknown(i):
             hexes.append("")
+        elif proto.pieces[i].type != NORMAL:
+            raise ValueError(f"the model has pieces that are matched before all others, such as {piece!r}")
         else:
-            table[piece] = (i, -WEIGHT - min(i, WEIGHT / 4) if bpe else model.get_score(i))
+            scores[piece] = (i, model.get_score(i))
             hexes.append(piece.replace(MARK, " ").encode().hex())
-    if any("\n" in p or MARK in p.lstrip(MARK) or (p.lstrip(MARK) and p.startswith(MARK * 2)) for p in table):
+    if any("\n" in p or MARK in p.lstrip(MARK) or (p.lstrip(MARK) and p.startswith(MARK * 2)) for p in scores):
         raise ValueError("the model has pieces that cross the places where words are cut")
-    lowest = min(score for _, score in table.values())
-    return Pieces(table, byte_ids, lowest - (WEIGHT / 2 if bpe else 10.0), hexes)
+    if not bpe:
+        return Pieces(scores, byte_ids, min(score for _, score in scores.values()) - 10.0, hexes, None)
+    ranks = {p: score for p, (_, score) in scores.items()}
+    # a piece that no merging makes is never used; on the one path left, weights do not matter
+    table = {p: (i, 0.0) for p, (i, _) in scores.items() if merged(p, ranks) == [p]}
+    return Pieces(table, byte_ids, 0.0, hexes, ranks)
 
 
 def reachable(table: dict[str, tuple[int, float]]) -> dict[str, tuple[int, float] | None]:
@@ -86,21 +134,21 @@ def reachable(table: dict[str, tuple[int, float]]) -> dict[str, tuple[int, float
 
 
 def best_path(
-    word: str, reach: dict[str, tuple[int, float] | None], byte_ids: list[int], byte_score: float
+    word: str, reach: dict[str, tuple[int, float] | None], byte_ids: list[int], byte_score: float, apart: Apart | None
 ) -> tuple[int, ...]:
     """The same fold for one word, in a task: from each position on to all that its edges lead to."""
     n = len(word)
-    best, edges = [0.0] + [-math.inf] * n, [(0, ())] * (n + 1)
+    best, edges, last = [0.0] + [-math.inf] * n, [(0, ())] * (n + 1), [BYTES] * (n + 1)
     for start in range(n):
-        here, end, single = best[start], start + 1, False
+        here, before, end, single = best[start], last[start], start + 1, False
         while end <= n:
             edge = reach.get(word[start:end], 0)
             if edge == 0:
                 break
             if edge is not None:
                 single |= end == start + 1
-                if here + edge[1] > best[end]:
-                    best[end], edges[end] = here + edge[1], (start, edge[:1])
+                if here + edge[1] > best[end] and (apart is None or before == BYTES or apart[before << 32 | edge[0]]):
+                    best[end], edges[end], last[end] = here + edge[1], (start, edge[:1]), edge[0]
             end += 1
         if not single:
             data = word[start].encode()
@@ -114,6 +162,10 @@ def best_path(
     return tuple(i for ids in reversed(path) for i in ids)
 
 
+def pair(before: Column, after: Column) -> Column:
+    return F.shiftleft(before.cast("long"), 32).bitwiseOR(after.cast("long"))
+
+
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     """(word, ids) of distinct, non-empty words. The piece table is broadcast: its size is the
     model's, whatever the input."""
@@ -130,18 +182,38 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     as_bytes = F.transform(at, lambda k: F.get(byte_ids, F.conv(data.substr(k * 2 + 1, F.lit(2)), 16, 10).cast("int")))
     edges = joined.select(
         "word", (F.col("start") + F.col("size") - 1).alias("end"), (F.col("start") - 1).alias("start"),
-        F.coalesce("score", F.size(as_bytes) * pieces.byte_score).alias("score"),
+        F.coalesce("score", F.size(as_bytes) * pieces.byte_score).alias("score"), F.coalesce("id", F.lit(BYTES)).alias("id"),
         F.when(F.col("id").isNotNull(), F.array("id")).otherwise(as_bytes).alias("ids"),
     )
-    grouped = edges.groupBy("word").agg(F.collect_list(F.struct("end", "start", "score", "ids")).alias("edges"))
+    grouped = edges.groupBy("word").agg(F.collect_list(F.struct("end", "start", "score", "ids", "id")).alias("edges"))
+    apart = pieces.apart()
+    if apart is not None:  # the pairs of neighbours along each word; at a position they are bounded by the pieces' length
+        ahead = lambda e: F.filter("edges", lambda d: (d["end"] == e["start"]) & (d["id"] != BYTES))
+        inner = F.filter("edges", lambda e: (e["start"] > 0) & (e["id"] != BYTES))
+        pairs = F.flatten(F.transform(inner, lambda e: F.transform(ahead(e), lambda d: pair(d["id"], e["id"]))))
+
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [[p for p in pairs if apart[p]] for pairs in batch.column("kept").to_pylist()]
+                yield batch.set_column(2, "kept", pa.array(found, pa.list_(pa.int64())))
+
+        # a plan node of its own: a scalar function would be moved into the fold's lambda, where it can not run
+        grouped = grouped.withColumn("kept", pairs)
+        grouped = grouped.mapInArrow(kept, grouped.schema)
 
     def reach(ends: Column, end: Column) -> Column:
         here = F.filter("edges", lambda e: e["end"] == end)
+        if apart is not None:
+            before = lambda e: F.get(ends, e["start"])["id"]
+            free = lambda e: (e["id"] == BYTES) | (before(e) == BYTES)
+            here = F.filter(here, lambda e: free(e) | F.array_contains("kept", pair(before(e), e["id"])))
         scored = F.transform(here, lambda e: F.struct(
-            (F.get(ends, e["start"])["score"] + e["score"]).alias("score"), (-e["start"]).alias("back"), e["ids"].alias("ids")))
+            (F.get(ends, e["start"])["score"] + e["score"]).alias("score"), (-e["start"]).alias("back"), e["ids"].alias("ids"),
+            e["id"].alias("id")))
         return F.concat(ends, F.array(F.array_max(scored)))
 
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.array().cast("array<int>").alias("ids")))
+    none = F.array().cast("array<int>")
+    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), none.alias("ids"), F.lit(BYTES).alias("id")))
     ends = F.aggregate(F.sequence(F.lit(1), F.length("word")), start, reach)
     solved = grouped.select("word", ends.alias("ends"))
 
@@ -190,7 +262,7 @@ def encode(
     rows = pick(docs, doc_id=id_col, text=text_col)
     known = encode_words(frequent_words(rows, dictionary), pieces).toArrow()
     known = dict(zip(known["word"].to_pylist(), map(tuple, known["ids"].to_pylist()), strict=True))
-    shared = spark.sparkContext.broadcast((known, (pieces.table, pieces.byte_ids, pieces.byte_score)))
+    shared = spark.sparkContext.broadcast((known, (pieces.table, pieces.byte_ids, pieces.byte_score, pieces.apart())))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (table, *of_bytes) = shared.value

@@ -171,41 +171,55 @@ def test_pieces_round_trip_and_best_path(spark, pieces):
     model = SentencePieceProcessor(model_file=queries.piece_model())
     assert rows[99].ids is None
     for i, text in enumerate(TEXTS):
-        assert rows[i].back == text and model.decode(list(rows[i].ids)) == text
+        assert rows[i].back == text and list(rows[i].ids) == model.encode(text)
     assert {r.doc_id: r.ids for r in by_task.collect()} == {i: r.ids for i, r in rows.items()}
 
 
-def least_pieces(word, pieces):
-    """Brute force: the score of the best of all ways to cut a short word."""
-    if not word:
-        return 0.0
-    best = -1e18
-    for n in range(1, len(word) + 1):
-        edge = pieces.table.get(word[:n])
-        if edge is None and n > 1:
-            continue
-        score = edge[1] if edge else pieces.byte_score * len(word[0].encode())
-        best = max(best, score + least_pieces(word[n:], pieces))
-    return best
-
-
-def test_lattice_finds_the_best_path(spark, pieces):
-    words = ["▁the", "▁thther", "▁Übung", "▁日x", "\n\n", "▁▁▁a", "eauouon", "▁ó\U0001f600ó", "▁enepaè."]
+def test_lattice_finds_the_path_that_merging_finds(spark, pieces):
+    words = ["▁the", "▁thther", "▁Übung", "▁日x", "\n\n", "▁▁▁a", "eauouon", "▁ó\U0001f600ó", "▁enepaè.", "▁" * 31, "aaaaaaa", "========="]
     rows = sentence_pieces.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), pieces).collect()
     assert {r.word for r in rows} == set(words)
-    score = {i: s for i, s in pieces.table.values()} | dict.fromkeys(pieces.byte_ids, pieces.byte_score)
+    lattice = (sentence_pieces.reachable(pieces.table), pieces.byte_ids, pieces.byte_score, pieces.apart())
     for r in rows:
-        lattice = (sentence_pieces.reachable(pieces.table), pieces.byte_ids, pieces.byte_score)
+        merged = sentence_pieces.merged(r.word, pieces.ranks)
+        plain = [pieces.table[p][:1] if p in pieces.table else [pieces.byte_ids[b] for b in p.encode()] for p in merged]
+        assert r.ids == [i for ids in plain for i in ids]
         assert tuple(r.ids) == sentence_pieces.best_path(r.word, *lattice)
-        assert sum(score[i] for i in r.ids) == least_pieces(r.word, pieces)
+
+
+def test_ids_are_the_models_own(pieces):
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=queries.piece_model())
+    lattice = (sentence_pieces.reachable(pieces.table), pieces.byte_ids, pieces.byte_score, pieces.apart())
+    rng = np.random.default_rng(5)
+    alphabet = ["a", "aa", "b", " ", "  ", " " * 17, "t", "th", "e", "=", "--", "é", "\n", "日", "漢", "\U0001f600", "1", ".", "ing", "▁"]
+    for _ in range(3000):
+        text = "".join(rng.choice(alphabet, rng.integers(0, 16)))
+        words = re.findall(sentence_pieces.WORD, sentence_pieces.mark(text))
+        assert [i for w in words for i in sentence_pieces.best_path(w, *lattice)] == model.encode(text)
+
+
+def test_unigram_lattice_takes_the_greatest_sum(spark):
+    """A hand-made table: 'ab' + 'c' beats 'a' + 'bc'; a character without a piece becomes bytes."""
+    table = {"a": (256, -3.0), "b": (257, -3.0), "c": (258, -2.0), "ab": (259, -2.5), "bc": (260, -4.0)}
+    hexes = [f"{b:02x}" for b in range(256)] + [p.encode().hex() for p in table]
+    model = sentence_pieces.Pieces(table, list(range(256)), -14.0, hexes, None)
+    rows = sentence_pieces.encode_words(spark.createDataFrame([("abc",), ("bcé",)], "word string"), model).collect()
+    assert {r.word: r.ids for r in rows} == {"abc": [259, 258], "bcé": [260, 0xC3, 0xA9]}
+    for r in rows:
+        assert tuple(r.ids) == sentence_pieces.best_path(r.word, sentence_pieces.reachable(table), model.byte_ids, -14.0, None)
 
 
 def test_pieces_of_the_sample(spark, sf, documents):
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=queries.piece_model())
     rows = {r.doc_id: r for r in queries.op7_sentence_pieces(spark, sf).collect()}
     assert len(rows) == len(documents)
     for doc_id, text, *_ in documents:
         assert rows[doc_id].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
-        assert rows[doc_id].n_tokens == len(rows[doc_id].token_ids)
+        assert rows[doc_id].n_tokens == len(rows[doc_id].token_ids) and rows[doc_id].token_ids == model.encode(text)
 
 
 def test_pieces_of_awkward_rows(spark, pieces):

@@ -18,4 +18,4 @@ def test_pipeline_keeps_what_plain_stages_keep(spark, sf, documents):
     assert sorted(r.doc_id for r in rows) == sorted(i for i, _, component in near if i == component)
     model = SentencePieceProcessor(model_file=queries.piece_model())
     for r in rows:
-        assert model.decode(list(r.token_ids)) == texts[r.doc_id] and r.n_tokens == len(r.token_ids)
+        assert r.token_ids == model.encode(texts[r.doc_id]) and r.n_tokens == len(r.token_ids)
