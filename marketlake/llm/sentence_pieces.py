@@ -46,6 +46,9 @@ BYTES = -1
 NORMAL = 1
 #: Pairs that ``Apart`` remembers, at most.
 KEPT_PAIRS = 1 << 18
+#: Characters of a window whose edges are remembered, and how many windows, at most.
+WINDOW = 6
+KEPT_WINDOWS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -73,6 +76,8 @@ class Apart(dict):
 
     def __init__(self, names: dict[int, str], ranks: dict[str, float]):
         self.names, self.ranks = names, ranks
+        self.longest = max(map(len, ranks))
+        self.windows = {}  # the edges from a few characters on, which words share
 
     def __missing__(self, pair: int) -> bool:
         two = [self.names[pair >> 32], self.names[pair & 0xFFFFFFFF]]
@@ -136,19 +141,21 @@ def reachable(table: dict[str, tuple[int, float]]) -> dict[str, tuple[int, float
 def best_path(
     word: str, reach: dict[str, tuple[int, float] | None], byte_ids: list[int], byte_score: float, apart: Apart | None
 ) -> tuple[int, ...]:
-    """The same fold for one word, in a task: from each position on to all that its edges lead to."""
+    """The same for one word, in a task: from each position on to all that its edges lead to."""
+    if apart is not None:
+        return only_path(word, reach, byte_ids, apart)
     n = len(word)
-    best, edges, last = [0.0] + [-math.inf] * n, [(0, ())] * (n + 1), [BYTES] * (n + 1)
+    best, edges = [0.0] + [-math.inf] * n, [(0, ())] * (n + 1)
     for start in range(n):
-        here, before, end, single = best[start], last[start], start + 1, False
+        here, end, single = best[start], start + 1, False
         while end <= n:
             edge = reach.get(word[start:end], 0)
             if edge == 0:
                 break
             if edge is not None:
                 single |= end == start + 1
-                if here + edge[1] > best[end] and (apart is None or before == BYTES or apart[before << 32 | edge[0]]):
-                    best[end], edges[end], last[end] = here + edge[1], (start, edge[:1]), edge[0]
+                if here + edge[1] > best[end]:
+                    best[end], edges[end] = here + edge[1], (start, edge[:1])
             end += 1
         if not single:
             data = word[start].encode()
@@ -162,6 +169,56 @@ def best_path(
     return tuple(i for ids in reversed(path) for i in ids)
 
 
+def edges_from(text: str, size: int, reach: dict[str, tuple[int, float] | None]) -> tuple[list[tuple[int, int]], bool]:
+    """(size, id) of the pieces that ``text`` begins with and that are longer than ``size``, and
+    whether a longer text might begin with more."""
+    found = []
+    while size < len(text):
+        size += 1
+        edge = reach.get(text[:size], 0)
+        if edge == 0:
+            return found, False
+        if edge is not None:
+            found.append((size, edge[0]))
+    return found, True
+
+
+def only_path(word: str, reach: dict[str, tuple[int, float] | None], byte_ids: list[int], apart: Apart) -> tuple[int, ...]:
+    """The path of a BPE model through the same lattice, longest edge first. Only one way leads to
+    each position, so a position from which none leads on is not entered again."""
+    n, at, before, edges = len(word), 0, BYTES, None
+    taken, dead, known = [], set(), apart.windows
+    while at < n:
+        if edges is None:
+            window = word[at : at + WINDOW]
+            found = known.get(window)
+            if found is None:
+                found = edges_from(window, 0, reach)
+                if len(known) >= KEPT_WINDOWS:
+                    known.clear()
+                known[window] = found
+            ahead, more = found
+            edges = list(ahead)
+            if more and at + WINDOW < n:
+                edges += edges_from(word[at : at + WINDOW + apart.longest], WINDOW, reach)[0]
+            if not edges or edges[0][0] > 1:
+                edges.insert(0, (1, BYTES))
+        while edges:
+            size, piece = edges.pop()
+            end = at + size
+            if end not in dead and (before == BYTES or piece == BYTES or apart[before << 32 | piece]):
+                taken.append((at, before, edges, piece))
+                at, before, edges = end, piece, None
+                break
+        else:
+            dead.add(at)
+            at, before, edges, _ = taken.pop()
+    ids = []
+    for start, _, _, piece in taken:
+        ids += (piece,) if piece != BYTES else (byte_ids[b] for b in word[start].encode())
+    return tuple(ids)
+
+
 def pair(before: Column, after: Column) -> Column:
     return F.shiftleft(before.cast("long"), 32).bitwiseOR(after.cast("long"))
 
