@@ -27,6 +27,8 @@ log = logging.getLogger(__name__)
 
 MANIFEST = "date string, rows bigint, bad_rows bigint, status string"
 DAYS_PER_COMMIT = 50
+#: Spark's name for the failure to read an input file; lost executors or a full disk have others.
+READ_ERROR = "FAILED_READ_FILE"
 
 
 @dataclass(frozen=True)
@@ -51,17 +53,16 @@ def load_files(spark: SparkSession, paths: list[str], tables: Lake) -> DataFrame
     """Stages day files, then commits their dates to bronze.
 
     Files that cannot be read at all (broken compression, say) are reported as unreadable and
-    the others go on; if none can be read, the cause is not a file and the error is raised.
+    the others go on, also if there are no others. Any other failure is raised.
     """
     if not paths:
         return spark.createDataFrame([], MANIFEST)
     started = time.perf_counter()
     unreadable = _stage(spark, paths, tables)
-    if len(unreadable) == len(paths):
-        raise next(iter(unreadable.values()))
     for path, error in unreadable.items():
         log.error("cannot read %s: %s", path, error)
-    report = commit_staged(spark, tables, sorted({date_of(p) for p in paths if p not in unreadable}))
+    dates = sorted({date_of(p) for p in paths if p not in unreadable})
+    report = commit_staged(spark, tables, dates) if dates else spark.createDataFrame([], MANIFEST)
     if unreadable:
         lost = spark.createDataFrame([(date_of(p), 0, 0, "unreadable") for p in unreadable], MANIFEST)
         _record(spark, tables, lost.collect())
@@ -76,12 +77,14 @@ def load_files(spark: SparkSession, paths: list[str], tables: Lake) -> DataFrame
 
 
 def _stage(spark: SparkSession, paths: list[str], tables: Lake) -> dict[str, Exception]:
-    """Stages all files in one job. Only if that fails are the files halved to find the broken
-    ones, which are returned with their errors."""
+    """Stages all files in one job. Only if that fails at reading a file are the files halved to
+    find the broken ones, which are returned with their errors."""
     try:
         lake.write_staged(read_day_files(spark, paths), tables.path("staged"))
         return {}
     except (PySparkException, Py4JJavaError) as error:
+        if READ_ERROR not in str(error):
+            raise
         if len(paths) == 1:
             return {paths[0]: error}
         half = len(paths) // 2
@@ -101,8 +104,8 @@ def commit_staged(
     if dates is not None:
         staged = staged.where(F.col("date").isin(dates))
     else:
-        done = committed(spark, tables).where("status = 'ok'").select("date")
-        staged = staged.join(F.broadcast(done), "date", "left_anti")
+        done = committed(spark, tables).where("status = 'ok'").select("date").distinct()
+        staged = staged.join(done, "date", "left_anti")
     # one row per day: bounded by the calendar, so the driver may walk through it
     report = load_report(staged).orderBy("date").collect()
     good = [r.date for r in report if r.status == "ok"]

@@ -27,6 +27,8 @@ NULL_NUMBERS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "N/A", "NA", "NULL", "NaN", "n/a", "nan", "null",
 ]
+# where the reader puts a line whose fields do not match the header
+RAGGED = "__ragged_line"
 
 
 def day_file_globs(root: str, year: int, months: Iterable[int]) -> list[str]:
@@ -68,8 +70,8 @@ def header_groups(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...]
 def read_day_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """All files as typed bars with ``date`` from the file name, plus ``row_ok`` and ``raw``.
 
-    ``row_ok`` is false where a declared number does not parse; ``raw`` then holds the original
-    texts. Missing columns are typed nulls, unknown columns are dropped.
+    ``row_ok`` is false where a declared number does not parse or the row has more or fewer fields
+    than the header; ``raw`` then holds the original texts. Missing columns are typed nulls, unknown columns are dropped.
     """
     parts = [_read_group(spark, names, files) for names, files in header_groups(spark, paths).items()]
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -107,10 +109,11 @@ def write_day_files(bars: DataFrame, root: str) -> None:
 
 def _read_group(spark: SparkSession, names: tuple[str, ...], paths: list[str]) -> DataFrame:
     # the reader's own spelling of a header may repeat a name; bind by position, select by name
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, RAGGED]])
     rows = (
         spark.read.schema(schema)
         .option("header", True)
+        .option("columnNameOfCorruptRecord", RAGGED)
         .csv(paths)
         .withColumn("date", F.regexp_extract("_metadata.file_path", DATE_IN_NAME, 1))
     )
@@ -124,6 +127,8 @@ def _read_group(spark: SparkSession, names: tuple[str, ...], paths: list[str]) -
             text = F.when(~F.trim(name).isin(NULL_NUMBERS), F.trim(name))
             typed.append(text.try_cast(kind).alias(name))
             checks.append(text.isNull() | text.try_cast(kind).isNotNull())
-    ok = reduce(lambda a, b: a & b, checks, F.lit(True))
-    raw = F.when(~ok, F.to_json(F.struct(*[F.col(n) for n in names])))
+    ok = reduce(lambda a, b: a & b, checks, F.col(RAGGED).isNull())
+    texts = F.to_json(F.struct(*[F.col(n) for n in names]))
+    line = F.to_json(F.struct(F.col(RAGGED).alias("line")))
+    raw = F.when(~ok, F.when(F.col(RAGGED).isNotNull(), line).otherwise(texts))
     return rows.select(*typed, "date", ok.alias("row_ok"), raw.alias("raw"))

@@ -2,6 +2,7 @@ import gzip
 import os
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from marketlake.operators.quality import compare_counts, counts_per_date, missing_sessions
@@ -90,8 +91,41 @@ def test_unreadable_files_are_reported_and_the_others_loaded(spark, tmp_path, ta
     }
     assert {d for _, d in closes(spark, tables)} == {"2024-01-02", "2024-01-04", "2024-01-06"}
     assert LH.committed(spark, tables).where("status = 'unreadable'").count() == 2
-    with pytest.raises(Exception):
-        LH.load_files(spark, [files[3]], tables)
+    alone = LH.load_files(spark, [files[3]], tables).collect()
+    assert [(r.date, r.status) for r in alone] == [("2024-01-05", "unreadable")]
+
+
+def test_a_broken_file_does_not_stop_the_ingest(spark, tmp_path, tables):
+    root, checkpoint = f"{tmp_path}/raw", f"{tmp_path}/checkpoint"
+    with open(day_file(root, "2024-01-02", [line("A", 2.0, NS)]), "wb") as junk:
+        junk.write(b"this is not gzip")
+    LH.ingest_new_files(spark, root, tables, checkpoint)
+    day_file(root, "2024-01-03", [line("A", 3.0, NS)])
+    LH.ingest_new_files(spark, root, tables, checkpoint)
+    assert closes(spark, tables) == {("A", "2024-01-03"): 3.0}
+    status = {r.date: r.status for r in LH.committed(spark, tables).collect()}
+    assert status == {"2024-01-02": "unreadable", "2024-01-03": "ok"}
+
+
+def test_other_failures_are_not_taken_for_broken_files(spark, tmp_path, tables, monkeypatch):
+    def full(*_):
+        raise AnalysisException("no space left")
+
+    monkeypatch.setattr(LH.lake, "write_staged", full)
+    with pytest.raises(AnalysisException):
+        LH.load_files(spark, [day_file(f"{tmp_path}/raw", "2024-01-02", [line("A", 2.0, NS)])], tables)
+
+
+@pytest.mark.parametrize("ragged", ["B,100", line("B", 2.0, NS) + ",1,2"])
+def test_rows_with_a_wrong_number_of_fields_are_bad(spark, tmp_path, tables, ragged):
+    files = [
+        day_file(f"{tmp_path}/raw", "2024-01-02", [line("A", 1.0, NS), ragged]),
+        day_file(f"{tmp_path}/raw", "2024-01-03", [line("A", 3.0, NS)]),
+    ]
+    report = {r.date: (r.rows, r.bad_rows, r.status) for r in LH.load_files(spark, files, tables).collect()}
+    assert report == {"2024-01-02": (2, 1, "failed"), "2024-01-03": (1, 0, "ok")}
+    assert closes(spark, tables) == {("A", "2024-01-03"): 3.0}
+    assert ragged in spark.read.parquet(tables.path("quarantine")).first().raw
 
 
 def test_header_only_file(spark, tmp_path, tables):
