@@ -21,11 +21,12 @@ number of them.
 
 from __future__ import annotations
 
+import gc
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from marketlake.session import staged
 MARK = "▁"
 WORD = f"{MARK}+[^{MARK}\\n]*|[^{MARK}\\n]+|\\n+"
 #: Words of the dictionary, and their length, at most.
-DICTIONARY = 1 << 17
+DICTIONARY = 1 << 18
 DICTIONARY_CHARS = 32
 #: Stands for the start of a word and for a character as bytes: no piece merges with these.
 BYTES = -1
@@ -196,7 +197,7 @@ def only_path(word: str, reach: dict[str, tuple[int, float] | None], byte_ids: l
                 found = edges_from(window, 0, reach)
                 if len(known) >= KEPT_WINDOWS:
                     known.clear()
-                known[window] = found
+                known[window] = found = tuple(found[0]), found[1]
             ahead, more = found
             edges = list(ahead)
             if more and at + WINDOW < n:
@@ -318,16 +319,18 @@ def encode(
     pieces = load_pieces(model) if isinstance(model, str) else model
     rows = pick(docs, doc_id=id_col, text=text_col)
     known = encode_words(frequent_words(rows, dictionary), pieces).toArrow()
-    known = dict(zip(known["word"].to_pylist(), map(tuple, known["ids"].to_pylist()), strict=True))
+    # ids as bytes: half the memory of tuples, and a text's are put together by one join
+    known = {w.as_py(): i.values.to_numpy().astype(np.int32).tobytes() for w, i in zip(known["word"], known["ids"], strict=True)}
     shared = spark.sparkContext.broadcast((known, (pieces.table, pieces.byte_ids, pieces.byte_score, pieces.apart())))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (table, *of_bytes) = shared.value
         reach, cut = reachable(table), re.compile(WORD)
+        gc.freeze()  # what was handed to the task stays, so no collection need walk it
 
         class Memo(dict):
-            def __missing__(self, word: str) -> tuple[int, ...]:
-                found = best_path(word, reach, *of_bytes)
+            def __missing__(self, word: str) -> bytes:
+                found = array("i", best_path(word, reach, *of_bytes)).tobytes()
                 while len(self) >= len(known) + kept_words:  # the dictionary came first, so it stays
                     self.popitem()
                 if len(word) <= DICTIONARY_CHARS:
@@ -340,7 +343,7 @@ def encode(
             for text in batch.column("text"):
                 text = text.as_py()
                 words = () if text is None else cut.findall(mark(text))
-                encoded.append(None if text is None else np.fromiter(chain.from_iterable(map(ids, words)), np.int32))
+                encoded.append(None if text is None else np.frombuffer(b"".join(map(ids, words)), np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(encoded, pa.list_(pa.int32()))], names=["doc_id", "ids"]
             )
