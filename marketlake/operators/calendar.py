@@ -26,7 +26,8 @@ def dense_calendar(calendar: DataFrame) -> DataFrame:
 
     ``last_trading_day`` is on or before the day, ``prev_trading_day`` the one before that,
     ``next_trading_day`` on or after the day, ``following_trading_day`` strictly after.
-    Forward look-ups reach ten days; beyond that they give the start day itself.
+    Forward look-ups reach ten days; beyond that they give the start day itself. After the last
+    trading day nothing is known, so there the times of the following one are null.
 
     Each trading day is spread over the days until the next one. The window runs over trading
     days only (a few thousand rows, bounded by the calendar), so a single task is right for it.
@@ -60,19 +61,21 @@ def dense_calendar(calendar: DataFrame) -> DataFrame:
         .alias("next_trading_day"),
         F.when(in_reach, after).otherwise(tomorrow).alias("following_trading_day"),
         F.when(in_reach, F.col("after_close")).alias("following_close_minute"),
+        after.isNotNull().alias("_known"),
     ).withColumns(
         {
             # unix seconds, so that no row of a fact table needs a zone conversion for them
             "opens_at": ny_epoch_seconds(day, F.lit(S.PRE_OPEN)),
             "closes_at": ny_epoch_seconds(day, _post_end(F.col("close_minute"))),
-            "following_opens_at": ny_epoch_seconds(
-                F.col("following_trading_day"), F.lit(S.PRE_OPEN)
+            "following_opens_at": F.when(
+                F.col("_known"), ny_epoch_seconds(F.col("following_trading_day"), F.lit(S.PRE_OPEN))
             ),
-            "following_closes_at": ny_epoch_seconds(
-                F.col("following_trading_day"), _post_end(F.col("following_close_minute"))
+            "following_closes_at": F.when(
+                F.col("_known"),
+                ny_epoch_seconds(F.col("following_trading_day"), _post_end(F.col("following_close_minute"))),
             ),
         }
-    )
+    ).drop("_known")
 
 
 def look_up(df: DataFrame, dense: DataFrame, day: Column, *columns: str) -> DataFrame:
@@ -92,9 +95,8 @@ def next_trading_day(df: DataFrame, dense: DataFrame, day: str) -> DataFrame:
 
 
 def trading_day_flag(df: DataFrame, dense: DataFrame, utc: str) -> DataFrame:
-    """Whether the New York date of a UTC timestamp is a trading day (date level, not clock)."""
-    out = look_up(df, dense, F.to_date(ny_from_utc(F.col(utc))), "is_trading_day")
-    return out.withColumn("is_trading_day", F.coalesce("is_trading_day", F.lit(False)))
+    """Whether the New York date of a UTC timestamp is a trading day (date level, not clock); null outside the calendar."""
+    return look_up(df, dense, F.to_date(ny_from_utc(F.col(utc))), "is_trading_day")
 
 
 def reference_dates(as_of: DataFrame, dense: DataFrame) -> DataFrame:
@@ -139,7 +141,7 @@ def trading_dates(as_of: DataFrame, dense: DataFrame) -> DataFrame:
 def market_status(df: DataFrame, dense: DataFrame, utc: str) -> DataFrame:
     """Session, holiday flag and next open/close (unix seconds) at a UTC timestamp column.
 
-    Days outside the calendar count as closed, with the next session on the day after.
+    Days outside the calendar give nulls, and so does the next session after its last day.
     """
     out = df.withColumn("_ny", ny_from_utc(F.col(utc)))
     out = look_up(
@@ -153,7 +155,7 @@ def market_status(df: DataFrame, dense: DataFrame, utc: str) -> DataFrame:
         "following_opens_at",
         "following_closes_at",
     )
-    trading = F.coalesce(F.col("is_trading_day"), F.lit(False))
+    trading = F.col("is_trading_day")
     m = minute_of_day(F.col("_ny"))
     close = F.coalesce("close_minute", F.lit(S.CLOSE))
     session = (
@@ -166,20 +168,23 @@ def market_status(df: DataFrame, dense: DataFrame, utc: str) -> DataFrame:
     before_open = trading & (m < S.PRE_OPEN)
     holiday = ~trading & F.weekday("_date").between(0, 4)
     out = out.withColumns(
-        {"session": session, "is_holiday": holiday, "_before_open": before_open}
+        {
+            "session": F.when(trading.isNotNull(), session),
+            "is_holiday": F.when(trading.isNotNull(), holiday),
+            "_before_open": before_open,
+        }
     )
     stays_today = F.col("_before_open") | (F.col("session") != "closed")
-    tomorrow = F.date_add("_date", 1)
     return out.select(
         *df.columns,
         "session",
         "is_holiday",
         F.when(F.col("is_holiday"), HOLIDAY_NAME).alias("holiday_name"),
         F.when(F.col("_before_open"), F.col("opens_at"))
-        .otherwise(F.coalesce("following_opens_at", ny_epoch_seconds(tomorrow, F.lit(S.PRE_OPEN))))
+        .otherwise(F.col("following_opens_at"))
         .alias("next_open"),
         F.when(stays_today, F.col("closes_at"))
-        .otherwise(F.coalesce("following_closes_at", ny_epoch_seconds(tomorrow, F.lit(S.POST_CLOSE))))
+        .otherwise(F.col("following_closes_at"))
         .alias("next_close"),
     )
 

@@ -132,3 +132,18 @@ def test_calendar_table_is_checked(spark, tmp_path):
         read_calendar(spark, f"{tmp_path}/c")
     with pytest.raises(ValueError):
         rule_calendar(spark, 1800, 2024)
+
+
+def test_nothing_is_said_outside_the_calendar(spark, dense):
+    """Noon in New York on the last trading day, the Wednesday after the calendar and one before it."""
+    rows = [(d, dt.datetime.combine(D(d), dt.time(17))) for d in ("2024-12-31", "2025-01-08", "2019-12-18")]
+    at = spark.createDataFrame(rows, "day string, ts timestamp_ntz")
+    found = {r.day: r for r in C.market_status(at, dense, "ts").collect()}
+    last = found["2024-12-31"]
+    assert (last.session, last.is_holiday, last.holiday_name, last.next_open) == ("open", False, None, None)
+    assert last.next_close == int(dt.datetime(2024, 12, 31, 20, tzinfo=NY).timestamp())
+    for day in ("2025-01-08", "2019-12-18"):
+        r = found[day]
+        assert (r.session, r.is_holiday, r.holiday_name, r.next_open, r.next_close) == (None,) * 5
+    flags = {r.day: r.is_trading_day for r in C.trading_day_flag(at, dense, "ts").collect()}
+    assert flags == {"2024-12-31": True, "2025-01-08": None, "2019-12-18": None}
