@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,24 +31,41 @@ from marketlake.session import staged
 #: Reference fingerprints, made by a rule.
 PIVOTS = np.array([xxhash.xxh64_intdigest(f"pivot {i}") for i in range(24)], np.uint64)
 
+#: For links by Jaccard similarity: a pair at 0.8 shares no cell of 4 least hashes with a chance of
+#: (1 - 0.8^4)^32, about 5e-8.
+CELLS, CELL_HASHES = 32, 4
+FACTORS = np.array([xxhash.xxh64_intdigest(f"factor {i}") | 1 for i in range(CELLS * CELL_HASHES)], np.uint64)
+#: Bits between the SimHashes of sets of runs, at most. The 55 pairs of sf0.001, sf0.01 and sf0.1 with a
+#: similarity of 0.8 or more lie at 18 or fewer.
+SIMILAR_BITS = 28
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """The SimHash of a text; zero without words. A null text has no words."""
+
+def word_runs(text: str | None, width: int) -> np.ndarray:
+    """The hash of every run of ``width`` words; of all words if there are fewer. None without words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - width + 1)
     spans = zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], 42) for s, e in spans], "<u8")
+    return np.array([digest(joined[s:e], 42) for s, e in spans], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; zero without hashes."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """The SimHash of a text; zero without words. A null text has no words."""
+    return majority(word_runs(text, width))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -160,13 +178,119 @@ def near_duplicates(
     return prints.join(classes, prints["fp"] == classes["of"]).select("doc_id", "fp", "component_id")
 
 
+def cells(runs: np.ndarray) -> list[int]:
+    """Keys of the cells of a set of runs: two sets share each with the power ``CELL_HASHES`` of their similarity."""
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max)
+    for at in range(0, len(runs), 1024):
+        np.minimum(least, (runs[at : at + 1024, None] * FACTORS).min(axis=0), out=least)
+    digests = [xxhash.xxh64_intdigest(part.tobytes(), i) for i, part in enumerate(least.reshape(CELLS, CELL_HASHES))]
+    return np.array(digests, np.uint64).view(np.int64).tolist()
+
+
+def similar_edges(nodes: DataFrame, rows: DataFrame, least: float, width: int) -> DataFrame:
+    """Edges (a, b) with the components of all links between ``nodes(node, fp, cells, doc_id)`` of at least
+    the similarity ``least``. ``rows(doc_id, text)`` has the texts.
+
+    Within a cell all are compared with one of them first. Then only pairs not yet in one component are: those
+    of the rows outside the cell's largest component. So a cluster of near copies does not square.
+    """
+    celled = nodes.select("node", "fp", F.explode("cells").alias("cell"))
+    sizes = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "fp")).alias("head"))
+    shared = staged(celled.join(sizes.filter("n > 1").drop("n"), "cell"), "cells")
+    chosen = staged(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("doc_id"), "chosen")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text"):
+                runs = np.unique(word_runs(text.as_py(), width))
+                columns = [pa.array([node_of(runs)], pa.int64()), pa.array([runs.view(np.int64)], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "runs"])
+
+    texts = rows.join(chosen, "doc_id", "left_semi").select("text")
+    runs = staged(texts.mapInArrow(of, "node long, runs array<long>").dropDuplicates(["node"]), "runs")
+    far = lambda x, y: F.bit_count(x.bitwiseXOR(y)) > SIMILAR_BITS
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        found = pairs.join(runs.toDF("a", "of_a"), "a").join(runs.toDF("b", "of_b"), "b")
+        both, all_ = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
+        fits = F.least(F.size("of_a"), F.size("of_b")) >= F.greatest(F.size("of_a"), F.size("of_b")) * least
+        return staged(found.filter(fits).filter(both >= (all_ - both) * least).select("a", "b"), "similar")
+
+    stars = shared.filter(F.col("node") != F.col("head.node")).filter(~far(F.col("fp"), F.col("head.fp")))
+    stars = staged(stars.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    linked = verified(stars)
+    roots = connected_components(linked).withColumnRenamed("node", "of")
+    rooted = shared.join(roots, shared["node"] == roots["of"], "left")
+    rooted = staged(rooted.select("cell", "node", "fp", F.coalesce("root", "node").alias("root")), "rooted")
+    mixed = rooted.groupBy("cell").agg(F.min("root").alias("m"), F.max("root").alias("n"), F.mode("root").alias("main"))
+    mixed = staged(rooted.join(mixed.filter("m <> n").select("cell", "main"), "cell"), "mixed")
+    odd = mixed.filter("root <> main").select("cell", F.struct("node", "fp", "root").alias("x"))
+    pairs = odd.join(mixed.select("cell", F.struct("node", "fp", "root").alias("y")), "cell")
+    pairs = pairs.filter(F.col("x.root") != F.col("y.root")).filter(~far(F.col("x.fp"), F.col("y.fp")))
+    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    return linked.union(verified(staged(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")))
+
+
+def node_of(runs: np.ndarray) -> int | None:
+    """A key of a set of runs, as a signed long; None for an empty one."""
+    return int(np.uint64(xxhash.xxh64_intdigest(runs.tobytes())).view(np.int64)) if len(runs) else None
+
+
+def similar_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least: float = 0.8, width: int = 5
+) -> DataFrame:
+    """(doc_id, component_id) per row with an id; component_id is the smallest id reachable by links
+    between texts whose sets of runs of ``width`` words have a Jaccard similarity of at least ``least``.
+
+    Candidates share a cell of least hashes (MinHash): at this similarity SimHashes differ in too many bits for
+    blocks of bits. Those whose SimHashes are more than ``SIMILAR_BITS`` apart are discarded; the
+    rest is compared run by run. A text without words is near no other. An empty table gives no rows.
+    """
+    rows = pick(docs, doc_id=id_col, text=text_col).filter("doc_id is not null")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, fp, keys = [], [], []
+            for text in batch.column("text"):
+                runs = np.unique(word_runs(text.as_py(), width))
+                node.append(node_of(runs))
+                fp.append(majority(runs))
+                keys.append(cells(runs) if len(runs) else [])
+            fp = pa.array(np.array(fp, np.uint64).view(np.int64))
+            columns = [batch.column("doc_id"), pa.array(node, pa.int64()), fp, pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "fp", "cells"])
+
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, fp long, cells array<long>"
+    prints = staged(rows.mapInArrow(of, schema), "sets")
+    nodes = prints.filter("node is not null").groupBy("node")
+    nodes = staged(nodes.agg(F.first("fp").alias("fp"), F.first("cells").alias("cells"), F.min("doc_id").alias("doc_id")), "nodes")
+    roots = connected_components(similar_edges(nodes, rows, least, width)).withColumnRenamed("node", "of")
+    rooted = nodes.join(roots, nodes["node"] == roots["of"], "left")
+    rooted = staged(rooted.select("node", "doc_id", F.coalesce("root", "node").alias("root")), "roots")
+    heads = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    classes = rooted.join(heads, "root").select(F.col("node").alias("of"), "component_id")
+    found = prints.select("doc_id", "node").join(classes, F.col("node") == F.col("of"), "left")
+    return found.select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component stays, the one with the smallest id, with all its columns.
 
     An id that occurs in several rows goes only if each of them is a near copy of another id; rows
     without an id stay.
     """
+    return without_copies(docs, near_duplicates(docs, id_col, text_col), id_col)
+
+
+def drop_similar(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least: float = 0.8, width: int = 5
+) -> DataFrame:
+    """The same with the components of ``similar_documents``."""
+    return without_copies(docs, similar_documents(docs, id_col, text_col, least=least, width=width), id_col)
+
+
+def without_copies(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     copy = F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(False))
-    judged = near_duplicates(docs, id_col, text_col).groupBy("doc_id").agg(F.min(copy).alias("copy"))
+    judged = found.groupBy("doc_id").agg(F.min(copy).alias("copy"))
     dropped = judged.filter("copy").select(F.col("doc_id").alias("__dropped"))
     return docs.join(dropped, docs[f"`{id_col}`"] == dropped["__dropped"], "left_anti")
