@@ -82,19 +82,26 @@ class Profiles:
         return total / norm if norm else None
 
 
+def sampled(labelled: DataFrame, per_language: int) -> DataFrame | None:
+    """(lang, text) of at most about ``per_language`` documents of each language; None without any."""
+    counts = dict(labelled.filter("lang is not null").groupBy("lang").count().collect())  # one row per language
+    if not counts:
+        return None
+    spark = labelled.sparkSession
+    bounds = spark.createDataFrame([(k, int(min(1, per_language / n) * (1 << 30))) for k, n in counts.items()], "lang string, bound long")
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    return labelled.join(F.broadcast(bounds), "lang").filter(draw <= F.col("bound")).select("lang", "text")
+
+
 def learn(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict[str, np.ndarray]:
     """Language -> prototype (a unit vector) from ``labelled(doc_id, text, lang)``.
 
     At most about ``per_language`` documents of each language are used, chosen by a hash of the id.
     The parts that tasks return are sums of ``DIM`` numbers per language.
     """
-    counts = dict(labelled.filter("lang is not null").groupBy("lang").count().collect())  # one row per language
-    if not counts:
+    sample = sampled(labelled, per_language)
+    if sample is None:
         return {}
-    spark = labelled.sparkSession
-    bounds = spark.createDataFrame([(k, int(min(1, per_language / n) * (1 << 30))) for k, n in counts.items()], "lang string, bound long")
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    sample = labelled.join(F.broadcast(bounds), "lang").filter(draw <= F.col("bound")).select("lang", "text")
 
     def bundle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         profiles, sums = Profiles(), {}
@@ -137,6 +144,15 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
     return rows.mapInPandas(judge, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
+def low_scores(labelled: DataFrame, prototypes: dict[str, np.ndarray], quantile: float) -> dict[str, float]:
+    """Language -> that quantile of the scores of the labelled documents that ``learn`` uses and that have a letter."""
+    sample = sampled(labelled, SAMPLE_PER_LANGUAGE)
+    if sample is None or not prototypes:
+        return {}
+    found = identify(sample, prototypes, id_col="lang").filter(F.col("lang_pred") != UNKNOWN)
+    return dict(found.groupBy("doc_id").agg(F.percentile_approx("score", quantile, 10_000)).collect())  # one row per language
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
