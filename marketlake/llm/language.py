@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,6 +145,17 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
     return rows.mapInPandas(judge, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
+def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows whose text has a letter."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = (text.as_py() or "" for text in batch.column(text_col))
+            yield batch.filter(pa.array([any(map(str.isalpha, text)) for text in texts], pa.bool_()))
+
+    return docs.mapInArrow(of, docs.schema)
+
+
 def low_scores(labelled: DataFrame, prototypes: dict[str, np.ndarray], quantile: float) -> dict[str, float]:
     """Language -> that quantile of the scores of the labelled documents that ``learn`` uses and that have a letter."""
     sample = sampled(labelled, SAMPLE_PER_LANGUAGE)

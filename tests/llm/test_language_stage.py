@@ -15,3 +15,11 @@ def test_gibberish_and_foreign_scripts_go(spark, sf):
     kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, both, "").collect()}
     assert not kept & {i for i, _, _ in junk}
     assert kept == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text)}
+
+
+def test_without_labels_all_texts_with_letters_stay(spark):
+    rows = [(1, "some words", None), (2, "12 34", None), (3, None, None), (4, "é", None), (None, "no id", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {1, 4, None}
