@@ -8,6 +8,7 @@ language by cosine.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +25,11 @@ SAMPLE_PER_LANGUAGE = 4000
 UNKNOWN = "und"
 
 
+@functools.cache
 def _letters() -> np.ndarray:
     """Code point -> code point of the lower-case letter, or 0 where it is no letter."""
     table = np.zeros(0x110000, np.uint32)
-    for c in range(0x30000):
+    for c in range(len(table)):
         x = chr(c)
         if x.isalpha():
             low = x.lower()

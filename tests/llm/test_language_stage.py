@@ -23,3 +23,9 @@ def test_without_labels_all_texts_with_letters_stay(spark):
     kept = corpus_pipeline.identify_language(spark, docs, "")
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {1, 4, None}
+
+
+def test_letters_of_all_planes_count():
+    from marketlake.llm.language import Profiles
+
+    assert Profiles().of("\U00030000\U00031350\U000323af") is not None and Profiles().of("\U0001f600 1") is None
