@@ -437,7 +437,10 @@ def missing_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """Trading days without a line, between the first and the last of the history."""
     lineitem = feeds.table(spark, sf, "lineitem")
     bars = lineitem.select(F.to_date("l_shipdate").alias("date"))
-    return Q.missing_sessions(bars, _calendar(spark, "history"))
+    first, last = bars.agg(F.min("date"), F.max("date")).first()
+    if first is None:
+        return Q.missing_sessions(bars, _calendar(spark, "history"))
+    return Q.missing_sessions(bars, rule_calendar(spark, first.year, last.year))
 
 
 # --- lakehouse files --------------------------------------------------------------------------
