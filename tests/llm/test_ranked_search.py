@@ -1,0 +1,100 @@
+"""Ranked lexical search against a plain scorer."""
+
+import math
+import re
+
+import numpy as np
+import pytest
+from fixtures import awkward, empty
+from marketlake.llm import queries, ranked_search
+from marketlake.llm.oracle import ORACLE
+
+TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+FOLD = {c: c + 32 for c in range(65, 91)}
+
+
+def plain_terms(text):
+    return TERM.findall((text or "").translate(FOLD))
+
+
+def plain_rank(docs, items, k):
+    """(item, document's place, score) of the best, for lists of (id, text)."""
+    bags = [plain_terms(t) for _, t in docs]
+    n_docs, length = sum(map(bool, bags)), sum(map(len, bags))
+    out = []
+    for item, text in items:
+        terms, scored = set(plain_terms(text)), []
+        weights = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * sum(t in b for b in bags) + 1))) for t in terms}
+        for place, bag in enumerate(bags):
+            if bag:
+                m = 100 - 90 + (90 * len(bag) * n_docs) // length
+                score = sum(weights[t] * ((1_000_000_000 * bag.count(t)) // (1000 * bag.count(t) + 8 * m)) for t in terms & set(bag))
+                if score > 0:
+                    scored.append((-score, docs[place][0] is None, docs[place][0] or 0, docs[place][0]))
+        out += [(item, rank, doc_id, -score) for rank, (score, _, _, doc_id) in enumerate(sorted(scored, key=lambda x: x[:3])[:k], 1)]
+    return sorted(out, key=str)
+
+
+def found(df):
+    return sorted((tuple(r) for r in df.select("item_id", "rank", "doc_id", "score").collect()), key=str)
+
+
+def test_terms_are_those_of_the_pattern():
+    rng = np.random.default_rng(1)
+    chars = [chr(c) for c in [*range(0x100), 0x130, 0x212A, 0x4E2D, 0x1F600, 0x2028]]
+    for _ in range(300):
+        text = "".join(rng.choice(chars, 40))
+        assert [t.decode() for t in ranked_search.terms_of(text.encode())] == plain_terms(text)
+
+
+@pytest.mark.parametrize("group,part", [(1 << 20, 1 << 14), (40, 2)])
+def test_awkward_rows(spark, monkeypatch, group, part):
+    monkeypatch.setattr(ranked_search, "GROUP_POSTINGS", group)
+    monkeypatch.setattr(ranked_search, "PART_DOCS", part)
+    docs = awkward(spark)
+    items = [
+        (1, "The QUICK brown-fox, the den"), (2, None), (3, ""), (4, "no such terms qqq"), (5, "twice"), (5, "text of the same id"),
+        (None, "no id at all"), (6, "12 456 \U0001f600 é " * 30), (7, " ".join(r.text or "" for r in docs.collect())),
+    ]
+    asked = spark.createDataFrame([(*i, "x", 0.5) for i in items], "item_id long, text string, doc_id string, score double")
+    expected = plain_rank([(r.doc_id, r.text) for r in docs.collect()], items, 3)
+    assert found(ranked_search.rank(docs, asked, k=3)) == expected
+    # queries in blocks of one
+    assert found(ranked_search.rank(docs, asked, k=3, block_terms=1)) == expected
+    for d, a in ((empty(spark), asked), (docs, asked.limit(0))):
+        assert ranked_search.rank(d, a).columns == ["item_id", "rank", "doc_id", "score"]
+        assert ranked_search.rank(d, a).count() == 0
+
+
+def test_equal_texts_are_cut_by_id(spark, monkeypatch):
+    """A third of all rows is one text, in one stratum cut into parts."""
+    monkeypatch.setattr(ranked_search, "PART_DOCS", 16)
+    rows = [(1000 - i, "one two three" if i % 3 else f"four five {i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    asked = spark.createDataFrame([(1, "two six"), (2, "five 9 two")], "item_id long, text string")
+    assert found(ranked_search.rank(docs, asked)) == plain_rank(rows, [(1, "two six"), (2, "five 9 two")], 10)
+
+
+def test_strata_find_the_best():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        n, terms = int(rng.integers(1, 300)), int(rng.integers(1, 30))
+        tf = rng.integers(1, 9, (n, terms)) * (rng.random((n, terms)) < 0.2)
+        m = rng.choice(rng.integers(10, 400, 12), n)
+        doc, term = np.nonzero(tf)
+        index = ranked_search.Strata(m, doc, term, tf[doc, term])
+        weights = {int(t): int(w) for t, w in zip(rng.permutation(terms + 3)[:6], rng.integers(0, 6000, 6), strict=False)}
+        score = sum((w * (1_000_000_000 * tf[:, t] // (1000 * tf[:, t] + 8 * m)) for t, w in weights.items() if t < terms), np.zeros(n, int))
+        place = rng.permutation(n)
+        best = sorted(((-s, p, i) for i, (s, p) in enumerate(zip(score, place, strict=True)) if s >= 1))[:10]
+        docs, scores = index.search(weights, 10, 1, place)
+        assert list(zip(docs.tolist(), scores.tolist(), strict=True)) == [(i, -s) for s, _, i in best]
+
+
+def test_query_equals_sql(spark, sf):
+    import compare
+
+    names, expected = compare.duck_rows(compare.connect(sf), ORACLE["op11_ranked_search"])
+    df = queries.op11_ranked_search(spark, sf)
+    assert sorted(df.columns) == names
+    assert compare.spark_rows(df) == expected and expected
