@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import language, mixing, multi_index, secret_scan, sentence_pieces, simhash, suffix_dedup, url_filter
+from marketlake.llm import (
+    hard_negatives, language, mixing, multi_index, ranked_search, secret_scan, sentence_pieces, simhash, suffix_dedup, token_files, url_filter,
+)
 from marketlake.llm.common import table
 from marketlake.llm.exact_dedup import duplicate_groups
 from marketlake.llm.sharding import shard_documents
+from marketlake.session import scratch_path, staged
 
 #: Parts per source; sources not named share the rest.
 TARGET_PARTS = {"src0": 12, "src1": 8, "src2": 8} | {f"src{i}": 4 for i in range(3, 20)}
@@ -33,6 +36,14 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_tokenizer() -> str:
+    """The content of the installed byte-level tokenizer file; that of another path may be given to the operator."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return file.read()
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 40)
 
@@ -91,6 +102,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, URL_GLOBS)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=moved)
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_files.write_ids(table(spark, sf_dir, "documents"), path, byte_tokenizer())
+    found = staged(token_files.read_ids(spark, path, with_ids=False), "token-rows")
+    return token_files.with_starts(found).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,5 +126,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_exact_dedup, op3_simhash, op4_mixing, op5_multi_index, op6_secrets, op7_sentence_pieces,
-    op8_suffix_dedup, op9_language, op10_url_filter, pipeline,
+    op8_suffix_dedup, op9_language, op10_url_filter, op11_ranked_search, op12_hard_negatives, op13_token_files, pipeline,
 )}
