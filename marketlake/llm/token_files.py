@@ -24,6 +24,7 @@ import os
 import re
 import struct
 import zlib
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -98,7 +99,8 @@ def write_segment(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarra
     rows = rows - least[:, None]
     at = max(0, min(BLOCK - 1, int(np.ceil(percentile * BLOCK)) - 1))
     width = bit_lengths(np.partition(rows, at, axis=1)[:, at])
-    odd_block, odd_place = np.nonzero(rows.astype(np.uint64) >> width[:, None].astype(np.uint64))
+    limit = ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+    odd_block, odd_place = np.nonzero(rows > limit[:, None])
     odd = rows[odd_block, odd_place]
     rows[odd_block, odd_place] = 0
     count = np.bincount(odd_block, minlength=blocks)
@@ -171,9 +173,22 @@ def segments(data: bytes) -> Iterator[Segment]:
         at += segment.size + 1
 
 
+class Known(dict):
+    """Words and their ids. Asking for other words notes them in ``new``."""
+
+    def __init__(self):
+        self.new: set[str] = set()
+
+    def __missing__(self, word: str) -> None:
+        self.new.add(word)
+
+
 class Encoder:
     """Token ids as bytes of little-endian u32. Words of the tokenizer's pattern never cross the places where
-    ``WORD`` cuts, so most texts are put together from words; one that holds a special token's text is not cut."""
+    ``WORD`` cuts, so most texts are put together from words; one that holds a special token's text is not cut.
+
+    Words are remembered in two generations: when the younger one is full it replaces the older one, from which words
+    that are met again come back. So words that repeat stay."""
 
     def __init__(self, tokenizer: str, kept_words: int = KEPT_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already share the machine
@@ -183,7 +198,7 @@ class Encoder:
         self.line = self.whole("\n")[0]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cut, self.blank = re.compile(WORD).findall, re.compile(f"[{WHITE}]+").fullmatch
-        self.known, self.kept_words = {}, kept_words
+        self.known, self.older, self.kept_words = Known(), {}, kept_words
 
     def whole(self, text: str) -> np.ndarray:
         found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
@@ -202,19 +217,26 @@ class Encoder:
         if any(s in text for s in self.special):
             return self.whole(text).tobytes()
         words, known = self.cut(text), self.known
-        new = {w for w in words if w not in known}
-        if len(known) + len(new) > self.kept_words:
-            known.clear()
-            new = set(words)
-        white = [w for w in new if self.blank(w)]
-        new.difference_update(white)
-        known.update((w, self.whole(w).tobytes()) for w in white)
-        new = list(new)
-        known.update(zip(new, self.words(new), strict=True) if new else ())
-        found = b"".join([known[w] for w in words])
-        for w in (*new, *white):
+        deque(map(known.__getitem__, words), 0)
+        if not known.new:
+            return b"".join(map(known.__getitem__, words))
+        new = self.encoded(known.new)
+        known.new = set()
+        known.update(new)
+        found = b"".join(map(known.__getitem__, words))
+        for w in new:
             if len(w) > KEPT_CHARS:
                 del known[w]
+        if len(known) > self.kept_words // 2:
+            self.known, self.older = Known(), known
+        return found
+
+    def encoded(self, words: set[str]) -> dict[str, bytes]:
+        older = self.older
+        found = {w: older.pop(w) for w in words if w in older}
+        found.update((w, self.whole(w).tobytes()) for w in words if self.blank(w) and w not in found)
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, self.words(rest), strict=True) if rest else ())
         return found
 
 
