@@ -23,6 +23,8 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
+import types
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
@@ -41,8 +43,8 @@ BLOCK = 256
 PERCENTILE = 0.9
 #: Ids and documents of a segment (the last document may pass the first), segments of a file, at most.
 SEGMENT_IDS, SEGMENT_DOCS, FILE_SEGMENTS = 1 << 20, 1 << 16, 8
-#: Words that a task remembers, at most, and their length.
-KEPT_WORDS, KEPT_CHARS = 600_000, 40
+#: Words that a Python worker remembers, at most, and their length.
+KEPT_WORDS, KEPT_CHARS = 1_000_000, 40
 #: White space of the tokenizer's pattern. It never cuts a word from the one space before it, and always cuts
 #: letters from punctuation after them.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -240,6 +242,14 @@ class Encoder:
         return found
 
 
+def kept_encoder(tokenizer: str) -> Encoder:
+    """The encoder of this Python worker, which serves many tasks: words stay known from one to the next."""
+    kept = sys.modules.setdefault("marketlake_kept", types.ModuleType("marketlake_kept")).__dict__
+    if kept.get("content") != tokenizer:
+        kept.update(content=tokenizer, encoder=Encoder(tokenizer))
+    return kept["encoder"]
+
+
 def word_wise(tokenizer: str) -> bool:
     """Whether a tokenizer's texts may be cut by ``WORD``: byte-level, by its own pattern, nothing normalised."""
     import json
@@ -266,7 +276,7 @@ def write_ids(
     shared = rows.sparkSession.sparkContext.broadcast(tokenizer)
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = kept_encoder(shared.value)
         end = np.array([end_id], "<u4").tobytes()
         names, parts, held = [], [], 0
 
