@@ -32,7 +32,7 @@ from marketlake.session import staged
 #: Every byte of a term to itself, A-Z in lower case, all others to a space. Bytes from 0x80 on are parts of terms.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 #: Postings of a group, and documents of a part of a stratum, about.
-GROUP_POSTINGS, PART_DOCS = 1 << 20, 1 << 14
+GROUP_POSTINGS, PART_DOCS = 1 << 20, 1 << 10
 #: Terms of a block of queries, each query's counted, at most (one query is never cut).
 BLOCK_TERMS = 1 << 19
 

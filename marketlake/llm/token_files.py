@@ -44,7 +44,7 @@ PERCENTILE = 0.9
 #: Ids and documents of a segment (the last document may pass the first), segments of a file, at most.
 SEGMENT_IDS, SEGMENT_DOCS, FILE_SEGMENTS = 1 << 20, 1 << 16, 8
 #: Words that a Python worker remembers, at most, and their length.
-KEPT_WORDS, KEPT_CHARS = 1_000_000, 40
+KEPT_WORDS, KEPT_CHARS = 800_000, 40
 #: White space of the tokenizer's pattern. It never cuts a word from the one space before it, and always cuts
 #: letters from punctuation after them.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -236,7 +236,7 @@ class Encoder:
     def encoded(self, words: set[str]) -> dict[str, bytes]:
         older = self.older
         found = {w: older.pop(w) for w in words if w in older}
-        found.update((w, self.whole(w).tobytes()) for w in words if self.blank(w) and w not in found)
+        found.update((w, self.whole(w).tobytes()) for w in words if w[-1].isspace() and self.blank(w) and w not in found)
         rest = [w for w in words if w not in found]
         found.update(zip(rest, self.words(rest), strict=True) if rest else ())
         return found

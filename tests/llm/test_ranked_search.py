@@ -47,7 +47,7 @@ def test_terms_are_those_of_the_pattern():
         assert [t.decode() for t in ranked_search.terms_of(text.encode())] == plain_terms(text)
 
 
-@pytest.mark.parametrize("group,part", [(1 << 20, 1 << 14), (40, 2)])
+@pytest.mark.parametrize("group,part", [(1 << 20, 1 << 10), (40, 2)])
 def test_awkward_rows(spark, monkeypatch, group, part):
     monkeypatch.setattr(ranked_search, "GROUP_POSTINGS", group)
     monkeypatch.setattr(ranked_search, "PART_DOCS", part)
