@@ -139,9 +139,10 @@ REFCLOSES = f"""refcloses as (select as_of, ticker, {labelled("ref", "close")}
 
 
 def newest(days: int) -> str:
-    return f"""recent as (select as_of, ticker, close, volume, timestamp_ms,
+    return f"""back as (select as_of, cast(as_of as date) - cast(k as integer) as date from asofs, range({days + 1}) t(k)),
+recent as materialized (select as_of, ticker, close, volume, timestamp_ms,
     row_number() over (partition by as_of, ticker order by date desc) as rn
-  from bars join asofs on date between as_of - {days} and as_of),
+  from bars join back using (date)),
 top as (select as_of, ticker, close as price, volume, timestamp_ms as "timestamp" from recent where rn = 1),
 second as (select as_of, ticker, nullif(close, 0) as second_close from recent where rn = 2)"""
 
@@ -522,3 +523,36 @@ ORACLE["stream_deltas"] = sql(
     ticks("brand"),
     ENRICHED,
 )
+
+ORACLE["stream_direction"] = ORACLE["tick_direction"]
+ORACLE["cache_producers"] = ORACLE["cache_merge"]
+MERGED = "merged as (" + ORACLE["cache_merge"][ORACLE["cache_merge"].rindex("\nselect ") :] + ")"
+ORACLE["stream_snapshot"] = sql(
+    """select c_name as username, ticker, price, coalesce(change, 0) as change, coalesce(changePct, 0) as changePct,
+  coalesce(volume, 0) as volume, coalesce("timestamp", 0) as "timestamp", perf5d, perf3y
+from watch join customer on c_custkey = user_id join merged using (ticker) where price > 0""",
+    HISTORY,
+    WATCH,
+    QUOTES,
+    ticks("brand"),
+    ENRICHED,
+    NEWEST_TICK.format("enriched"),
+    MERGED,
+)
+ORACLE["dead_letters"] = sql(
+    """select case k % 9 when 0 then 'unparsable' when 1 then 'no ticker' else 'no price' end as fault, count(*) as n
+from ev where k % 9 < 3 group by all
+union all select '(records)', count(*) from ev
+union all select '(dead)', count(*) from ev where k % 9 < 3
+union all select '(ticks)', count(*) from ev where k % 9 >= 3""",
+    EVENTS,
+)
+ORACLE["stream_watchlists"] = ORACLE["apply_watchlist_changes"]
+ORACLE["ticker_gaps"] = sql(
+    """select ticker, last_before, first_after, (select count(*) from td where day > last_before and day < first_after) as missing
+from (select ticker, lag(date) over (partition by ticker order by date) as last_before, date as first_after
+  from bars where date in (select day from td))
+where exists (select 1 from td where day > last_before and day < first_after)""",
+    HISTORY,
+    OLD,
+)

@@ -33,7 +33,7 @@ def run_close_of_day(
     day, dense = one_day(spark, as_of), dense_calendar(calendar)
     bars = daily_bars(silver_on(read_silver(spark, silver_path), day, dense, 5), session)
     rows = close_of_day(bars, day, dense, 5, tracked_universe(user_tickers, positions))
-    return cache.merge(rows.drop("as_of"))
+    return cache.merge(rows.drop("as_of"), as_of)
 
 
 def seed_tickers(
@@ -49,7 +49,7 @@ def seed_tickers(
     day, dense = one_day(spark, as_of), dense_calendar(calendar)
     bars = daily_bars(silver_on(read_silver(spark, silver_path), day, dense, 10), session)
     rows = seed_rows(bars, day, dense, 10, tickers)
-    return cache.merge(rows.drop("as_of"))
+    return cache.merge_seeds(rows.drop("as_of"), as_of)
 
 
 def silver_on(silver: DataFrame, day: DataFrame, dense: DataFrame, lookback: int) -> DataFrame:

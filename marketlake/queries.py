@@ -26,6 +26,7 @@ from marketlake.sources.cache import CacheTable
 from marketlake.sources.calendar import rule_calendar
 from marketlake.sources.lake import to_silver
 from marketlake.streaming import live
+from marketlake.streaming import watchlists as WL
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -443,6 +444,12 @@ def missing_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return Q.missing_sessions(bars, rule_calendar(spark, first.year, last.year))
 
 
+@query
+def ticker_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of trading days on which a ticker of the history has no bar."""
+    return Q.ticker_gaps(_history(spark, sf), _calendar(spark, "history"))
+
+
 # --- lakehouse files --------------------------------------------------------------------------
 
 
@@ -505,6 +512,105 @@ def stream_cache(spark: SparkSession, sf: str) -> DataFrame:
     return _relay(spark, sf)[0].read()
 
 
+def _slices(rows: DataFrame, column: str, n: int) -> list[DataFrame]:
+    """The rows in ``n`` parts that follow each other in ``column``."""
+    edges = rows.approxQuantile(column, [i / n for i in range(1, n)], 0.01)
+    low, out = None, []
+    for high in [*edges, None]:
+        part = rows if low is None else rows.where(F.col(column) >= low)
+        out.append(part if high is None else part.where(F.col(column) < high))
+        low = high
+    return out
+
+
+@query
+def stream_direction(spark: SparkSession, sf: str) -> DataFrame:
+    """Price directions on a stream that is stopped and started again twice: equal to the batch lag."""
+    root = scratch_path(spark, "directions")
+    emit, state = live.folder_emitter(f"{root}/out"), live.direction_state(spark, f"{root}/state", compact_every=2)
+    for part in _slices(feeds.messages(_events(spark, sf), "narrow"), "end_timestamp", 3):
+        part.write.mode("append").json(f"{root}/messages")
+        ticks = K.normalize_ticks(live.json_source(spark, f"{root}/messages", files_per_batch=1000))
+        live.start_directions(ticks, state, emit, f"{root}/checkpoint").awaitTermination()
+    found = spark.read.schema("seq bigint, ticker string, price double, direction string").json(f"{root}/out/directions")
+    return found.drop("batch")
+
+
+@query
+def stream_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """What clients know that connect between two runs of the relay and then get its deltas: the cache."""
+    root = scratch_path(spark, "snapshot")
+    users = feeds.users(feeds.table(spark, sf, "customer"))
+    followed = staged(P.watchlist(feeds.user_tickers(*_facts(spark, sf)), users), "followed")
+    cache = CacheTable(spark, f"{root}/cache")
+    cache.merge(_quotes(spark, sf))
+    messages = None
+    for part in _slices(feeds.messages(_events(spark, sf), "brand"), "end_timestamp", 2):
+        part.write.mode("append").json(f"{root}/messages")
+        ticks = K.normalize_ticks(live.json_source(spark, f"{root}/messages", files_per_batch=1000))
+        live.start_relay(ticks, cache, live.folder_emitter(f"{root}/out"), f"{root}/checkpoint").awaitTermination()
+        if messages is None:
+            first, cut = live.connect(cache, followed)
+            messages = staged(first, "messages")
+    deltas = K.delta_messages(followed, live.delta_log(spark, f"{root}/out"), cut)
+    state = K.client_state(messages.unionByName(deltas, allowMissingColumns=True))
+    return state.select("username", "ticker", *[f"tick.{c}" for c in ("price", "change", "changePct", "volume", "timestamp", "perf5d", "perf3y")])
+
+
+@query
+def cache_producers(spark: SparkSession, sf: str) -> DataFrame:
+    """Two live streams, a nightly run and seeds in turns, in batches out of order: nothing is lost."""
+    cache = CacheTable(spark, f"{scratch_path(spark, 'producers')}/cache", compact_every=2)
+    quotes = _quotes(spark, sf)
+    day = _last_date(spark, sf).first()[0]
+    parts = _slices(_ticks(spark, sf, "brand"), "timestamp", 4)
+    late = quotes.where("ticker >= 'Brand#3'")
+    cache.merge(quotes.where("ticker < 'Brand#2'"), day)
+    for batch_id, (n, producer) in enumerate([(3, "east"), (0, "west"), (1, "east"), (2, "west")]):
+        rows = K.cache_fields(K.latest_tick(K.enrich(parts[n], quotes)))
+        cache.merge_live(rows, batch_id, producer)
+        if batch_id == 1:
+            cache.merge_seeds(late, day)
+        if batch_id == 2:
+            cache.merge(quotes.where("ticker >= 'Brand#2' and ticker < 'Brand#3'"), day)
+        cache.merge_live(rows, batch_id, producer)  # a batch that is repeated
+    return cache.read()
+
+
+@query
+def dead_letters(spark: SparkSession, sf: str) -> DataFrame:
+    """Records that are no ticks, by fault, as kept by the receiver, and the numbers it observed."""
+    root = scratch_path(spark, "records")
+    ticks = _ticks(spark, sf)
+    whole = F.to_json(F.struct(*K.TICK_COLUMNS))
+    no_ticker = F.to_json(F.struct(*[c for c in K.TICK_COLUMNS if c != "ticker"]))
+    no_price = F.to_json(F.struct(*[c for c in K.TICK_COLUMNS if c != "price"]))
+    kind = F.pmod("volume", F.lit(9))
+    value = F.when(kind == 0, F.substring(whole, 1, 30)).when(kind == 1, no_ticker).when(kind == 2, no_price).otherwise(whole)
+    ticks.select(value.alias("value")).repartition(4).write.text(f"{root}/records")
+    records = spark.readStream.schema("value string").option("maxFilesPerTrigger", 2).text(f"{root}/records")
+    emit = live.folder_emitter(f"{root}/out")
+    live.start_receiver(records, emit, f"{root}/checkpoint", lambda t, n: emit(t, "good", n)).awaitTermination()
+    kept = spark.read.schema("value string, fault string").json(f"{root}/out/dead_letters").groupBy("fault")
+    seen = spark.read.schema("records bigint, dead bigint").json(f"{root}/out/record_counts").agg(F.sum("records").alias("r"), F.sum("dead").alias("d"))
+    good = spark.read.schema("ticker string").json(f"{root}/out/good").agg(F.count("ticker").alias("n"))
+    totals = seen.select(F.explode(F.create_map(F.lit("(records)"), "r", F.lit("(dead)"), "d")).alias("fault", "n"))
+    return kept.agg(F.count("value").alias("n")).union(totals).union(good.select(F.lit("(ticks)"), "n"))
+
+
+@query
+def stream_watchlists(spark: SparkSession, sf: str) -> DataFrame:
+    """The change feed as a stream in three runs: equal to the feed applied at once."""
+    root = scratch_path(spark, "watchlists")
+    table = WL.watchlist_table(spark, f"{root}/table", compact_every=2)
+    WL.load_watchlists(table, feeds.user_tickers(*_facts(spark, sf)))
+    for part in _slices(feeds.watchlist_changes(_events(spark, sf)), "seq", 3):
+        part.write.mode("append").json(f"{root}/changes")
+        changes = spark.readStream.schema(WL.WATCHLIST_CHANGE).option("maxFilesPerTrigger", 1000).json(f"{root}/changes")
+        WL.start_watchlists(changes, table, f"{root}/checkpoint").awaitTermination()
+    return table.read().select("user_id", "ticker", "sort_order")
+
+
 @query
 def stream_deltas(spark: SparkSession, sf: str) -> DataFrame:
     """The delta messages of the stream, parsed back."""
