@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def load_report(parsed: DataFrame) -> DataFrame:
-    """Rows read, rows unparsable and status per day file of a parsed load."""
+def load_report(parsed: DataFrame, *by: str) -> DataFrame:
+    """Rows read, bad rows and status per date of a parsed load, or by other columns."""
     return (
-        parsed.groupBy("date")
+        parsed.groupBy(*(by or ["date"]))
         .agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("row_ok")).alias("bad_rows"))
         .withColumn("status", F.when(F.col("bad_rows") > 0, "failed").otherwise("ok"))
     )

@@ -504,17 +504,34 @@ where day between lo and hi and day not in (select d from b)""",
 # --- lakehouse files and streams --------------------------------------------------------------
 
 ORACLE["csv_to_bronze"] = sql(
-    """select ticker, volume, open, close, high, low, window_start, transactions, '' as otc, date
+    """select ticker, volume, open, close, high, low, window_start, transactions,
+  case when cast(date[9:10] as integer) % 3 < 2 then '' end as otc, date
 from silver""",
     minute("narrow"),
 )
 ORACLE["silver_overwrite"] = ORACLE["silver_bars"]
 ORACLE["load_report"] = sql(
-    """select date, count(*) as rows, count(*) filter (volume = 99 and close > 150) as bad_rows,
-  case when bool_or(volume = 99 and close > 150) then 'failed' else 'ok' end as status
-from silver group by date""",
+    """select date, case when dd % 10 = 0 then 'empty' when bool_or(volume = 99 and close > 150) then 'failed' else 'ok' end as status,
+  case when dd % 10 = 0 then 0 else count(*) end as rows,
+  case when dd % 10 = 0 then 0 else count(*) filter (volume = 99 and close > 150) end as bad_rows, true as named, true as timed
+from (select *, cast(date[9:10] as integer) as dd from silver) group by date, dd""",
     minute("wide"),
 )
+ORACLE["daily_ingest"] = sql(
+    """select date, case kind when 0 then 'unreadable' when 1 then case when bad > 0 then 'failed' else 'ok' end when 2 then 'empty' else 'ok' end as status,
+  case when kind in (0, 2) then 0 else n end as rows, case when kind = 1 then bad else 0 end as bad_rows,
+  case when kind > 2 or (kind = 1 and bad = 0) then n end as bronze_rows, case when kind > 2 or (kind = 1 and bad = 0) then n end as silver_rows
+from (select date, cast(date[9:10] as integer) % 7 as kind, count(*) as n, count(*) filter (window_start // 60000000000 % 5 = 0) as bad
+  from silver group by date)
+union all select null, 'undated', 0, 0, null, null where exists (select 1 from silver where cast(date[9:10] as integer) % 7 = 3)""",
+    minute("wide"),
+)
+ORACLE["commit_retry"] = sql(
+    """select ticker, date, window_start, close + case when dd % 10 in (1, 2) then 1000 else 0 end as close,
+  case when dd % 10 = 2 then 2 else 1 end as loads
+from (select *, cast(date[9:10] as integer) as dd from silver)""",
+    minute("narrow"),
+)
 ORACLE["stream_cache"] = ORACLE["cache_merge"]
 ORACLE["stream_deltas"] = sql(
     "select ticker, 'tick' as type, price, change, perf5d from enriched",

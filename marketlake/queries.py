@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlake.functions.sessions import bar_session
@@ -18,12 +19,14 @@ from marketlake.operators import quality as Q
 from marketlake.operators import reference as R
 from marketlake.operators import ticks as K
 from marketlake.operators import universe as U
-from marketlake.plans.lakehouse import Lake, load_files, refresh_silver
+from marketlake.plans.lakehouse import Lake, commit_staged, committed, ingest_new_files, load_files, refresh_silver
+from marketlake.schemas import RAW_COLUMNS
 from marketlake.session import one_day, scratch_path, staged
 from marketlake.sources import feeds, lake
 from marketlake.sources import raw_files as raw
 from marketlake.sources.cache import CacheTable
 from marketlake.sources.calendar import rule_calendar
+from marketlake.sources.files import rename
 from marketlake.sources.lake import to_silver
 from marketlake.streaming import live
 from marketlake.streaming import watchlists as WL
@@ -460,16 +463,94 @@ def _export(spark: SparkSession, bars: DataFrame) -> list[str]:
     return raw.list_files(spark, raw.exported_globs(root))
 
 
+def _day(column: str = "date") -> Column:
+    return F.substring(column, 9, 2).cast("int")
+
+
+def _lines(bars: DataFrame, root: str, compression: str = "gzip") -> list[str]:
+    """Bars written line by line as one day file a date, its header first, columns ``line`` and ``date``: their paths."""
+    head = bars.select("date").distinct().select(F.lit(HEADER).alias("line"), "date", F.lit(0).alias("at"))
+    rows = bars.select("line", "date", F.lit(1).alias("at")).unionByName(head)
+    rows.repartition("date").sortWithinPartitions("date", "at").select("line", "date").write.partitionBy("date").option(
+        "compression", compression
+    ).text(root)
+    out = []
+    for row in spark_files(bars.sparkSession, root):
+        name = re.sub(r"/part-(\d+)[^/]*$", r"/part-\1" + raw.SUFFIX, row)
+        rename(bars.sparkSession, row, name)
+        out.append(name)
+    return out
+
+
+def spark_files(spark: SparkSession, root: str) -> list[str]:
+    """The files that Spark has written under ``root``."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(root)
+    return [r.path for r in found.select("path").collect()]
+
+
+#: The header of a day file without its last column.
+HEADER = ",".join(c for c in RAW_COLUMNS if c != "otc")
+
+
+def _bar_line(bars: DataFrame, *more: Column) -> Column:
+    return F.concat_ws(",", *[F.col(c).cast("string") for c in RAW_COLUMNS if c != "otc"], *more)
+
+
 @query
 def csv_to_bronze(spark: SparkSession, sf: str) -> DataFrame:
-    """Day files -> staged -> bronze, loaded twice: the second load must change nothing."""
-    paths = _export(spark, feeds.event_bars(_events(spark, sf)))
+    """Day files under three headers (two orders of columns, one column missing) -> staged -> bronze, loaded twice:
+    the second load must change nothing."""
+    bars = feeds.event_bars(_events(spark, sf))
+    turned = bars.select("date", *reversed(list(RAW_COLUMNS)))
+    paths = _export(spark, bars.where(_day() % 3 == 0)) + _export(spark, turned.where(_day() % 3 == 1))
+    paths += _export(spark, bars.where(_day() % 3 == 2).drop("otc"))
     tables = Lake(scratch_path(spark, "lake"))
     load_files(spark, paths, tables)
     load_files(spark, paths, tables)
     return lake.read_bronze(spark, tables.path("bronze"))
 
 
+@query
+def daily_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """The ledger after two runs of the daily ingest over good, broken, ragged, empty and undated files, some of them
+    late, and what bronze and silver hold of each date."""
+    root, tables = scratch_path(spark, "raw"), Lake(scratch_path(spark, "lake"))
+    bars = feeds.event_bars(_events(spark, sf), "wide")
+    bars = bars.withColumn("line", _bar_line(bars))
+    kind = _day() % 7
+    more = F.when((F.col("window_start") / 60_000_000_000) % 5 == 0, F.concat("line", F.lit(",1"))).otherwise(F.col("line"))
+    _lines(bars.where(kind == 0), f"{root}/broken", "none")  # plain text under the name of a gzip file
+    _lines(bars.where(kind == 1).withColumn("line", more), f"{root}/ragged")
+    _lines(bars.where(kind == 2).select("date").distinct().withColumn("line", F.lit("")), f"{root}/empty")
+    _lines(bars.where(kind > 3), f"{root}/good")
+    for path in _lines(bars.where(kind == 3).withColumn("date", F.lit("none")), f"{root}/undated"):
+        rename(spark, path, path.replace("date=none", "notes"))
+    ingest_new_files(spark, root, tables, f"{root}-checkpoint", files_per_run=1000)
+    _lines(bars.where(kind == 3), f"{root}/late")
+    ingest_new_files(spark, root, tables, f"{root}-checkpoint", files_per_run=3)
+    bronze = Q.counts_per_date(lake.read_bronze(spark, tables.path("bronze"))).withColumnRenamed("rows", "bronze_rows")
+    silver = Q.counts_per_date(lake.read_silver(spark, tables.path("silver"))).withColumnRenamed("rows", "silver_rows")
+    ledger = committed(spark, tables).groupBy("date", "status").agg(F.sum("rows").alias("rows"), F.sum("bad_rows").alias("bad_rows"))
+    return ledger.join(bronze, "date", "left").join(silver, "date", "left")
+
+
+@query
+def commit_retry(spark: SparkSession, sf: str) -> DataFrame:
+    """The retry after a correction: some dates are staged again with other closes, one was staged and never committed.
+    Bronze after it, and how often each date was loaded."""
+    bars = feeds.event_bars(_events(spark, sf))
+    tables = Lake(scratch_path(spark, "lake"))
+    never = _day() % 10 == 1
+    load_files(spark, _export(spark, bars.where(~never)), tables)
+    corrected = bars.withColumn("close", F.col("close") + 1000)
+    again = raw.read_day_files(spark, _export(spark, corrected.where((_day() % 10 == 2) | never)))
+    lake.write_staged(again, tables.path("staged"))  # and here the job was lost
+    commit_staged(spark, tables)
+    commit_staged(spark, tables)  # nothing is left to do
+    loads = committed(spark, tables).select("date", "generation").distinct().groupBy("date").agg(F.count(F.lit(1)).alias("loads"))
+    return lake.read_bronze(spark, tables.path("bronze")).select("ticker", "date", "window_start", "close").join(loads, "date")
+
+
 @query
 def silver_overwrite(spark: SparkSession, sf: str) -> DataFrame:
     """Bronze -> silver, then a refresh of one date: other partitions must stay."""
@@ -483,11 +564,16 @@ def silver_overwrite(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def load_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Day files with unparsable closes: rows, bad rows and status of each date."""
+    """The report of a load of day files, some with unparsable closes and some without rows."""
     bars = feeds.event_bars(_events(spark, sf), "wide")
     broken = F.when((F.col("volume") == 99) & (F.col("close") > 150), "n.a.")
-    paths = _export(spark, bars.withColumn("close", F.coalesce(broken, F.col("close").cast("string"))))
-    return Q.load_report(raw.read_day_files(spark, paths))
+    bars = bars.withColumn("close", F.coalesce(broken, F.col("close").cast("string")))
+    paths = _export(spark, bars.where(_day() % 10 > 0))
+    paths += _lines(bars.where(_day() % 10 == 0).select("date").distinct().withColumn("line", F.lit(" ")), scratch_path(spark, "day-files"))
+    report = load_files(spark, paths, Lake(scratch_path(spark, "lake")))
+    named = F.bool_and(F.col("file").contains(F.col("date"))).alias("named")
+    timed = F.bool_and(F.col("seconds") > 0).alias("timed")
+    return report.groupBy("date", "status").agg(F.sum("rows").alias("rows"), F.sum("bad_rows").alias("bad_rows"), named, timed)
 
 
 # --- streams ----------------------------------------------------------------------------------

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -32,19 +31,27 @@ def build_session(app: str = "marketlake", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it.
+    """The folder all executors can reach, as the cluster names it; where it names none, one in the warehouse,
+    which they share too."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    return folder.rstrip("/")
 
-    Only a local master, where driver and executors share one disk, may fall back to a
-    temporary folder; on a cluster the setting is required.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="marketlake-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+
+def scratch_root(spark: SparkSession) -> str:
+    """This application's part of the shared folder. It is removed when the application ends, or by ``release_scratch``."""
+    root = f"{shared_folder(spark)}/marketlake-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+    return root
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Removes all scratch tables written so far. For drivers that live long, once the results that read them are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def one_day(spark: SparkSession, day: dt.date) -> DataFrame:
@@ -53,8 +60,8 @@ def one_day(spark: SparkSession, day: dt.date) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in this application's part of the shared folder."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

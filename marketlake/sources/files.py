@@ -32,3 +32,12 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     """Removes a folder of the library's own tables, if it is there."""
     system, at = _path(spark, path)
     system.delete(at, True)
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Renames a file or folder, making the folders above it."""
+    system, at = _path(spark, old)
+    to = _path(spark, new)[1]
+    system.mkdirs(to.getParent())
+    if not system.rename(at, to):
+        raise OSError(f"can not rename {old}")

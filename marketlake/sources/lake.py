@@ -24,6 +24,7 @@ STAGED = T.StructType(
     + [
         T.StructField("row_ok", T.BooleanType()),
         T.StructField("raw", T.StringType()),
+        T.StructField("file", T.StringType()),
         T.StructField("year", T.StringType()),
     ]
 )
@@ -51,6 +52,10 @@ def write_quarantine(rows: DataFrame, path: str) -> None:
     _overwrite_partitions(rows, path, ["date"], [])
 
 
+def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("raw string, date string").parquet(path)
+
+
 def read_bronze(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BRONZE).parquet(path)
 

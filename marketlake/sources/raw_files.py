@@ -7,12 +7,15 @@ read with its own header as schema, and columns are then taken by name.
 
 from __future__ import annotations
 
+import csv
 import re
+import time
+import zlib
 from collections import defaultdict
-from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +30,11 @@ NULL_NUMBERS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "N/A", "NA", "NULL", "NaN", "n/a", "nan", "null",
 ]
+PROBE = "path string, file string, status string, error string, header array<string>, rows bigint, seconds double"
+PROBE_TYPES = pa.schema({
+    "path": pa.string(), "file": pa.string(), "status": pa.string(), "error": pa.string(), "header": pa.list_(pa.string()),
+    "rows": pa.int64(), "seconds": pa.float64(),
+})
 # where the reader puts a line whose fields do not match the header
 RAGGED = "__ragged_line"
 
@@ -47,33 +55,82 @@ def list_files(spark: SparkSession, globs: list[str]) -> list[str]:
     return sorted(row.path for row in files.collect())
 
 
-def date_of(path: str) -> str:
+def date_of(path: str) -> str | None:
+    """The date in a file's name or folder, None without one."""
     match = re.search(DATE_IN_NAME, path)
-    if match is None:
-        raise ValueError(f"no date in the name of {path}")
-    return match.group(1)
+    return match.group(1) if match else None
 
 
-def header_groups(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
-    """Paths by header. Each header look-up reads the first line of one file only."""
+def probe_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, file, status, error, header, rows, seconds) of every file, from one job whatever their number.
+
+    Each task unzips its files as a whole, so a file that can not be decoded is found before anything is written:
+    ``status`` is ok, empty (no line after the header) or unreadable, with the class of the error. A storage that
+    fails is no broken file: it fails the task, which Spark repeats, and in the end the job. ``rows`` are the lines after the
+    header that are not blank, ``header`` the first line's names, ``file`` the name that reading a file gives its rows.
+    """
+    files = spark.read.format("binaryFile").load(paths).select("path", F.col("_metadata.file_path").alias("file"), "content")
+
+    def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, file, content in zip(*batch.columns, strict=True):
+                began = time.perf_counter()
+                status, error, header, rows = probe_content(content.as_buffer())
+                row = {
+                    "path": path.as_py(), "file": file.as_py(), "status": status, "error": error, "header": header,
+                    "rows": rows, "seconds": time.perf_counter() - began,
+                }
+                yield pa.RecordBatch.from_pylist([row], PROBE_TYPES)
+
+    return files.mapInArrow(probe, PROBE)
+
+
+def probe_content(content: bytes, piece: int = 1 << 20) -> tuple[str, str | None, list[str] | None, int]:
+    """(status, error class, header, rows) of the content of one gzip CSV file, unzipped piece by piece."""
+    header, rows, rest, at, view = None, 0, b"", 0, memoryview(content)
+    unzip = zlib.decompressobj(31)
+    try:
+        while at < len(view) or unzip.unused_data:
+            if unzip.eof:  # the next member of the file
+                data, unzip = unzip.unused_data, zlib.decompressobj(31)
+                if not data and at >= len(view):
+                    break
+            else:
+                data = b""
+            data += bytes(view[at : at + piece])
+            at += piece
+            *lines, rest = (rest + unzip.decompress(data)).split(b"\n")
+            if lines and header is None:
+                header = lines.pop(0)
+            rows += sum(map(bool, map(bytes.strip, lines)))
+        if len(view) and not unzip.eof:
+            return "unreadable", "EOFError", None, 0
+        if header is None:
+            header, rest = rest, b""
+        rows += bool(rest.strip())
+        names = next(csv.reader([header.decode("utf-8-sig")]), [])
+    except (zlib.error, UnicodeDecodeError, csv.Error) as error:
+        return "unreadable", type(error).__name__, None, 0
+    return "ok" if rows else "empty", None, names, rows
 
-    def header(path: str) -> tuple[str, ...]:
-        return tuple(spark.read.option("header", True).csv(path).columns)
 
+def header_groups(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Paths of readable files by header."""
     groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    with ThreadPoolExecutor(16) as pool:
-        for path, names in zip(paths, pool.map(header, paths), strict=True):
-            groups[names].append(path)
+    for row in probe_files(spark, paths).where("header is not null").collect():
+        groups[tuple(row.header)].append(row.path)
     return dict(groups)
 
 
-def read_day_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """All files as typed bars with ``date`` from the file name, plus ``row_ok`` and ``raw``.
+def read_day_files(
+    spark: SparkSession, paths: list[str], groups: dict[tuple[str, ...], list[str]] | None = None
+) -> DataFrame:
+    """All files as typed bars with ``date`` from the file name, plus ``row_ok``, ``raw`` and ``file``.
 
-    ``row_ok`` is false where a declared number does not parse or the row has more or fewer fields
+    ``groups`` are the paths by header where they are known. ``row_ok`` is false where a declared number does not parse or the row has more or fewer fields
     than the header; ``raw`` then holds the original texts. Missing columns are typed nulls, unknown columns are dropped.
     """
-    parts = [_read_group(spark, names, files) for names, files in header_groups(spark, paths).items()]
+    parts = [_read_group(spark, names, files) for names, files in (groups or header_groups(spark, paths)).items()]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -116,6 +173,7 @@ def _read_group(spark: SparkSession, names: tuple[str, ...], paths: list[str]) -
         .option("columnNameOfCorruptRecord", RAGGED)
         .csv(paths)
         .withColumn("date", F.regexp_extract("_metadata.file_path", DATE_IN_NAME, 1))
+        .withColumn("file", F.col("_metadata.file_path"))
     )
     typed, checks = [], []
     for name, kind in RAW_COLUMNS.items():
@@ -131,4 +189,4 @@ def _read_group(spark: SparkSession, names: tuple[str, ...], paths: list[str]) -
     texts = F.to_json(F.struct(*[F.col(n) for n in names]))
     line = F.to_json(F.struct(F.col(RAGGED).alias("line")))
     raw = F.when(~ok, F.when(F.col(RAGGED).isNotNull(), line).otherwise(texts))
-    return rows.select(*typed, "date", ok.alias("row_ok"), raw.alias("raw"))
+    return rows.select(*typed, "date", ok.alias("row_ok"), raw.alias("raw"), "file")
