@@ -8,7 +8,6 @@ language by cosine.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +24,7 @@ SAMPLE_PER_LANGUAGE = 4000
 UNKNOWN = "und"
 
 
-@functools.cache
-def _letters() -> np.ndarray:
+def letter_table() -> np.ndarray:
     """Code point -> code point of the lower-case letter, or 0 where it is no letter."""
     table = np.zeros(0x110000, np.uint32)
     for c in range(len(table)):
@@ -40,9 +38,9 @@ def _letters() -> np.ndarray:
 class Profiles:
     """Trigram vectors, made when first seen; the cache is emptied when it holds ``cache`` of them."""
 
-    def __init__(self, dim: int = DIM, cache: int = 40_000) -> None:
+    def __init__(self, letters: np.ndarray | None = None, dim: int = DIM, cache: int = 40_000) -> None:
         self.dim, self.cache = dim, cache
-        self.letters = _letters()
+        self.letters = letter_table() if letters is None else letters
         self.letter_vectors: dict[int, np.ndarray] = {}
         self.rows: dict[int, int] = {}
         self.matrix = np.empty((1024, dim), np.int8)
@@ -106,8 +104,10 @@ def learn(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict[
     if sample is None:
         return {}
 
+    letters = sample.sparkSession.sparkContext.broadcast(letter_table())  # of one size, whatever the input
+
     def bundle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        profiles, sums = Profiles(), {}
+        profiles, sums = Profiles(letters.value), {}
         for frame in frames:
             for lang, text in zip(frame["lang"], frame["text"], strict=True):
                 vector = profiles.of(text)
@@ -133,18 +133,22 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
     rows = pick(docs, doc_id=id_col, text=text_col)
     names, matrix = list(prototypes), np.array(list(prototypes.values())).reshape(-1, DIM)
 
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        profiles = Profiles()
-        for frame in frames:
+    letters = docs.sparkSession.sparkContext.broadcast(letter_table())
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        profiles = Profiles(letters.value)
+        for batch in batches:
             langs, scores = [], []
-            for text in frame["text"]:
-                vector = profiles.of(text) if names else None
+            for text in batch.column("text"):
+                vector = profiles.of(text.as_py()) if names else None
                 near = None if vector is None else matrix @ vector
                 langs.append(UNKNOWN if near is None else names[int(near.argmax())])
                 scores.append(0.0 if near is None else float(np.clip(near.max(), 0, 1)))
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "lang_pred": langs, "score": scores})
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"]
+            )
 
-    return rows.mapInPandas(judge, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return rows.mapInArrow(judge, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -10,14 +10,16 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlake.llm.common import pick
 
-#: Ends the host in the canonical form ".host" + END + "path". It can't occur in either part.
+#: Ends the host in the canonical form ".host" + END + "path".
 END = "\x00"
+#: Stands for a NUL of the URL, which is no END. UTF-8 has no such byte.
+NUL = b"\xff"
 
 
 class GlobAutomaton:
@@ -83,6 +85,11 @@ class GlobAutomaton:
         return out
 
 
+def canonical(host: str, path: str) -> bytes:
+    host, path = (x.encode().replace(END.encode(), NUL) for x in (host, path))
+    return b"." + host + END.encode() + path
+
+
 def rule_glob(rule: str) -> str:
     """host/path: the host and its subdomains, and paths that start with the rule's."""
     host, _, path = rule.partition("/")
@@ -111,19 +118,17 @@ def judge_urls(
     ranked = sorted(rules, key=lambda r: -len(r[1]))
     automaton = GlobAutomaton([*(rule_glob(r) for _, r in ranked), *globs])
 
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             texts = [
-                f".{h.replace(END, '')}{END}{p.replace(END, '')}".encode()
-                for h, p in zip(frame["host"], frame["path"], strict=True)
+                canonical(h.as_py(), p.as_py()) for h, p in zip(batch.column("host"), batch.column("path"), strict=True)
             ]
             fits = automaton.match(texts)
             ruled, extra = fits[:, : len(ranked)], fits[:, len(ranked) :].any(axis=1)
-            first = np.where(ruled.any(axis=1), ruled.argmax(axis=1), -1)
-            yield frame[["page_id", "host", "path"]].assign(
-                rule=[ranked[i][1] if i >= 0 else None for i in first],
-                verdict=[ranked[i][0] if i >= 0 else "block" if bad else "allow" for i, bad in zip(first, extra, strict=True)],
-            )
+            first = np.where(ruled.any(axis=1), ruled.argmax(axis=1), -1).tolist()
+            rule = pa.array([ranked[i][1] if i >= 0 else None for i in first], pa.string())
+            verdict = [ranked[i][0] if i >= 0 else "block" if bad else "allow" for i, bad in zip(first, extra, strict=True)]
+            yield batch.append_column("rule", rule).append_column("verdict", pa.array(verdict, pa.string()))
 
     kind = rows.schema["page_id"].dataType.simpleString()
-    return rows.mapInPandas(judge, f"page_id {kind}, host string, path string, rule string, verdict string")
+    return rows.mapInArrow(judge, f"page_id {kind}, host string, path string, rule string, verdict string")
