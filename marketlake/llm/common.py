@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import math
+import sys
+import types
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,3 +56,12 @@ def number_within(
     return joined.withColumn(out, F.col("__before") + F.col("__in") - 1).drop(
         "__group", "__hash", "__bucket", "__key", "__k", "__in", "__before"
     )
+
+
+def kept_in_worker(name: str, key: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` returns, kept by the Python worker that runs this task for the tasks that it runs later. One
+    object is kept under each name: another ``key`` replaces it. Results must not depend on what it remembers."""
+    kept = sys.modules.setdefault("marketlake_kept", types.ModuleType("marketlake_kept")).__dict__
+    if kept.get(name, ("", None))[0] != key:
+        kept[name] = key, make()
+    return kept[name][1]

@@ -23,8 +23,6 @@ from __future__ import annotations
 import os
 import re
 import struct
-import sys
-import types
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
@@ -34,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketlake.llm.common import pick
+from marketlake.llm.common import kept_in_worker, pick
 
 MAGIC = b"PFR1"
 HEADER = "<4sIIII"
@@ -242,14 +240,6 @@ class Encoder:
         return found
 
 
-def kept_encoder(tokenizer: str) -> Encoder:
-    """The encoder of this Python worker, which serves many tasks: words stay known from one to the next."""
-    kept = sys.modules.setdefault("marketlake_kept", types.ModuleType("marketlake_kept")).__dict__
-    if kept.get("content") != tokenizer:
-        kept.update(content=tokenizer, encoder=Encoder(tokenizer))
-    return kept["encoder"]
-
-
 def word_wise(tokenizer: str) -> bool:
     """Whether a tokenizer's texts may be cut by ``WORD``: byte-level, by its own pattern, nothing normalised."""
     import json
@@ -276,7 +266,8 @@ def write_ids(
     shared = rows.sparkSession.sparkContext.broadcast(tokenizer)
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept_encoder(shared.value)
+        tokenizer = shared.value
+        encoder = kept_in_worker("encoder", tokenizer, lambda: Encoder(tokenizer))
         end = np.array([end_id], "<u4").tobytes()
         names, parts, held = [], [], 0
 
