@@ -17,7 +17,8 @@ import heapq
 import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlake.llm.common import number_within
@@ -117,3 +118,27 @@ def mixed_order(docs: DataFrame, weights: Mapping[str, int], **options) -> DataF
     placed = mix(docs.select(F.struct("*").alias("__row_of"), F.col("source").alias("__source"), F.col("doc_id").alias("__id")),
                  weights, source=F.col("__source"), order=[F.col("__id")], **options)
     return placed.orderBy("mix_slot", "mix_place").select("__row_of.*")
+
+
+def with_place(docs: DataFrame, group: int = 1024) -> DataFrame:
+    """``docs``, read from Parquet files, with ``place``: the row's number from 0 in the order of the files, by the number of the
+    task that wrote them, and of the rows in each. Without files it is null. A column of that name is replaced.
+
+    Only the numbers of rows per file are summed up, in groups of tasks first.
+    """
+    task = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("int")
+    part = F.regexp_extract("_metadata.file_name", r"-c(\d+)\.", 1).cast("int")
+    try:
+        rows = docs.withColumns({"__task": task, "__part": part, "__row": F.col("_metadata.row_index")})
+    except AnalysisException:
+        return docs.withColumn("place", F.lit(None).cast("long"))
+    files = docs.select(task.alias("t"), part.alias("p")).groupBy("t", "p").agg(F.count(F.lit(1)).alias("n"))
+    files = files.withColumn("g", F.floor(F.col("t") / group))
+    until = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    groups = files.groupBy("g").agg(F.sum("n").alias("n"))
+    groups = groups.select(F.col("g").alias("of"), F.coalesce(F.sum("n").over(until().orderBy("g")), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("n").over(until("g").orderBy("t", "p")), F.lit(0))
+    starts = files.withColumn("inside", inside).join(groups, F.col("g") == F.col("of"))
+    starts = starts.select("t", "p", (F.col("base") + F.col("inside")).alias("__base"))
+    joined = rows.join(starts, F.col("__task").eqNullSafe(F.col("t")) & F.col("__part").eqNullSafe(F.col("p")))
+    return joined.withColumn("place", F.col("__base") + F.col("__row")).drop("__task", "__part", "__row", "__base", "t", "p")

@@ -1,8 +1,11 @@
 """The whole pipeline against plain versions of its stages."""
 
 import corpus_pipeline
-from marketlake.llm import queries
-from test_dedup import flat, plain_components, plain_fingerprint
+from fixtures import awkward
+from marketlake.llm import mixing, queries
+from pyspark.sql import functions as F
+from test_dedup import flat
+from test_similar import plain_similar
 
 
 def test_pipeline_keeps_what_plain_stages_keep(spark, sf, documents):
@@ -12,10 +15,45 @@ def test_pipeline_keeps_what_plain_stages_keep(spark, sf, documents):
     first = {}
     for doc_id in sorted(texts):
         first.setdefault(flat(texts[doc_id]), doc_id)
-    unique = sorted(first.values())
-    near = plain_components([(i, plain_fingerprint(texts[i])) for i in unique])
-    rows = corpus_pipeline.run(spark, sf).collect()
-    assert sorted(r.doc_id for r in rows) == sorted(i for i, _, component in near if i == component)
+    near = plain_similar([(i, texts[i]) for i in sorted(first.values())])
+    kept = sorted(i for i, component in near if i == component)
+    rows = corpus_pipeline.run(spark, sf).orderBy("place").collect()
+    assert sorted(r.doc_id for r in rows) == kept
+    # the order of the mixture has come through all files
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter(F.col("doc_id").isin(kept))
+    mixed = mixing.mix(docs, queries.TARGET_PARTS, rest=queries.REST_PARTS, block_rows=queries.BLOCK_ROWS)
+    assert [(r.place, r.doc_id) for r in rows] == list(enumerate(r.doc_id for r in mixed.orderBy("mix_slot", "mix_place").collect()))
     model = SentencePieceProcessor(model_file=queries.piece_model())
     for r in rows:
         assert r.token_ids == model.encode(texts[r.doc_id]) and r.n_tokens == len(r.token_ids)
+
+
+def test_order_of_the_mixture_over_many_files(spark, tmp_path):
+    """Files of very different sizes, which a reader does not take in their order."""
+    rows = [(i, "word " * (1 + (i * i) % 997), f"src{i % 7}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "150")
+    try:
+        corpus_pipeline.mix_sources(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    placed = mixing.with_place(spark.read.parquet(f"{tmp_path}/mixed"), group=2)
+    expected = mixing.mix(docs, queries.TARGET_PARTS, rest=queries.REST_PARTS, block_rows=queries.BLOCK_ROWS)
+    assert placed.select(F.countDistinct("_metadata.file_path")).first()[0] > 15
+    got = [(r.place, r.doc_id) for r in placed.orderBy("place").collect()]
+    assert got == list(enumerate(r.doc_id for r in expected.orderBy("mix_slot", "mix_place").collect()))
+    assert mixing.with_place(docs).filter("place is not null").count() == 0
+
+
+def test_stages_bear_awkward_rows(spark, tmp_path):
+    docs = awkward(spark)
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before, docs = docs, stage(spark, docs, "")
+        if name != "sentencepiece":
+            assert sorted(docs.columns) == sorted(before.columns)
+        docs.write.parquet(f"{tmp_path}/{n}")
+        docs = spark.read.parquet(f"{tmp_path}/{n}")
+        assert docs.count() == {"language_id": 13, "exact_dedup": 11}.get(name, docs.count())
+    rows = docs.collect()
+    assert sorted(r.place for r in rows) == list(range(len(rows)))
+    assert all(r.n_tokens == len(r.token_ids) > 0 for r in rows)
