@@ -63,5 +63,6 @@ def kept_in_worker(name: str, key: str, make: Callable[[], Any]) -> Any:
     object is kept under each name: another ``key`` replaces it. Results must not depend on what it remembers."""
     kept = sys.modules.setdefault("marketlake_kept", types.ModuleType("marketlake_kept")).__dict__
     if kept.get(name, ("", None))[0] != key:
+        kept.pop(name, None)  # never two of them at once
         kept[name] = key, make()
     return kept[name][1]

@@ -16,7 +16,7 @@ The words of a corpus have no bound, so their encodings can't be broadcast, and
 occurrence would shuffle several times the corpus. So the relation runs on the most frequent
 words, at most ``dictionary`` of them, counted over all documents; their encodings are handed to
 the tasks. Words that are left are solved one by one by the tasks, those of a unigram model by the same fold, those of a BPE model by
-walking the one path that is left, longest piece first; a Python worker keeps a bounded number of them.
+walking the one path that is left, longest piece first; a task keeps a bounded number of them.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from __future__ import annotations
 import gc
 import math
 import re
-import uuid
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,7 +34,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from marketlake.llm.common import kept_in_worker, pick
 from marketlake.session import staged
 
 MARK = "▁"
@@ -311,32 +309,12 @@ def frequent_words(rows: DataFrame, limit: int) -> DataFrame:
     return counts.filter(F.col("n") >= least if least is not None else F.lit(False)).select("word")
 
 
-class Memo(dict):
-    """Word -> its ids as bytes. Words of the dictionary are known; others are solved when asked for and remembered in
-    two generations: a full one replaces the older one, from which words that are met again come back."""
-
-    def __init__(self, known: dict[str, bytes], pieces: tuple, kept_words: int):
-        table, *self.of_bytes = pieces
-        self.known, self.older, self.most, self.reach = known, {}, kept_words // 2, reachable(table)
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.known.get(word) or self.older.get(word)
-        if found is None:
-            found = array("i", best_path(word, self.reach, *self.of_bytes)).tobytes()
-        if len(word) <= DICTIONARY_CHARS:
-            if len(self) >= self.most:
-                self.older = dict(self)
-                self.clear()
-            self[word] = found
-        return found
-
-
 def encode(
     docs: DataFrame, model: str | Pieces, id_col: str = "doc_id", text_col: str = "text", *,
-    dictionary: int = DICTIONARY, kept_words: int = 300_000, carry: tuple[str, ...] = (),
+    dictionary: int = DICTIONARY, kept_words: int = 100_000, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """(doc_id, ids) per row, and the columns to ``carry``: the piece ids of the whole text. A null text gives null, an empty
-    one no ids. Repeated rows are encoded each. ``kept_words`` bounds what a Python worker remembers beyond the dictionary."""
+    one no ids. Repeated rows are encoded each. ``kept_words`` bounds what a task remembers beyond the dictionary."""
     spark: SparkSession = docs.sparkSession
     pieces = load_pieces(model) if isinstance(model, str) else model
     rows = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text"), *carry)
@@ -344,12 +322,22 @@ def encode(
     # ids as bytes: half the memory of tuples, and a text's are put together by one join
     known = {w.as_py(): i.values.to_numpy().astype(np.int32).tobytes() for w, i in zip(known["word"], known["ids"], strict=True)}
     shared = spark.sparkContext.broadcast((known, (pieces.table, pieces.byte_ids, pieces.byte_score, pieces.apart())))
-    key = uuid.uuid4().hex
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = re.compile(WORD)
-        ids = kept_in_worker("pieces", key, lambda: Memo(*shared.value, kept_words)).__getitem__
-        gc.freeze()  # what the worker keeps stays, so no collection need walk it
+        known, (table, *of_bytes) = shared.value
+        reach, cut = reachable(table), re.compile(WORD)
+        gc.freeze()  # what was handed to the task stays, so no collection need walk it
+
+        class Memo(dict):
+            def __missing__(self, word: str) -> bytes:
+                found = array("i", best_path(word, reach, *of_bytes)).tobytes()
+                while len(self) >= len(known) + kept_words:  # the dictionary came first, so it stays
+                    self.popitem()
+                if len(word) <= DICTIONARY_CHARS:
+                    self[word] = found
+                return found
+
+        ids = Memo(known).__getitem__
         for batch in batches:
             encoded = []
             for text in batch.column("text"):
