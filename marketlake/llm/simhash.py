@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlake.llm.common import pick
@@ -189,14 +189,14 @@ def cells(runs: np.ndarray) -> list[int]:
 
 
 def similar_edges(nodes: DataFrame, rows: DataFrame, least: float, width: int) -> DataFrame:
-    """Edges (a, b) with the components of all links between ``nodes(node, fp, cells, doc_id)`` of at least
-    the similarity ``least``. ``rows(doc_id, text)`` has the texts.
+    """Edges (a, b) with the components of all links between ``nodes(node, fp, runs, cells, doc_id)`` of at least
+    the similarity ``least``. Sets of very different numbers of ``runs`` can't have it, and are no pair. ``rows(doc_id, text)`` has the texts.
 
     Within a cell all are compared with one of them first. Then only pairs not yet in one component are: those
     of the rows outside the cell's largest component. So a cluster of near copies does not square.
     """
-    celled = nodes.select("node", "fp", F.explode("cells").alias("cell"))
-    sizes = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "fp")).alias("head"))
+    celled = nodes.select("node", "fp", F.col("runs").alias("size"), F.explode("cells").alias("cell"))
+    sizes = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "fp", "size")).alias("head"))
     shared = staged(celled.join(sizes.filter("n > 1").drop("n"), "cell"), "cells")
     chosen = staged(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("doc_id"), "chosen")
 
@@ -209,7 +209,10 @@ def similar_edges(nodes: DataFrame, rows: DataFrame, least: float, width: int) -
 
     texts = rows.join(chosen, "doc_id", "left_semi").select("text")
     runs = staged(texts.mapInArrow(of, "node long, runs array<long>").dropDuplicates(["node"]), "runs")
-    far = lambda x, y: F.bit_count(x.bitwiseXOR(y)) > SIMILAR_BITS
+
+    def may_link(x: Column, y: Column) -> Column:
+        alike = F.least(x["size"], y["size"]) >= F.greatest(x["size"], y["size"]) * least
+        return alike & (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= SIMILAR_BITS)
 
     def verified(pairs: DataFrame) -> DataFrame:
         found = pairs.join(runs.toDF("a", "of_a"), "a").join(runs.toDF("b", "of_b"), "b")
@@ -217,17 +220,17 @@ def similar_edges(nodes: DataFrame, rows: DataFrame, least: float, width: int) -
         fits = F.least(F.size("of_a"), F.size("of_b")) >= F.greatest(F.size("of_a"), F.size("of_b")) * least
         return staged(found.filter(fits).filter(both >= (all_ - both) * least).select("a", "b"), "similar")
 
-    stars = shared.filter(F.col("node") != F.col("head.node")).filter(~far(F.col("fp"), F.col("head.fp")))
+    stars = shared.filter(F.col("node") != F.col("head.node")).filter(may_link(F.struct("fp", "size"), F.col("head")))
     stars = staged(stars.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     linked = verified(stars)
     roots = connected_components(linked).withColumnRenamed("node", "of")
     rooted = shared.join(roots, shared["node"] == roots["of"], "left")
-    rooted = staged(rooted.select("cell", "node", "fp", F.coalesce("root", "node").alias("root")), "rooted")
+    rooted = staged(rooted.select("cell", "node", "fp", "size", F.coalesce("root", "node").alias("root")), "rooted")
     mixed = rooted.groupBy("cell").agg(F.min("root").alias("m"), F.max("root").alias("n"), F.mode("root").alias("main"))
     mixed = staged(rooted.join(mixed.filter("m <> n").select("cell", "main"), "cell"), "mixed")
-    odd = mixed.filter("root <> main").select("cell", F.struct("node", "fp", "root").alias("x"))
-    pairs = odd.join(mixed.select("cell", F.struct("node", "fp", "root").alias("y")), "cell")
-    pairs = pairs.filter(F.col("x.root") != F.col("y.root")).filter(~far(F.col("x.fp"), F.col("y.fp")))
+    odd = mixed.filter("root <> main").select("cell", F.struct("node", "fp", "size", "root").alias("x"))
+    pairs = odd.join(mixed.select("cell", F.struct("node", "fp", "size", "root").alias("y")), "cell")
+    pairs = pairs.filter(F.col("x.root") != F.col("y.root")).filter(may_link(F.col("x"), F.col("y")))
     pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     return linked.union(verified(staged(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")))
 
@@ -251,20 +254,21 @@ def similar_documents(
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, fp, keys = [], [], []
+            node, fp, size, keys = [], [], [], []
             for text in batch.column("text"):
                 runs = np.unique(word_runs(text.as_py(), width))
                 node.append(node_of(runs))
                 fp.append(majority(runs))
+                size.append(len(runs))
                 keys.append(cells(runs) if len(runs) else [])
             fp = pa.array(np.array(fp, np.uint64).view(np.int64))
-            columns = [batch.column("doc_id"), pa.array(node, pa.int64()), fp, pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "fp", "cells"])
+            columns = [batch.column("doc_id"), pa.array(node, pa.int64()), fp, pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "fp", "runs", "cells"])
 
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, fp long, cells array<long>"
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, fp long, runs long, cells array<long>"
     prints = staged(rows.mapInArrow(of, schema), "sets")
     nodes = prints.filter("node is not null").groupBy("node")
-    nodes = staged(nodes.agg(F.first("fp").alias("fp"), F.first("cells").alias("cells"), F.min("doc_id").alias("doc_id")), "nodes")
+    nodes = staged(nodes.agg(F.first("fp").alias("fp"), F.first("runs").alias("runs"), F.first("cells").alias("cells"), F.min("doc_id").alias("doc_id")), "nodes")
     roots = connected_components(similar_edges(nodes, rows, least, width)).withColumnRenamed("node", "of")
     rooted = nodes.join(roots, nodes["node"] == roots["of"], "left")
     rooted = staged(rooted.select("node", "doc_id", F.coalesce("root", "node").alias("root")), "roots")
