@@ -36,7 +36,7 @@ PIVOTS = np.array([xxhash.xxh64_intdigest(f"pivot {i}") for i in range(24)], np.
 CELLS, CELL_HASHES = 32, 4
 FACTORS = np.array([xxhash.xxh64_intdigest(f"factor {i}") | 1 for i in range(CELLS * CELL_HASHES)], np.uint64)
 #: Bits between the SimHashes of sets of runs, at most. At a similarity of 0.8 the cosine of two sets is 0.89 or
-#: more, so each bit differs with a chance of at most 0.151, and more than 28 of 64 do with one of about 2e-8: less than
+#: more, so each bit differs with a chance of at most 0.151, and more than 28 of 64 do with one of about 1e-8: less than
 #: that of sharing no cell. (The 55 pairs of sf0.001, sf0.01 and sf0.1 lie at 18 or fewer.)
 SIMILAR_BITS = 28
 
