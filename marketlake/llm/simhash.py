@@ -39,6 +39,8 @@ FACTORS = np.array([xxhash.xxh64_intdigest(f"factor {i}") | 1 for i in range(CEL
 #: more, so each bit differs with a chance of at most 0.151, and more than 28 of 64 do with one of about 1e-8: less than
 #: that of sharing no cell. (The 55 pairs of sf0.001, sf0.01 and sf0.1 lie at 18 or fewer.)
 SIMILAR_BITS = 28
+#: What rounding may add to a product of a size and a similarity.
+SLACK = 1e-6
 
 
 def word_runs(text: str | None, width: int) -> np.ndarray:
@@ -188,12 +190,32 @@ def cells(runs: np.ndarray) -> list[int]:
     return np.array(digests, np.uint64).view(np.int64).tolist()
 
 
+def rare_runs(sets: DataFrame, runs: DataFrame, least: float) -> DataFrame:
+    """(run, place, and the columns of ``sets``) of the rarest runs of ``sets(node, root, size)``: as many as two sets of the
+    similarity ``least`` can't differ in, and one more. Each such pair of different roots shares one of them.
+
+    ``runs(node, runs)`` has the sets' runs, which are ordered by the number of sets that have them; ``place`` is the run's place
+    in that order, from 0. A run that no set of another root has takes its place but is not returned. What many texts
+    have in common comes last, so texts that have more than a fifth of their own share no run here.
+    """
+    each = sets.select("node", "root").join(runs, "node").select("node", "root", F.explode("runs").alias("run"))
+    known = each.groupBy("run").agg(F.count(F.lit(1)).alias("n"), (F.min("root") != F.max("root")).alias("mixed")).filter("n > 1")
+    shared = each.select("node", "run").join(known, "run").groupBy("node")
+    shared = shared.agg(F.sort_array(F.collect_list(F.struct("n", "run", "mixed"))).alias("shared"))
+    own = F.col("size") - F.size("shared")
+    upto = F.col("size") - F.ceil(F.col("size") * least - SLACK) + 1
+    ordered = sets.join(shared, "node").filter(upto > own)
+    ordered = ordered.select(*sets.columns, own.alias("own"), F.posexplode(F.slice("shared", F.lit(1), (upto - own).cast("int"))).alias("at", "of"))
+    return ordered.filter("of.mixed").select(*sets.columns, F.col("of.run").alias("run"), (F.col("own") + F.col("at")).alias("place"))
+
+
 def similar_edges(nodes: DataFrame, rows: DataFrame, least: float, width: int) -> DataFrame:
     """Edges (a, b) with the components of all links between ``nodes(node, fp, runs, cells, doc_id)`` of at least
     the similarity ``least``. Sets of very different numbers of ``runs`` can't have it, and are no pair. ``rows(doc_id, text)`` has the texts.
 
-    Within a cell all are compared with one of them first. Then only pairs not yet in one component are: those
-    of the rows outside the cell's largest component. So a cluster of near copies does not square.
+    Within a cell all are compared with one of them first. Sets in cells that are not one component then are compared
+    where they share a rare run (``rare_runs``), again only those outside a run's largest component. So neither a cluster of
+    near copies squares nor a group of texts around a common passage.
     """
     celled = nodes.select("node", "fp", F.col("runs").alias("size"), F.explode("cells").alias("cell"))
     sizes = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "fp", "size")).alias("head"))
@@ -226,11 +248,16 @@ def similar_edges(nodes: DataFrame, rows: DataFrame, least: float, width: int) -
     roots = connected_components(linked).withColumnRenamed("node", "of")
     rooted = shared.join(roots, shared["node"] == roots["of"], "left")
     rooted = staged(rooted.select("cell", "node", "fp", "size", F.coalesce("root", "node").alias("root")), "rooted")
-    mixed = rooted.groupBy("cell").agg(F.min("root").alias("m"), F.max("root").alias("n"), F.mode("root").alias("main"))
-    mixed = staged(rooted.join(mixed.filter("m <> n").select("cell", "main"), "cell"), "mixed")
-    odd = mixed.filter("root <> main").select("cell", F.struct("node", "fp", "size", "root").alias("x"))
-    pairs = odd.join(mixed.select("cell", F.struct("node", "fp", "size", "root").alias("y")), "cell")
-    pairs = pairs.filter(F.col("x.root") != F.col("y.root")).filter(may_link(F.col("x"), F.col("y")))
+    apart = rooted.groupBy("cell").agg(F.min("root").alias("m"), F.max("root").alias("n")).filter("m <> n")
+    left = rooted.join(apart.select("cell"), "cell", "left_semi").select("node", "fp", "size", "root").distinct()
+    rare = staged(rare_runs(staged(left, "left"), runs, least), "rare")
+    mains = rare.groupBy("run").agg(F.min("root").alias("m"), F.max("root").alias("n"), F.mode("root").alias("main"))
+    rare = staged(rare.join(mains.filter("m <> n").select("run", "main"), "run"), "mixed")
+    member = F.struct("node", "fp", "size", "root", "place")
+    pairs = rare.filter("root <> main").select("run", member.alias("x")).join(rare.select("run", member.alias("y")), "run")
+    ahead = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    enough = ahead * (1 + least) >= (F.col("x.size") + F.col("y.size")) * least - SLACK
+    pairs = pairs.filter(F.col("x.root") != F.col("y.root")).filter(enough & may_link(F.col("x"), F.col("y")))
     pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     return linked.union(verified(staged(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")))
 

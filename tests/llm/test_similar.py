@@ -56,3 +56,45 @@ def test_similar_chains_and_awkward_rows(spark):
     assert {c for i, c in got if 100 <= i < 200} == {100}
     assert simhash.similar_documents(empty(spark)).count() == 0
     assert simhash.drop_similar(docs).filter("doc_id is null").count() == 2
+
+
+def test_texts_around_a_common_passage_are_not_compared(spark, monkeypatch):
+    """Pairs grow with the number of texts that share a passage, not with its square."""
+    made = {}
+    kept = simhash.staged
+
+    def staged(df, name):
+        made[name] = kept(df, name)
+        return made[name]
+
+    monkeypatch.setattr(simhash, "staged", staged)
+    passage = sentence(1, 120)
+    rows = [(k, f"{passage} " + " ".join(f"w{k}x{i}" for i in range(60))) for k in range(600)]
+    near = [(1000 + k, rows[k][1] + " end") for k in range(0, 600, 50)]
+    docs = spark.createDataFrame(rows + near, "doc_id long, text string")
+    got = sorted(map(tuple, simhash.similar_documents(docs).collect()))
+    assert got == sorted([(i, i) for i, _ in rows] + [(i, i - 1000) for i, _ in near])
+    assert made["cells"].count() > 3000  # they do share cells
+    assert made["pairs"].count() < 100
+
+
+def test_rare_runs_lose_no_pair(spark):
+    """Every two sets of the similarity share a run of theirs, whatever their sizes and what is frequent."""
+    import random
+
+    pick = random.Random(5)
+    sets = {}
+    for k in range(120):
+        base = [pick.randrange(300) for _ in range(pick.choice([1, 2, 4, 5, 9, 10, 35, 60]))]
+        for j in range(3):
+            sets[3 * k + j] = sorted({pick.randrange(300) if j and pick.random() < 0.08 else x for x in base})
+    nodes = spark.createDataFrame([(n, n, len(s)) for n, s in sets.items()], "node long, root long, size long")
+    runs = spark.createDataFrame(list(sets.items()), "node long, runs array<long>")
+    found = {}
+    for r in simhash.rare_runs(nodes, runs, 0.8).collect():
+        found.setdefault(r.node, {})[r.run] = r.place
+    links = [(a, b) for a in sets for b in sets if a < b and len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))]
+    assert len(links) > 100
+    for a, b in links:
+        both = found.get(a, {}).keys() & found.get(b, {}).keys()
+        assert any(min(len(sets[a]) - found[a][x], len(sets[b]) - found[b][x]) * 1.8 >= 0.8 * (len(sets[a]) + len(sets[b])) - simhash.SLACK for x in both)
