@@ -34,33 +34,35 @@ def apply_watchlist_changes(
     """Watchlists after add (insert if absent, at position 0), remove and reorder changes.
 
     A row's life starts with the base table, or with the first add after the last remove; its
-    sort order is that of the last reorder within that life. The first add after the last
-    remove is found per (key, range of steps) and then over the ranges, so that a key with very
-    many changes is spread over tasks.
+    sort order is that of the last reorder within that life. The feed is first reduced to a row per
+    (key, range of steps), on the map side, so that a key with very many changes is spread over tasks. Only
+    where a range holds adds on both sides of the last remove, its adds are looked at again.
     """
     steps = expand_watchlist_changes(changes).withColumn(
         "bucket", F.call_function("div", "step", F.lit(bucket_steps))
     )
-    in_bucket = Window.partitionBy(*KEY, "bucket")
-    removal = F.max(F.when(F.col("op") == "remove", F.col("step"))).over(in_bucket)
-    ranges = (
-        steps.withColumn("removed", removal)
-        .groupBy(*KEY, "bucket")
-        .agg(
-            F.first("removed").alias("removed"),
-            F.expr("min(case when op = 'add' and step > coalesce(removed, -1) then step end) as added"),
-            F.expr("max(case when op = 'reorder' then struct(step, position) end) as moved"),
-        )
+    step_of = "case when op = '{}' then step end"
+    ranges = steps.groupBy(*KEY, "bucket").agg(
+        F.expr(f"max({step_of.format('remove')}) as removed"),
+        F.expr(f"min({step_of.format('add')}) as first_add"),
+        F.expr(f"max({step_of.format('add')}) as last_add"),
+        F.expr(f"max({step_of.format('reorder')}) as moved_at"),
+        F.expr(f"max_by(position, {step_of.format('reorder')}) as moved_to"),
     )
-    whole = Window.partitionBy(*KEY)
+    ranges = ranges.withColumn("removed_at", F.max("removed").over(Window.partitionBy(*KEY)))
+    split = ranges.where("first_add < removed_at and last_add > removed_at").select(*KEY, "bucket", "removed_at")
+    again = steps.where("op = 'add'").join(split, [*KEY, "bucket"]).where("step > removed_at")
+    again = again.groupBy(*KEY).agg(F.min("step").alias("again_at"))
     lives = (
-        ranges.withColumn("removed_at", F.max("removed").over(whole))
-        .groupBy(*KEY)
+        ranges.groupBy(*KEY)
         .agg(
-            F.first("removed_at").alias("removed_at"),
-            F.expr("min(case when added > coalesce(removed_at, -1) then added end) as added_at"),
-            F.max("moved").alias("moved"),
+            F.max("removed_at").alias("removed_at"),
+            F.expr("min(case when first_add > coalesce(removed_at, -1) then first_add end) as added_at"),
+            F.max("moved_at").alias("moved_at"),
+            F.max_by("moved_to", "moved_at").alias("moved_to"),
         )
+        .join(again, KEY, "left")
+        .withColumn("added_at", F.least("added_at", "again_at"))
     )
     base = user_tickers.select(*KEY, "sort_order", F.lit(True).alias("listed"))
     state = base.join(lives, KEY, "full_outer")
@@ -74,7 +76,7 @@ def apply_watchlist_changes(
         )
         .where("born_at is not null")
         .selectExpr(
-            *KEY, "case when moved.step > born_at then moved.position else start end as sort_order"
+            *KEY, "case when moved_at > born_at then moved_to else start end as sort_order"
         )
     )
 

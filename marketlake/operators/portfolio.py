@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlake.functions.symbols import cleaned_ticker, is_valid_ticker
@@ -18,14 +18,24 @@ def watchlist(user_tickers: DataFrame, users: DataFrame) -> DataFrame:
     ).select("username", "ticker", "sort_order")
 
 
+def ranked(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """``rows`` with ``rank``, the place in the list of their user, from 1; rows that agree in ``order`` share one.
+
+    Users are dealt over the tasks, and each one's rows come in order; users are in no order. A sort of the
+    whole table would run the joins below it twice, to sample them first. A user's list is what one person
+    keeps (a ticker once in a watchlist), and its sort spills.
+    """
+    return rows.withColumn("rank", F.rank().over(Window.partitionBy("username").orderBy(*order)))
+
+
 def watchlist_order(rows: DataFrame) -> DataFrame:
     """By list position, then ticker."""
-    return rows.orderBy("username", "sort_order", "ticker")
+    return ranked(rows, "sort_order", "ticker")
 
 
 def positions_order(rows: DataFrame) -> DataFrame:
     """By opening time, then id."""
-    return rows.orderBy("username", "opened_at", "id")
+    return ranked(rows, "opened_at", "id")
 
 
 def watchlist_report(user_tickers: DataFrame, users: DataFrame, ticks: DataFrame) -> DataFrame:
@@ -42,9 +52,7 @@ def sort_by_metric(rows: DataFrame, metric: str, descending: bool = True) -> Dat
     """Sorted per user by any metric; a missing value ranks below every number."""
     key = F.col(metric)
     order = key.desc_nulls_last() if descending else key.asc_nulls_first()
-    if metric == "ticker":
-        return rows.orderBy("username", key)
-    return rows.orderBy("username", order, "ticker")
+    return ranked(rows, order) if metric == "ticker" else ranked(rows, order, "ticker")
 
 
 def positions_report(positions: DataFrame, users: DataFrame, ticks: DataFrame) -> DataFrame:

@@ -353,13 +353,14 @@ ORACLE["watchlist_report"] = sql(
     WATCH_REPORT,
 )
 ORACLE["watchlist_order"] = sql(
-    """select c_name as username, ticker, sort_order from watch join customer on c_custkey = user_id
-order by username, sort_order, ticker""",
+    """select c_name as username, ticker, sort_order, rank() over (partition by c_name order by sort_order, ticker) as rank
+from watch join customer on c_custkey = user_id""",
     LINES,
     WATCH,
 )
 ORACLE["watchlist_sorted"] = sql(
-    "select username, ticker, perf1m from wr order by username, perf1m desc nulls last, ticker",
+    """select username, ticker, perf1m, rank() over (partition by username order by perf1m desc nulls last, ticker) as rank
+from wr""",
     HISTORY,
     WATCH,
     QUOTES,
@@ -367,7 +368,7 @@ ORACLE["watchlist_sorted"] = sql(
 )
 BOOK = POSITIONS.replace(LINES + ",\n", "")
 ORACLE["positions_report"] = sql(
-    "select * from report order by username, opened_at, id", HISTORY, BOOK, QUOTES, REPORT
+    "select *, rank() over (partition by username order by opened_at, id) as rank from report", HISTORY, BOOK, QUOTES, REPORT
 )
 ORACLE["portfolio_totals"] = sql(
     """select *, case when grandCost > 0 then totalPl / grandCost * 100 else 0 end as totalPlPct from t""",
@@ -542,6 +543,13 @@ ORACLE["stream_deltas"] = sql(
 )
 
 ORACLE["stream_direction"] = ORACLE["tick_direction"]
+ORACLE["stream_latest"] = ORACLE["latest_tick"]
+ORACLE["stream_demo"] = ORACLE["demo_feed"]
+ORACLE["single_file"] = sql(
+    """select date, count(*) as bronze, count(*) as silver, case when date = (select max(date) from silver) then cast(1 as bigint) end as loads
+from silver group by date""",
+    minute("wide"),
+)
 ORACLE["cache_producers"] = ORACLE["cache_merge"]
 MERGED = "merged as (" + ORACLE["cache_merge"][ORACLE["cache_merge"].rindex("\nselect ") :] + ")"
 ORACLE["stream_snapshot"] = sql(

@@ -53,6 +53,15 @@ def backfill(
     return report
 
 
+def ingest_day(spark: SparkSession, globs: list[str], tables: Lake, date: str) -> DataFrame:
+    """Loads the files of one day among those behind ``globs`` (its month's will do), refreshes silver for it and returns
+    the load report, which has no row where the day has no file. A day that was loaded before is replaced."""
+    report = load_files(spark, [p for p in list_files(spark, globs) if date_of(p) == date], tables)
+    if loaded_dates(report):
+        refresh_silver(spark, tables, [date])
+    return report
+
+
 def loaded_dates(report: DataFrame) -> list[str]:
     """The dates that a load has brought into bronze: one row per day, bounded by the calendar."""
     return sorted(r.date for r in report.where("status = 'ok'").select("date").distinct().collect())

@@ -19,7 +19,7 @@ from marketlake.operators import quality as Q
 from marketlake.operators import reference as R
 from marketlake.operators import ticks as K
 from marketlake.operators import universe as U
-from marketlake.plans.lakehouse import Lake, commit_staged, committed, ingest_new_files, load_files, refresh_silver
+from marketlake.plans.lakehouse import Lake, commit_staged, committed, ingest_day, ingest_new_files, load_files, refresh_silver
 from marketlake.schemas import RAW_COLUMNS
 from marketlake.session import one_day, scratch_path, staged
 from marketlake.sources import feeds, lake
@@ -297,7 +297,7 @@ def watchlist_order(spark: SparkSession, sf: str) -> DataFrame:
 def watchlist_sorted(spark: SparkSession, sf: str) -> DataFrame:
     watch, users, quotes = _watch_inputs(spark, sf)
     report = P.watchlist_report(watch, users, quotes)
-    return P.sort_by_metric(report, "perf1m").select("username", "ticker", "perf1m")
+    return P.sort_by_metric(report, "perf1m").select("username", "ticker", "perf1m", "rank")
 
 
 @query
@@ -397,9 +397,11 @@ def tick_direction(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def demo_feed(spark: SparkSession, sf: str) -> DataFrame:
     """Ticks of the tickers on an allow-list table (brands of the smallest parts)."""
-    part = feeds.table(spark, sf, "part")
-    allowed = part.where("p_size = 1").select(F.col("p_brand").alias("ticker"))
-    return K.allowed_feed(_ticks(spark, sf, "brand"), allowed).select("seq", "ticker", "price")
+    return K.allowed_feed(_ticks(spark, sf, "brand"), _allowed(spark, sf)).select("seq", "ticker", "price")
+
+
+def _allowed(spark: SparkSession, sf: str) -> DataFrame:
+    return feeds.table(spark, sf, "part").where("p_size = 1").select(F.col("p_brand").alias("ticker"))
 
 
 # --- change feeds -----------------------------------------------------------------------------
@@ -551,6 +553,27 @@ def commit_retry(spark: SparkSession, sf: str) -> DataFrame:
     return lake.read_bronze(spark, tables.path("bronze")).select("ticker", "date", "window_start", "close").join(loads, "date")
 
 
+@query
+def single_file(spark: SparkSession, sf: str) -> DataFrame:
+    """One day file into a lake that holds the days before it, found by its date; bronze and silver of every date."""
+    bars = feeds.event_bars(_events(spark, sf), "wide")
+    last = bars.agg(F.max("date")).first()[0]
+    tables = Lake(scratch_path(spark, "lake"))
+    lake.write_bronze(bars.where(F.col("date") < F.lit(last)), tables.path("bronze"))
+    refresh_silver(spark, tables)
+    root = scratch_path(spark, "day-files")
+    raw.write_day_files(bars.where(F.col("date") >= _days_before(last)), root)
+    report = ingest_day(spark, raw.exported_globs(root), tables, last)
+    loads = report.where("status = 'ok'").select("date", F.lit(1).cast("long").alias("loads")).distinct()
+    counts = [Q.counts_per_date(f(spark, tables.path(n))).withColumnRenamed("rows", n) for f, n in
+              ((lake.read_bronze, "bronze"), (lake.read_silver, "silver"))]
+    return counts[0].join(counts[1], "date", "full_outer").join(loads, "date", "left")
+
+
+def _days_before(last: str | None, days: int = 5) -> Column:
+    return F.date_format(F.date_sub(F.lit(last).cast("date"), days), "yyyy-MM-dd")
+
+
 @query
 def silver_overwrite(spark: SparkSession, sf: str) -> DataFrame:
     """Bronze -> silver, then a refresh of one date: other partitions must stay."""
@@ -579,7 +602,7 @@ def load_report(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams ----------------------------------------------------------------------------------
 
 
-def _relay(spark: SparkSession, sf: str) -> tuple[CacheTable, str]:
+def _relay(spark: SparkSession, sf: str, allowed: DataFrame | None = None) -> tuple[CacheTable, str]:
     """Runs all messages, as files, through the stream into a cache and a delta folder."""
     root = scratch_path(spark, "live")
     messages = feeds.messages(_events(spark, sf), "brand")
@@ -588,7 +611,7 @@ def _relay(spark: SparkSession, sf: str) -> tuple[CacheTable, str]:
     cache.merge(_quotes(spark, sf))
     ticks = K.normalize_ticks(live.json_source(spark, f"{root}/messages", files_per_batch=2))
     emit = live.folder_emitter(f"{root}/out")
-    live.start_relay(ticks, cache, emit, f"{root}/checkpoint").awaitTermination()
+    live.start_relay(ticks, cache, emit, f"{root}/checkpoint", allowed).awaitTermination()
     return cache, f"{root}/out"
 
 
@@ -697,6 +720,26 @@ def stream_watchlists(spark: SparkSession, sf: str) -> DataFrame:
     return table.read().select("user_id", "ticker", "sort_order")
 
 
+@query
+def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest tick of every ticker, kept by a streaming aggregate over two runs: equal to the batch result."""
+    root = scratch_path(spark, "latest")
+    table = live.latest_table(spark, f"{root}/table", compact_every=2)
+    for part in _slices(feeds.messages(_events(spark, sf), "wide"), "seq", 2):
+        part.repartition(2).write.mode("append").json(f"{root}/messages")
+        ticks = K.normalize_ticks(live.json_source(spark, f"{root}/messages", files_per_batch=1))
+        live.start_latest(ticks, table, f"{root}/checkpoint").awaitTermination()
+    return table.read()
+
+
+@query
+def stream_demo(spark: SparkSession, sf: str) -> DataFrame:
+    """The sub-stream of an allow-list, as the relay sends it: equal to the filtered ticks."""
+    _, out = _relay(spark, sf, _allowed(spark, sf))
+    body = F.from_json("value", "type string, tick struct<price double>").alias("m")
+    return live.delta_log(spark, out, "demo").select("seq", F.col("key").alias("ticker"), body).select("seq", "ticker", "m.tick.price")
+
+
 @query
 def stream_deltas(spark: SparkSession, sf: str) -> DataFrame:
     """The delta messages of the stream, parsed back."""

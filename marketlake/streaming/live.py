@@ -127,9 +127,11 @@ def start_directions(
     return start_batches(ticks, lambda batch, batch_id: direction_batch(batch, batch_id, state, emit), checkpoint, every)
 
 
-def start_batches(stream: DataFrame, handle: Handle, checkpoint: str, every: str | None) -> StreamingQuery:
+def start_batches(
+    stream: DataFrame, handle: Handle, checkpoint: str, every: str | None, mode: str = "append"
+) -> StreamingQuery:
     """Handles a stream batch by batch, at intervals of ``every``; without it, what is there, and stops."""
-    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if every is None else {"processingTime": every}
     return writer.trigger(**trigger).start()
 
@@ -155,6 +157,17 @@ def latest_state(ticks: DataFrame) -> DataFrame:
     return K.latest_tick(ticks)
 
 
+def latest_table(spark: SparkSession, path: str, compact_every: int = 16) -> ChangeTable:
+    """The newest tick of every ticker, stored: one write of the changed tickers per micro-batch."""
+    return ChangeTable(spark, path, TICK, ["ticker"], ["timestamp", "seq"], by_field=False, compact_every=compact_every)
+
+
+def start_latest(ticks: DataFrame, table: ChangeTable, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Keeps ``table`` at the latest state of a tick stream. The aggregate's state is in the checkpoint, and a batch
+    that is repeated replaces its own write. One table belongs to one checkpoint."""
+    return start_batches(latest_state(ticks), table.write, checkpoint, every, "update")
+
+
 def folder_emitter(root: str) -> Emit:
     """Writes each output of a batch to its own folder, replaced if the batch repeats."""
 

@@ -103,6 +103,16 @@ def test_sort_by_metric_puts_missing_last(spark):
     assert [r.ticker for r in P.sort_by_metric(rows, "perf1m", descending=False).collect()] == ["B", "A", "C"]
 
 
+def test_ranks_are_per_user_and_shared_by_equals(spark):
+    now, later = dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 3)
+    rows = [("u", 2, now), ("v", 9, now), ("u", 1, later), ("u", 1, now), ("u", 2, now), ("v", 8, None)]
+    got = P.positions_order(spark.createDataFrame(rows, "username string, id long, opened_at timestamp")).collect()
+    assert [(r.id, r.rank) for r in got if r.username == "u"] == [(1, 1), (2, 2), (2, 2), (1, 4)]
+    assert [(r.id, r.rank) for r in got if r.username == "v"] == [(8, 1), (9, 2)]
+    lists = spark.createDataFrame([("v", "B", 0), ("u", "B", 0), ("u", "A", 0), ("u", "C", -1)], "username string, ticker string, sort_order int")
+    assert [r.ticker for r in P.watchlist_order(lists).collect() if r.username == "u"] == ["C", "A", "B"]
+
+
 def test_position_inputs(spark):
     rows = [(" aapl", 10.0, 50.0), ("A1", 1.0, 1.0), ("B", 0.0, 5.0), ("B", None, 5.0), ("B", float("nan"), 5.0), ("B", 5.0, -1.0)]
     got = P.position_inputs(spark.createDataFrame(rows, "ticker string, shares double, total_cost double")).collect()
