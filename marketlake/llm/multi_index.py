@@ -4,6 +4,10 @@ Vectors are cut into two halves; each half has its own centroids, and an entry b
 cell of its two nearest. A query visits cells in the order of summed nearness, taken from a heap
 over the two sorted centroid lists, until the cells visited hold enough entries. These entries
 are reranked with exact inner products in double precision.
+
+How many entries are enough is measured: for a few rows the nearest are found among all entries, and enough is
+what brings the visits to the cells of most of them. Vectors in clusters need few; vectors without any, like the
+sample's, need half the table.
 """
 
 from __future__ import annotations
@@ -18,9 +22,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlake.llm.common import pick
+from marketlake.session import staged
 
-#: Bound of the sample that centroids are fitted on: rows, as (vectors x dimensions) / dimensions.
+#: Rows that centroids are fitted on, at most, and rows for which the needed number of entries is measured.
 SAMPLE_ROWS = 8192
+TRIAL_ROWS = 64
+RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 def clean_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -70,73 +77,117 @@ def visit(first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted: int
     return seen
 
 
+def needed(first: np.ndarray, second: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """By cell, the entries in the cells that are visited before it."""
+    order = np.argsort(-(first[:, None] + second[None, :]), axis=None, kind="stable")
+    held = np.cumsum(counts.ravel()[order])
+    out = np.empty(counts.size, np.int64)
+    out[order] = np.r_[0, held[:-1]]
+    return out
+
+
+def nearest_cells(entries: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """(trial, cell) of the ``k`` nearest among all ``entries(vec_id, v, cell)`` of each of a few trial vectors,
+    rows of the trial's own id left out. A task keeps k rows a trial, and so many go to the shuffle."""
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score, cell = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+        for frame in frames:
+            for at in range(0, len(frame), 4096):
+                part = frame.iloc[at : at + 4096]
+                own = ids[:, None] == part["vec_id"].to_numpy()[None, :]
+                new = np.where(own, -np.inf, vectors @ np.stack(part["v"].to_numpy()).T)
+                cells = np.broadcast_to(part["cell"].to_numpy(), new.shape)
+                score, cell = np.hstack([score, new]), np.hstack([cell, cells])
+                top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                score, cell = np.take_along_axis(score, top, 1), np.take_along_axis(cell, top, 1)
+        kept = score > -np.inf
+        yield pd.DataFrame({"trial": np.nonzero(kept)[0], "cell": cell[kept], "score": score[kept]})
+
+    found = entries.select("vec_id", "v", "cell").mapInPandas(best, "trial int, cell int, score double")
+    order = Window.partitionBy("trial").orderBy(F.desc("score"), "cell")
+    top = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return np.array(top.select("trial", "cell").collect(), np.int64).reshape(-1, 2)  # TRIAL_ROWS x k at most
+
+
 def nearest(
-    vectors: DataFrame, queries: Column, *, k: int = 20, centroids: int = 32, probe: float = 0.55,
-    chunk_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding",
+    vectors: DataFrame, queries: Column, *, k: int = 20, centroids: int = 32, recall: float = 0.95, probe: float | None = None,
+    query_rows: int = 8192, chunk_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest entries found for each row of ``vectors``
     for which ``queries`` (a condition on vec_id) holds, its own row left out.
 
-    ``probe`` is the share of all entries whose cells are visited, and so trades time for recall.
-    Every row is indexed; centroids are fitted on at most ``SAMPLE_ROWS`` rows, chosen by a hash
-    of the id. Ties go to the smaller vec_id. Rows that repeat an id are entries of their own,
-    but none is found by a query of its id. Vectors must have one length. A cell with more than
-    ``chunk_rows`` entries or queries is cut into chunks. An empty table gives no rows.
+    The cells visited hold as many entries as it takes to meet the share ``recall`` of the true neighbours of
+    ``TRIAL_ROWS`` rows; or, if given, the share ``probe`` of all entries. Every row is indexed; centroids are fitted on at
+    most ``SAMPLE_ROWS`` rows. Both are chosen by a hash of the id. Ties go to the smaller vec_id. Rows that repeat an id are
+    queries and entries of their own, so an id may have several rankings. Vectors of another length than most (of equally
+    many, than the longest) take no part. A cell with more than ``chunk_rows`` entries, or ``query_rows`` queries, is
+    cut into chunks. An empty table gives no rows.
     """
     rows = clean_vectors(vectors, id_col, vector_col)
-    draw = F.xxhash64("vec_id")
-    sample = rows.orderBy(draw, "vec_id").limit(SAMPLE_ROWS).collect()
-    if not sample:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    spark = rows.sparkSession
+    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    if common is None:
+        return spark.createDataFrame([], RESULT)
+    rows = rows.filter(F.size("v") == common["n"])
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).collect()
     x = np.array([r["v"] for r in sample])
     cut = x.shape[1] // 2
     halves = (slice(0, cut), slice(cut, None))
     books = [fit_centroids(x[:, h], centroids) for h in halves]
     shape = (len(books[0]), len(books[1]))
 
-    def cells(v: np.ndarray) -> np.ndarray:
-        return nearest_centroid(v[:, halves[0]], books[0]) * shape[1] + nearest_centroid(v[:, halves[1]], books[1])
-
     @F.pandas_udf("int")
     def cell_of(v: pd.Series) -> pd.Series:
-        return pd.Series(cells(np.stack(v.to_numpy())) if len(v) else [], dtype="int32")
-
-    entries = rows.withColumn("cell", cell_of("v"))
+        if not len(v):
+            return pd.Series([], dtype="int32")
+        both = np.stack(v.to_numpy())
+        first, second = (nearest_centroid(both[:, h], book) for h, book in zip(halves, books, strict=True))
+        return pd.Series(first * shape[1] + second, dtype="int32")
+
+    # written once: a row's number, by which a query knows its own row, must not change when a task is repeated
+    entries = staged(rows.withColumns({"cell": cell_of("v"), "row": F.monotonically_increasing_id()}), "entries")
     sizes = np.zeros(shape[0] * shape[1], np.int64)
     for cell, n in entries.groupBy("cell").count().collect():  # at most centroids x centroids rows
         sizes[cell] = n
-    wanted = math.ceil(probe * sizes.sum()) + k
     counts = sizes.reshape(shape)
+    if probe is None:
+        trials, ids = x[:TRIAL_ROWS], np.array([r["vec_id"] for r in sample[:TRIAL_ROWS]])
+        before = [needed(books[0] @ v[halves[0]], books[1] @ v[halves[1]], counts) for v in trials]
+        enough = [before[trial][cell] for trial, cell in nearest_cells(entries, ids, trials, k)]
+        wanted = int(np.quantile(enough, recall, method="higher")) + 1 if enough else 1
+    else:
+        wanted = math.ceil(probe * sizes.sum())
+    wanted = max(wanted, k + 1)
     chunks = [max(1, math.ceil(n / chunk_rows)) for n in counts.sum(1)]
 
     def traverse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for query, v in zip(frame["vec_id"], frame["v"], strict=True):
-                near = [book @ v[h] for book, h in zip(books, halves, strict=True)]
-                seen = visit(near[0], near[1], counts, wanted)
-                out += [(query, v, i, chunk, np.packbits(seen[i]).tobytes())
-                        for i in np.flatnonzero(seen.any(1)) for chunk in range(chunks[i])]
-            yield pd.DataFrame(out, columns=["query_id", "v", "part", "chunk", "seen"])
-
-    visits = rows.filter(queries).mapInPandas(
-        traverse, "query_id long, v array<double>, part int, chunk int, seen binary"
-    )
+            for at in range(0, len(frame), 1024):
+                part, out = frame.iloc[at : at + 1024], []
+                for row, query, v in zip(part["row"], part["vec_id"], part["v"], strict=True):
+                    near = [book @ v[h] for book, h in zip(books, halves, strict=True)]
+                    seen = visit(near[0], near[1], counts, wanted)
+                    out += [(row, query, v, i, chunk, np.packbits(seen[i]).tobytes())
+                            for i in np.flatnonzero(seen.any(1)) for chunk in range(chunks[i])]
+                yield pd.DataFrame(out, columns=["row", "query_id", "v", "part", "chunk", "seen"])
+
+    asked = entries.filter(queries).select("row", "vec_id", "v")
+    visits = asked.mapInPandas(traverse, "row long, query_id long, v array<double>, part int, chunk int, seen binary")
     # hot parts: queries are dealt into as many groups as a part has more than a chunk of them
-    many = rows.filter(queries).count()
-    deal = max(1, math.ceil(many / chunk_rows))
-    visits = visits.withColumn("deal", F.pmod(F.xxhash64("query_id"), F.lit(deal)).cast("int"))
+    deal = max(1, math.ceil(asked.count() / query_rows))
+    visits = visits.withColumn("deal", F.pmod(F.xxhash64("row"), F.lit(deal)).cast("int"))
     per_part = F.element_at(F.array(*[F.lit(c) for c in chunks]), F.col("part") + 1)
     stored = entries.withColumn("part", F.floor(F.col("cell") / shape[1]).cast("int"))
-    stored = stored.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "v"), per_part).cast("int"))
+    stored = stored.withColumn("chunk", F.pmod(F.xxhash64("row"), per_part).cast("int"))
     stored = stored.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))))
 
     def rerank(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        none = pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []})
         if asked.empty or held.empty:
             return none
         held = held.sort_values("vec_id", kind="stable")
-        ids, column = held["vec_id"].to_numpy(), held["cell"].to_numpy() % shape[1]
+        ids, numbers, column = held["vec_id"].to_numpy(), held["row"].to_numpy(), held["cell"].to_numpy() % shape[1]
         matrix = np.stack(held["v"].to_numpy())
         out = []
         for at in range(0, len(asked), 256):
@@ -144,18 +195,18 @@ def nearest(
             wants = np.unpackbits(np.array([np.frombuffer(s, np.uint8) for s in part["seen"]]), axis=1)[:, : shape[1]]
             # not a matrix product: that may sum equal vectors in different orders and so break ties
             score = np.einsum("qd,nd->qn", np.stack(part["v"].to_numpy()), matrix)
-            own = part["query_id"].to_numpy()[:, None] == ids[None, :]
+            own = part["row"].to_numpy()[:, None] == numbers[None, :]
             score[(wants[:, column] == 0) | own] = -np.inf
-            best = np.argsort(-score, axis=1, kind="stable")[:, : k + 4]
-            for q, row, top in zip(part["query_id"], score, best, strict=True):
-                out += [(q, ids[t], row[t]) for t in top if row[t] > -np.inf]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else none
+            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            for row, query, line, top in zip(part["row"], part["query_id"], score, best, strict=True):
+                out += [(row, query, ids[t], line[t]) for t in top if line[t] > -np.inf]
+        return pd.DataFrame(out, columns=["row", "query_id", "vec_id", "score"]) if out else none
 
     by = ["part", "chunk", "deal"]
     found = visits.groupBy(*by).cogroup(stored.groupBy(*by)).applyInPandas(
-        rerank, "query_id long, vec_id long, score double"
+        rerank, "row long, query_id long, vec_id long, score double"
     )
-    # a query has at most k + 4 rows from each chunk of each part
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # a query has at most k rows from each chunk of each part
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

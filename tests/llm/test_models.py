@@ -58,6 +58,51 @@ def test_nearest_of_awkward_vectors(spark):
     assert multi_index.nearest(table.filter("vec_id > 9999"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_of_repeated_ids_and_other_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(60)]
+    # a repeated id with two vectors, a row repeated whole, and vectors of other lengths, one of them a query's
+    rows += [(20, rng.normal(size=6).tolist()), (40, rows[40][1]), (7, rows[40][1]), (80, [1.0] * 5), (81, [9.0] * 7), (82, [])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = multi_index.nearest(table, F.col("vec_id") % 20 == 0, k=3, centroids=3, probe=1.0).collect()
+    known = [(i, np.array(v)) for i, v in rows if len(v) == 6]
+    wanted = []
+    for at, (q, v) in enumerate(known):
+        if q % 20 == 0:
+            scored = sorted((-float((v * w).sum()), i) for other, (i, w) in enumerate(known) if other != at)[:3]
+            wanted += [(q, rank, i, round(-s, 9)) for rank, (s, i) in enumerate(scored, 1)]
+    assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in got) == sorted(wanted)
+    assert [r[0] for r in wanted].count(20) == [r[0] for r in wanted].count(40) == 6  # each row has its own ranking
+
+
+def test_visits_follow_the_vectors(spark, monkeypatch):
+    """Vectors in clusters need few entries, others many; the neighbours are found either way."""
+    wanted, fit = [], multi_index.nearest_cells
+
+    def cells(entries, ids, vectors, k):
+        found = fit(entries, ids, vectors, k)
+        wanted.append([entries, ids, vectors, found])
+        return found
+
+    monkeypatch.setattr(multi_index, "nearest_cells", cells)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 8))
+    for spread in (0.01, 3.0):
+        rows = [(i, (centres[i % 40] + spread * rng.normal(size=8)).tolist()) for i in range(2000)]
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        check_nearest(multi_index.nearest(table, F.col("vec_id") % 20 == 0, centroids=8).collect(), plain_nearest(rows), 0.9)
+    for entries, ids, vectors, found in wanted:  # the trials' neighbours are those of brute force
+        all_ = [(r.vec_id, r.cell, np.array(r.v)) for r in entries.collect()]
+        for trial in (0, 5):
+            scored = sorted((-float(vectors[trial] @ v), i, c) for i, c, v in all_ if i != ids[trial])[:20]
+            assert sorted(c for t, c in found if t == trial) == sorted(c for _, _, c in scored)
+    counts = rng.integers(0, 9, (7, 5))
+    a, b = rng.normal(size=7), rng.normal(size=5)
+    before = multi_index.needed(a, b, counts).reshape(7, 5)
+    for enough in (1, 10, 60):
+        assert ((before < enough) == multi_index.visit(a, b, counts, enough)).all()
+
+
 def test_cells_are_visited_in_order():
     rng = np.random.default_rng(2)
     a, b = rng.normal(size=7), rng.normal(size=5)

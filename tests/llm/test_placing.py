@@ -70,6 +70,44 @@ def test_period_deviates_by_less_than_a_block(parts):
             assert abs(done - t * q / total) < 1
 
 
+def plain_schedule(parts, blocks):
+    """The source of every slot, one period after the other: of the blocks released, the one with the earliest deadline.
+    A period has the blocks that the sources still have, as many as their parts at most."""
+    left, out = dict(blocks), []
+    while any(left.values()):
+        live = [s for s in parts if left[s]]
+        total = sum(parts[s] for s in live)
+        jobs = {(-(-(i + 1) * total // parts[s]), s, i * total // parts[s]) for s in live for i in range(min(parts[s], left[s]))}
+        clock = 0
+        while jobs:
+            ready = [job for job in jobs if job[2] <= clock]
+            if ready:
+                jobs.remove(min(ready))
+                out.append(min(ready)[1])
+                left[out[-1]] -= 1
+            clock += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_whole_schedule_is_the_plain_one(seed):
+    """All slots, also after sources have run out."""
+    import random
+
+    rng = random.Random(seed)
+    parts = {f"s{i}": rng.randrange(1, 9) for i in range(rng.randrange(1, 6))}
+    blocks = {s: rng.choice([0, 1, 3, rng.randrange(60)]) for s in parts}
+    got = {}
+    for s, found in mixing.segments(parts, blocks).items():
+        for first, many, slot, length, take, slots in found:
+            for i in range(many):
+                assert slot + i // take * length + slots[i % take] not in got
+                got[slot + i // take * length + slots[i % take]] = (s, first + i)
+    assert [got[i][0] for i in range(len(got))] == plain_schedule(parts, blocks)
+    for s in parts:
+        assert [b for i in range(len(got)) for name, b in [got[i]] if name == s] == list(range(blocks[s]))
+
+
 def check_mix(rows, parts, block_rows):
     blocks = defaultdict(lambda: defaultdict(list))
     for r in rows:
