@@ -50,6 +50,8 @@ KEPT_PAIRS = 1 << 18
 #: Characters of a window whose edges are remembered, and how many windows, at most.
 WINDOW = 6
 KEPT_WINDOWS = 1 << 16
+#: Rows whose ids a task holds before it hands them on.
+BATCH_ROWS = 512
 
 
 @dataclass(frozen=True)
@@ -339,12 +341,13 @@ def encode(
 
         ids = Memo(known).__getitem__
         for batch in batches:
-            encoded = []
-            for text in batch.column("text"):
-                text = text.as_py()
-                words = () if text is None else cut.findall(mark(text))
-                encoded.append(None if text is None else np.frombuffer(b"".join(map(ids, words)), np.int32))
-            yield batch.drop_columns(["text"]).append_column("ids", pa.array(encoded, pa.list_(pa.int32())))
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part, encoded = batch.slice(at, BATCH_ROWS), []
+                for text in part.column("text"):
+                    text = text.as_py()
+                    words = () if text is None else cut.findall(mark(text))
+                    encoded.append(None if text is None else np.frombuffer(b"".join(map(ids, words)), np.int32))
+                yield part.drop_columns(["text"]).append_column("ids", pa.array(encoded, pa.list_(pa.int32())))
 
     types = rows.drop("text").schema
     return rows.mapInArrow(of, types.add("ids", ArrayType(IntegerType())))
