@@ -110,6 +110,18 @@ def test_backfill_refreshes_silver(spark, tmp_path, tables):
     assert lake.read_silver(spark, tables.path("silver")).first().close == 2.0
 
 
+def test_one_day_leaves_other_dates_alone(spark, tmp_path, tables):
+    root = f"{tmp_path}/raw"
+    for day, close in (("2024-01-02", 1.0), ("2024-01-03", 2.0)):
+        day_file(root, day, [line("A", close, NS)])
+    month = raw.day_file_globs(root, 2024, [1])
+    assert [r.status for r in LH.ingest_day(spark, month, tables, "2024-01-03").collect()] == ["ok"]
+    assert [r.date for r in lake.read_silver(spark, tables.path("silver")).select("date").collect()] == ["2024-01-03"]
+    LH.ingest_day(spark, month, tables, "2024-01-03")  # loaded again: replaced
+    assert lake.read_bronze(spark, tables.path("bronze")).count() == 1
+    assert LH.ingest_day(spark, month, tables, "2024-01-04").count() == 0
+
+
 def test_scratch_is_released(spark):
     kept = staged(spark.range(3), "three")
     assert kept.count() == 3 and scratch_path(spark, "x").startswith(scratch_root(spark))
