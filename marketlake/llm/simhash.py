@@ -41,6 +41,8 @@ FACTORS = np.array([xxhash.xxh64_intdigest(f"factor {i}") | 1 for i in range(CEL
 SIMILAR_BITS = 28
 #: What rounding may add to a product of a size and a similarity.
 SLACK = 1e-6
+#: Sets of a group that are compared in one task: two parts of about so many.
+PART_SETS = 256
 
 
 def word_runs(text: str | None, width: int) -> np.ndarray:
@@ -214,8 +216,8 @@ def similar_edges(nodes: DataFrame, rows: DataFrame, least: float, width: int) -
     the similarity ``least``. Sets of very different numbers of ``runs`` can't have it, and are no pair. ``rows(doc_id, text)`` has the texts.
 
     Within a cell all are compared with one of them first. Sets in cells that are not one component then are compared
-    where they share a rare run (``rare_runs``), again only those outside a run's largest component. So neither a cluster of
-    near copies squares nor a group of texts around a common passage.
+    where they share a rare run (``rare_runs``), again only those outside a run's largest component (``forests``). So neither
+    a cluster of near copies squares nor a group of texts around a common passage.
     """
     celled = nodes.select("node", "fp", F.col("runs").alias("size"), F.explode("cells").alias("cell"))
     sizes = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "fp", "size")).alias("head"))
@@ -236,30 +238,98 @@ def similar_edges(nodes: DataFrame, rows: DataFrame, least: float, width: int) -
         alike = F.least(x["size"], y["size"]) >= F.greatest(x["size"], y["size"]) * least
         return alike & (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= SIMILAR_BITS)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        found = pairs.join(runs.toDF("a", "of_a"), "a").join(runs.toDF("b", "of_b"), "b")
-        both, all_ = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
-        fits = F.least(F.size("of_a"), F.size("of_b")) >= F.greatest(F.size("of_a"), F.size("of_b")) * least
-        return staged(found.filter(fits).filter(both >= (all_ - both) * least).select("a", "b"), "similar")
-
     stars = shared.filter(F.col("node") != F.col("head.node")).filter(may_link(F.struct("fp", "size"), F.col("head")))
     stars = staged(stars.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    linked = verified(stars)
+    found = stars.join(runs.toDF("a", "of_a"), "a").join(runs.toDF("b", "of_b"), "b")
+    both, all_ = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
+    linked = staged(found.filter(both >= (all_ - both) * least).select("a", "b"), "similar")
     roots = connected_components(linked).withColumnRenamed("node", "of")
     rooted = shared.join(roots, shared["node"] == roots["of"], "left")
     rooted = staged(rooted.select("cell", "node", "fp", "size", F.coalesce("root", "node").alias("root")), "rooted")
     apart = rooted.groupBy("cell").agg(F.min("root").alias("m"), F.max("root").alias("n")).filter("m <> n")
     left = rooted.join(apart.select("cell"), "cell", "left_semi").select("node", "fp", "size", "root").distinct()
     rare = staged(rare_runs(staged(left, "left"), runs, least), "rare")
-    mains = rare.groupBy("run").agg(F.min("root").alias("m"), F.max("root").alias("n"), F.mode("root").alias("main"))
-    rare = staged(rare.join(mains.filter("m <> n").select("run", "main"), "run"), "mixed")
-    member = F.struct("node", "fp", "size", "root", "place")
-    pairs = rare.filter("root <> main").select("run", member.alias("x")).join(rare.select("run", member.alias("y")), "run")
-    ahead = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-    enough = ahead * (1 + least) >= (F.col("x.size") + F.col("y.size")) * least - SLACK
-    pairs = pairs.filter(F.col("x.root") != F.col("y.root")).filter(enough & may_link(F.col("x"), F.col("y")))
-    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    return linked.union(verified(staged(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")))
+    return linked.union(staged(forests(rare, runs, least), "pairs"))
+
+
+def forests(rare: DataFrame, runs: DataFrame, least: float, part_sets: int = PART_SETS) -> DataFrame:
+    """Edges (a, b) between sets of different roots that, with the roots, span the links between sets that share a rare run.
+
+    ``rare`` comes from ``rare_runs``, ``runs(node, runs)`` has the sets. Each run is a group; one with many sets is cut into parts,
+    whose pairs of parts are groups of their own. A pair is looked at where its first common run is.
+    """
+    mains = rare.groupBy("run").agg(
+        F.min("root").alias("m"), F.max("root").alias("n"), F.mode("root").alias("main"), F.count(F.lit(1)).alias("sets"))
+    mixed = rare.join(mains.filter("m <> n").select("run", "main", "sets"), "run")
+    parts = F.ceil(F.col("sets") / part_sets).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    cut = mixed.select("run", "main", "node", "fp", "size", "root", "place", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    cut = cut.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other")
+    order = F.transform(F.sort_array(F.collect_list(F.struct("place", "run"))), lambda x: x["run"])
+    sets = rare.groupBy("node").agg(order.alias("rare")).join(runs, "node")
+    key = ["run", "low", "high"]
+    grouped = cut.join(sets, "node").repartition(*key).sortWithinPartitions(*key)
+
+    def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for frame in itertools.chain(frames, [None]):
+            last = frame is None
+            frame = rest if last else frame if rest is None else pd.concat([rest, frame])
+            if frame is None or not len(frame):
+                continue
+            keys = frame[key].to_numpy()
+            ends = [*(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(frame)]
+            # the last group may go on in the next batch
+            starts = [0, *ends[: None if last else -1]]
+            edges = [e for s, t in itertools.pairwise(starts) for e in similar_forest(frame.iloc[s:t], least)]
+            yield pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
+            rest = frame.iloc[starts[-1] :]
+
+    return grouped.mapInPandas(link, "a long, b long")
+
+
+def similar_forest(group: pd.DataFrame, least: float) -> list[tuple[int, int]]:
+    """Edges of a group of ``forests``: pairs whose distances to some pivot, or whose SimHashes, differ by more than
+    ``SIMILAR_BITS`` are discarded, the rest is compared run by run unless it is connected already."""
+    node, root, size, own, place = (group[c].to_numpy(np.int64) for c in ("node", "root", "size", "own", "place"))
+    fp = group["fp"].to_numpy(np.int64).view(np.uint64)
+    run, main, crossed = group["run"].iat[0], group["main"].iat[0], group["low"].iat[0] != group["high"].iat[0]
+    outside = np.flatnonzero(root != main)
+    if len(outside) < 2 and len(outside) == len(node) or not len(outside):
+        return []
+    table = np.bitwise_count(fp[:, None] ^ PIVOTS).astype(np.int8)
+    sets, rare = group["runs"].to_numpy(), group["rare"].to_numpy()
+    before = [None] * len(node)
+    up, edges = {}, []
+
+    def top(r: int) -> int:
+        while r in up:
+            r = up[r]
+        return r
+
+    def earlier(i: int) -> set[int]:
+        if before[i] is None:
+            ordered = rare[i].tolist()
+            before[i] = set(ordered[: ordered.index(run)])
+        return before[i]
+
+    for i in outside.tolist():
+        far = (root == root[i]) | ((root != main) & (np.arange(len(node)) < i))  # each pair once
+        if crossed:
+            far |= own == own[i]
+        j = np.flatnonzero(~far & (np.minimum(size, size[i]) >= np.maximum(size, size[i]) * least))
+        j = j[np.minimum(size[j] - place[j], size[i] - place[i]) * (1 + least) >= (size[j] + size[i]) * least - SLACK]
+        j = j[(np.abs(table[j] - table[i]) <= SIMILAR_BITS).all(axis=1)]
+        j = j[np.bitwise_count(fp[j] ^ fp[i]) <= SIMILAR_BITS]
+        for k in j.tolist():
+            x, y = top(root[i]), top(root[k])
+            if x == y or not earlier(i).isdisjoint(earlier(k)):
+                continue
+            both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+            if both >= (size[i] + size[k] - both) * least:
+                up[x] = y
+                edges.append((int(node[i]), int(node[k])))
+    return edges
 
 
 def node_of(runs: np.ndarray) -> int | None:
@@ -274,7 +344,7 @@ def similar_documents(
     between texts whose sets of runs of ``width`` words have a Jaccard similarity of at least ``least``.
 
     Candidates share a cell of least hashes (MinHash): at this similarity SimHashes differ in too many bits for
-    blocks of bits. Those whose SimHashes are more than ``SIMILAR_BITS`` apart are discarded; the
+    blocks of bits. Pivot distance tables and SimHashes discard those that are more than ``SIMILAR_BITS`` apart; the
     rest is compared run by run. A text without words is near no other. An empty table gives no rows.
     """
     rows = pick(docs, doc_id=id_col, text=text_col).filter("doc_id is not null")

@@ -98,3 +98,31 @@ def test_rare_runs_lose_no_pair(spark):
     for a, b in links:
         both = found.get(a, {}).keys() & found.get(b, {}).keys()
         assert any(min(len(sets[a]) - found[a][x], len(sets[b]) - found[b][x]) * 1.8 >= 0.8 * (len(sets[a]) + len(sets[b])) - simhash.SLACK for x in both)
+
+
+def test_texts_a_little_below_the_similarity_are_not_written_as_pairs(spark, monkeypatch):
+    """All share rare runs, nearly none is a link: what is written is a forest, in parts of a group too."""
+    import random
+
+    made = {}
+    kept = simhash.staged
+
+    def staged(df, name):
+        made[name] = kept(df, name)
+        return made[name]
+
+    monkeypatch.setattr(simhash, "staged", staged)
+    pick, base = random.Random(3), sentence(2, 200).split()
+    rows = []
+    for k in range(300):
+        words = list(base)
+        for at in pick.sample(range(10, 190, 10), 2 if k % 60 == 7 else 4):
+            words[at] = f"w{k}x{at}"
+        rows.append((k, " ".join(words)))
+    got = sorted(map(tuple, simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == plain_similar(rows)
+    assert len({c for _, c in got}) > 200
+    assert made["pairs"].count() < 300
+    again = simhash.forests(made["rare"], made["runs"], 0.8, part_sets=32)
+    ends = lambda df: simhash.connected_components(df.unionByName(made["similar"])).groupBy("root").count().collect()
+    assert sorted(r["count"] for r in ends(again)) == sorted(r["count"] for r in ends(made["pairs"]))
