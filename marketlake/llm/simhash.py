@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -193,10 +193,10 @@ def cells(runs: np.ndarray) -> list[int]:
 
 
 def rare_runs(sets: DataFrame, runs: DataFrame, least: float) -> DataFrame:
-    """(run, place, and the columns of ``sets``) of the rarest runs of ``sets(node, root, size)``: as many as two sets of the
+    """(run, n, place, and the columns of ``sets``) of the rarest runs of ``sets(node, root, size)``: as many as two sets of the
     similarity ``least`` can't differ in, and one more. Each such pair of different roots shares one of them.
 
-    ``runs(node, runs)`` has the sets' runs, which are ordered by the number of sets that have them; ``place`` is the run's place
+    ``runs(node, runs)`` has the sets' runs, which are ordered by ``n``, the number of sets that have them; ``place`` is the run's place
     in that order, from 0. A run that no set of another root has takes its place but is not returned. What many texts
     have in common comes last, so texts that have more than a fifth of their own share no run here.
     """
@@ -208,7 +208,7 @@ def rare_runs(sets: DataFrame, runs: DataFrame, least: float) -> DataFrame:
     upto = F.col("size") - F.ceil(F.col("size") * least - SLACK) + 1
     ordered = sets.join(shared, "node").filter(upto > own)
     ordered = ordered.select(*sets.columns, own.alias("own"), F.posexplode(F.slice("shared", F.lit(1), (upto - own).cast("int"))).alias("at", "of"))
-    return ordered.filter("of.mixed").select(*sets.columns, F.col("of.run").alias("run"), (F.col("own") + F.col("at")).alias("place"))
+    return ordered.filter("of.mixed").select(*sets.columns, F.col("of.run").alias("run"), F.col("of.n").alias("n"), (F.col("own") + F.col("at")).alias("place"))
 
 
 def similar_edges(nodes: DataFrame, rows: DataFrame, least: float, width: int) -> DataFrame:
@@ -255,22 +255,38 @@ def similar_edges(nodes: DataFrame, rows: DataFrame, least: float, width: int) -
 def forests(rare: DataFrame, runs: DataFrame, least: float, part_sets: int = PART_SETS) -> DataFrame:
     """Edges (a, b) between sets of different roots that, with the roots, span the links between sets that share a rare run.
 
-    ``rare`` comes from ``rare_runs``, ``runs(node, runs)`` has the sets. Each run is a group; one with many sets is cut into parts,
-    whose pairs of parts are groups of their own. A pair is looked at where its first common run is.
+    ``rare`` comes from ``rare_runs``, ``runs(node, runs)`` has the sets. Each run is a group, but of runs that the same sets have
+    (a passage) only the first; a group with many sets is cut into parts, whose pairs of parts are groups of their own. A pair is
+    looked at where its first common run is. What is long, the sets themselves, goes to a group only for the members that pivot
+    distance tables, SimHashes and places leave a partner in it (``contested``).
     """
-    mains = rare.groupBy("run").agg(
-        F.min("root").alias("m"), F.max("root").alias("n"), F.mode("root").alias("main"), F.count(F.lit(1)).alias("sets"))
-    mixed = rare.join(mains.filter("m <> n").select("run", "main", "sets"), "run")
+    of_run = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"of_{seed}") for seed in (1, 2)]
+    mains = rare.groupBy("run", "n").agg(
+        F.min("root").alias("m"), F.max("root").alias("o"), F.mode("root", True).alias("main"), F.count(F.lit(1)).alias("sets"), *of_run)
+    mains = mains.filter("m <> o").groupBy("sets", "main", "of_1", "of_2").agg(F.min(F.struct("n", "run")).alias("first"))
+    mains = staged(mains.select(F.col("first.run").alias("run"), "main", "sets"), "mains")
+    mixed = staged(rare.join(mains, "run"), "mixed")
     parts = F.ceil(F.col("sets") / part_sets).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
     cut = mixed.select("run", "main", "node", "fp", "size", "root", "place", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
     cut = cut.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other")
-    order = F.transform(F.sort_array(F.collect_list(F.struct("place", "run"))), lambda x: x["run"])
-    sets = rare.groupBy("node").agg(order.alias("rare")).join(runs, "node")
     key = ["run", "low", "high"]
-    grouped = cut.join(sets, "node").repartition(*key).sortWithinPartitions(*key)
+    together = lambda df: df.repartition(*key).sortWithinPartitions(*key)
+    members = together(cut).mapInPandas(by_group(key, lambda group: contested(group, least)), cut.schema)
+    members = staged(members, "members")
+    order = F.transform(F.sort_array(F.collect_list(F.struct("place", "run"))), lambda x: x["run"])
+    sets = mixed.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(order.alias("rare")).join(runs, "node")
 
-    def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def link(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(similar_forest(group, least), columns=["a", "b"], dtype=np.int64)
+
+    return together(members.join(sets, "node")).mapInPandas(by_group(key, link), "a long, b long")
+
+
+def by_group(key: list[str], of: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``of`` applied to every group of frames that are sorted by ``key``."""
+
+    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for frame in itertools.chain(frames, [None]):
             last = frame is None
@@ -281,23 +297,50 @@ def forests(rare: DataFrame, runs: DataFrame, least: float, part_sets: int = PAR
             ends = [*(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(frame)]
             # the last group may go on in the next batch
             starts = [0, *ends[: None if last else -1]]
-            edges = [e for s, t in itertools.pairwise(starts) for e in similar_forest(frame.iloc[s:t], least)]
-            yield pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
+            found = [made for s, t in itertools.pairwise(starts) if len(made := of(frame.iloc[s:t]))]
+            if found:
+                yield pd.concat(found)
             rest = frame.iloc[starts[-1] :]
 
-    return grouped.mapInPandas(link, "a long, b long")
+    return apply
+
+
+class Partners:
+    """The pairs of a group of ``forests`` that sizes, places, pivot distance tables and SimHashes leave."""
+
+    def __init__(self, group: pd.DataFrame, least: float):
+        self.node, self.root, self.size, self.own, self.place = (group[c].to_numpy(np.int64) for c in ("node", "root", "size", "own", "place"))
+        self.fp, self.least = group["fp"].to_numpy(np.int64).view(np.uint64), least
+        self.main, self.crossed = group["main"].iat[0], group["low"].iat[0] != group["high"].iat[0]
+        self.outside = np.flatnonzero(self.root != self.main)
+        self.table = np.bitwise_count(self.fp[:, None] ^ PIVOTS).astype(np.int8)
+
+    def of(self, i: int) -> np.ndarray:
+        """Positions of the partners of one that is outside the largest component; each pair comes once."""
+        size, place, least = self.size, self.place, self.least
+        far = (self.root == self.root[i]) | ((self.root != self.main) & (np.arange(len(size)) < i))
+        if self.crossed:
+            far |= self.own == self.own[i]
+        j = np.flatnonzero(~far & (np.minimum(size, size[i]) >= np.maximum(size, size[i]) * least))
+        j = j[np.minimum(size[j] - place[j], size[i] - place[i]) * (1 + least) >= (size[j] + size[i]) * least - SLACK]
+        j = j[(np.abs(self.table[j] - self.table[i]) <= SIMILAR_BITS).all(axis=1)]
+        return j[np.bitwise_count(self.fp[j] ^ self.fp[i]) <= SIMILAR_BITS]
+
+
+def contested(group: pd.DataFrame, least: float) -> pd.DataFrame:
+    """The members of a group of ``forests`` that have a partner in it."""
+    partners, met = Partners(group, least), np.zeros(len(group), bool)
+    for i in partners.outside.tolist():
+        j = partners.of(i)
+        met[j] = True
+        met[i] |= len(j) > 0
+    return group[met]
 
 
 def similar_forest(group: pd.DataFrame, least: float) -> list[tuple[int, int]]:
-    """Edges of a group of ``forests``: pairs whose distances to some pivot, or whose SimHashes, differ by more than
-    ``SIMILAR_BITS`` are discarded, the rest is compared run by run unless it is connected already."""
-    node, root, size, own, place = (group[c].to_numpy(np.int64) for c in ("node", "root", "size", "own", "place"))
-    fp = group["fp"].to_numpy(np.int64).view(np.uint64)
-    run, main, crossed = group["run"].iat[0], group["main"].iat[0], group["low"].iat[0] != group["high"].iat[0]
-    outside = np.flatnonzero(root != main)
-    if len(outside) < 2 and len(outside) == len(node) or not len(outside):
-        return []
-    table = np.bitwise_count(fp[:, None] ^ PIVOTS).astype(np.int8)
+    """Edges of a group of ``forests``: partners are compared run by run unless they are connected already."""
+    partners = Partners(group, least)
+    node, root, size, run = partners.node, partners.root, partners.size, group["run"].iat[0]
     sets, rare = group["runs"].to_numpy(), group["rare"].to_numpy()
     before = [None] * len(node)
     up, edges = {}, []
@@ -313,15 +356,8 @@ def similar_forest(group: pd.DataFrame, least: float) -> list[tuple[int, int]]:
             before[i] = set(ordered[: ordered.index(run)])
         return before[i]
 
-    for i in outside.tolist():
-        far = (root == root[i]) | ((root != main) & (np.arange(len(node)) < i))  # each pair once
-        if crossed:
-            far |= own == own[i]
-        j = np.flatnonzero(~far & (np.minimum(size, size[i]) >= np.maximum(size, size[i]) * least))
-        j = j[np.minimum(size[j] - place[j], size[i] - place[i]) * (1 + least) >= (size[j] + size[i]) * least - SLACK]
-        j = j[(np.abs(table[j] - table[i]) <= SIMILAR_BITS).all(axis=1)]
-        j = j[np.bitwise_count(fp[j] ^ fp[i]) <= SIMILAR_BITS]
-        for k in j.tolist():
+    for i in partners.outside.tolist():
+        for k in partners.of(i).tolist():
             x, y = top(root[i]), top(root[k])
             if x == y or not earlier(i).isdisjoint(earlier(k)):
                 continue

@@ -126,3 +126,28 @@ def test_texts_a_little_below_the_similarity_are_not_written_as_pairs(spark, mon
     again = simhash.forests(made["rare"], made["runs"], 0.8, part_sets=32)
     ends = lambda df: simhash.connected_components(df.unionByName(made["similar"])).groupBy("root").count().collect()
     assert sorted(r["count"] for r in ends(again)) == sorted(r["count"] for r in ends(made["pairs"]))
+
+
+def test_sets_go_only_to_groups_where_they_have_a_partner(spark, monkeypatch):
+    """Two sets share a passage of many rare runs: their runs are sent once, and not at all where the passage is too short."""
+    made = {}
+    kept = simhash.staged
+
+    def staged(df, name):
+        made[name] = kept(df, name)
+        return made[name]
+
+    monkeypatch.setattr(simhash, "staged", staged)
+    sets = {}
+    for k in range(40):
+        both = 900 if k % 10 == 0 else 880  # 0.82 or 0.79
+        shared = list(range(k * 10_000, k * 10_000 + both))
+        for j in (1, 2):
+            sets[2 * k + j] = shared + list(range(k * 10_000 + j * 2000, k * 10_000 + j * 2000 + 1000 - both))
+    nodes = spark.createDataFrame([(n, n, 0, len(s)) for n, s in sets.items()], "node long, root long, fp long, size long")
+    runs = kept(spark.createDataFrame(list(sets.items()), "node long, runs array<long>"), "runs")
+    rare = kept(simhash.rare_runs(nodes, runs, 0.8), "rare")
+    assert rare.count() > 5000
+    edges = sorted(tuple(sorted(e)) for e in simhash.forests(rare, runs, 0.8).collect())
+    assert edges == [(2 * k + 1, 2 * k + 2) for k in range(0, 40, 10)]
+    assert made["members"].count() == 8
