@@ -15,13 +15,15 @@ to the longer last piece.
 The words of a corpus have no bound, so their encodings can't be broadcast, and a join of every
 occurrence would shuffle several times the corpus. So the relation runs on the most frequent
 words, at most ``dictionary`` of them, counted over all documents; their encodings are handed to
-the tasks. Words that are left are solved one by one by the tasks, those of a unigram model by the same fold, those of a BPE model by
-walking the one path that is left, longest piece first; a task keeps a bounded number of them.
+the tasks. Words that are left are solved by the tasks, those of a unigram model one by one by the same fold, those of a BPE model by
+the same lattice as arrays, many words at once (``Lattice``); long words by walking the one path that is left, longest piece
+first. A task keeps a bounded number of words.
 """
 
 from __future__ import annotations
 
 import gc
+import itertools
 import math
 import re
 from array import array
@@ -47,11 +49,15 @@ BYTES = -1
 NORMAL = 1
 #: Pairs that ``Apart`` remembers, at most.
 KEPT_PAIRS = 1 << 18
+#: The same of a ``Lattice``, which keeps them as arrays.
+LATTICE_PAIRS = 1 << 20
 #: Characters of a window whose edges are remembered, and how many windows, at most.
 WINDOW = 6
 KEPT_WINDOWS = 1 << 16
-#: Rows whose ids a task holds before it hands them on.
-BATCH_ROWS = 512
+#: Rows whose ids a task holds before it hands them on, and their words, up to the row that passes it.
+BATCH_ROWS, BATCH_WORDS = 512, 1 << 17
+#: In a lattice: a place that no path has reached.
+UNREACHED = -2
 
 
 @dataclass(frozen=True)
@@ -83,25 +89,31 @@ class Apart(dict):
         self.windows = {}  # the edges from a few characters on, which words share
 
     def __missing__(self, pair: int) -> bool:
-        two = [self.names[pair >> 32], self.names[pair & 0xFFFFFFFF]]
         if len(self) >= KEPT_PAIRS:
             self.clear()
-        self[pair] = found = merged("".join(two), self.ranks) == two
+        self[pair] = found = self.holds(pair)
         return found
 
+    def holds(self, pair: int) -> bool:
+        two = [self.names[pair >> 32], self.names[pair & 0xFFFFFFFF]]
+        return merged("".join(two), self.ranks) == two
+
     def __reduce__(self):
         return Apart, (self.names, self.ranks)
 
 
 def merged(text: str, ranks: dict[str, float]) -> list[str]:
     """Merging by rank: always the neighbours of the highest score, the leftmost first."""
-    parts = list(text)
-    while True:
-        joined = [(ranks[two], -k) for k in range(len(parts) - 1) if (two := parts[k] + parts[k + 1]) in ranks]
-        if not joined:
-            return parts
-        k = -max(joined)[1]
+    none, parts = -math.inf, list(text)
+    joined = [ranks.get(x + y, none) for x, y in itertools.pairwise(parts)]
+    while joined and (best := max(joined)) > none:
+        k = joined.index(best)
         parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        del joined[k]
+        for at in (k - 1, k):
+            if 0 <= at < len(joined):
+                joined[at] = ranks.get(parts[at] + parts[at + 1], none)
+    return parts
 
 
 def load_pieces(path: str) -> Pieces:
@@ -222,6 +234,96 @@ def only_path(word: str, reach: dict[str, tuple[int, float] | None], byte_ids: l
     return tuple(ids)
 
 
+class Lattice:
+    """The lattices of many words of a BPE model at once: edges by one trie of the pieces, then a fold over the places
+    of all words. As in the relation, a place keeps the edge of the longest last piece that may follow the one before it."""
+
+    def __init__(self, pieces: Pieces):
+        nodes, piece = {}, [BYTES]
+        for text, (i, _) in pieces.table.items():
+            at = 0
+            for char in text:
+                at = nodes.setdefault(at << 21 | ord(char), len(piece))
+                if at == len(piece):
+                    piece.append(BYTES)
+            piece[at] = i
+        end = np.iinfo(np.int64).max  # after all keys, so that each has one not before it
+        self.steps = np.array(sorted(nodes) + [end])
+        self.to = np.array([nodes[key] for key in sorted(nodes)] + [0])
+        self.piece, self.apart = np.array(piece), pieces.apart()
+        self.none = np.array([end]), np.array([False])
+        self.pairs, self.free = self.none
+
+    def edges(self, chars: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, size, id) of the edges; ``left`` is the number of characters from a place to its word's end."""
+        at, size, single, found = np.arange(len(chars)), 0, np.zeros(len(chars), bool), []
+        node = np.zeros(len(chars), np.int64)
+        while at.size:
+            key = node << 21 | chars[at + size]
+            k = np.searchsorted(self.steps, key)
+            known = self.steps[k] == key
+            at, node, size = at[known], self.to[k[known]], size + 1
+            piece = self.piece[node]
+            ends = piece != BYTES
+            found.append((at[ends], np.full(ends.sum(), size), piece[ends]))
+            if size == 1:
+                single[at[ends]] = True
+            more = left[at] > size
+            at, node = at[more], node[more]
+        lone = np.flatnonzero(~single)
+        found.append((lone, np.ones(len(lone), np.int64), np.full(len(lone), BYTES)))
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+    def may_follow(self, pairs: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(self.pairs, pairs)
+        new = np.unique(pairs[self.pairs[k] != pairs])
+        if len(new):
+            if len(self.pairs) + len(new) > LATTICE_PAIRS:
+                new, (self.pairs, self.free) = np.unique(pairs), self.none
+            at = np.searchsorted(self.pairs, new)
+            self.free = np.insert(self.free, at, [self.apart.holds(p) for p in new.tolist()])
+            self.pairs = np.insert(self.pairs, at, new)
+            k = np.searchsorted(self.pairs, pairs)
+        return self.free[k]
+
+    def paths(self, words: list[str]) -> list[bytes | None]:
+        """The ids of distinct, non-empty words, as bytes; None for a word with a character that becomes bytes."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        word = np.repeat(np.arange(len(words)), sizes)
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+        offset = np.arange(len(chars)) - (np.cumsum(sizes) - sizes)[word]
+        start, size, piece = self.edges(chars, sizes[word] - offset)
+        order = np.argsort(offset[start], kind="stable")
+        start, size, piece = start[order], size[order], piece[order]
+        upto = np.cumsum(np.bincount(offset[start])).tolist()
+        here = start + word[start]  # a word has one place more than characters
+        there = here + size
+        first = np.cumsum(sizes + 1) - sizes - 1
+        last = np.full(len(chars) + len(words), UNREACHED)
+        last[first] = BYTES
+        came = np.zeros(len(last), np.int64)
+        for begin, end in itertools.pairwise([0, *upto]):
+            a, b, p = here[begin:end], there[begin:end], piece[begin:end]
+            open_ = np.flatnonzero((last[a] != UNREACHED) & (last[b] == UNREACHED))
+            a, b, p = a[open_], b[open_], p[open_]
+            before = last[a]
+            joins = np.flatnonzero((before != BYTES) & (p != BYTES))
+            may = np.ones(len(a), bool)
+            may[joins] = self.may_follow(before[joins] << 32 | p[joins])
+            last[b[may]], came[b[may]] = p[may], a[may]
+        taken, is_first, at = np.zeros(len(last), bool), np.zeros(len(last), bool), first + sizes
+        is_first[first] = True
+        while at.size:
+            taken[at] = True
+            at = came[at]
+            at = at[~is_first[at]]
+        upto = np.concatenate(([0], np.cumsum(taken)))
+        ids, spans = last[taken].astype(np.int32), zip(upto[first].tolist(), upto[first + sizes + 1].tolist(), strict=True)
+        lone = np.zeros(len(words), bool)
+        lone[np.repeat(np.arange(len(words)), sizes + 1)[np.flatnonzero(taken & (last < 0))]] = True
+        return [None if alone else ids[a:b].tobytes() for (a, b), alone in zip(spans, lone.tolist(), strict=True)]
+
+
 def pair(before: Column, after: Column) -> Column:
     return F.shiftleft(before.cast("long"), 32).bitwiseOR(after.cast("long"))
 
@@ -323,31 +425,45 @@ def encode(
     known = encode_words(frequent_words(rows, dictionary), pieces).toArrow()
     # ids as bytes: half the memory of tuples, and a text's are put together by one join
     known = {w.as_py(): i.values.to_numpy().astype(np.int32).tobytes() for w, i in zip(known["word"], known["ids"], strict=True)}
-    shared = spark.sparkContext.broadcast((known, (pieces.table, pieces.byte_ids, pieces.byte_score, pieces.apart())))
+    lattice = Lattice(pieces) if pieces.ranks else None
+    shared = spark.sparkContext.broadcast((known, lattice, (pieces.table, pieces.byte_ids, pieces.byte_score, pieces.apart())))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (table, *of_bytes) = shared.value
+        known, lattice, (table, *of_bytes) = shared.value
         reach, cut = reachable(table), re.compile(WORD)
         gc.freeze()  # what was handed to the task stays, so no collection need walk it
+        memo = dict(known)
+
+        def learn(words: set[str]) -> dict[str, bytes]:
+            """Adds what is not known to ``memo``; returns the long ones, which are not kept."""
+            new = [w for w in words if w not in memo]
+            while len(memo) > len(known) and len(memo) + len(new) > len(known) + kept_words:  # the dictionary came first, so it stays
+                memo.popitem()
+            new = [w for w in words if w not in memo]
+            short = [w for w in new if len(w) <= DICTIONARY_CHARS]
+            memo.update(zip(short, lattice.paths(short) if lattice and short else [None] * len(short), strict=True))
+            alone = [w for w in new if memo.get(w) is None]
+            found = {w: array("i", best_path(w, reach, *of_bytes)).tobytes() for w in alone}
+            memo.update((w, ids) for w, ids in found.items() if w in memo)
+            return {w: ids for w, ids in found.items() if w not in memo}
+
+        def encoded(part: pa.RecordBatch, texts: list[list[str] | None]) -> pa.RecordBatch:
+            long = learn(set().union(*filter(None, texts)))
+            ids = (memo | long).__getitem__ if long else memo.__getitem__
+            found = [None if words is None else np.frombuffer(b"".join(map(ids, words)), np.int32) for words in texts]
+            return part.drop_columns(["text"]).append_column("ids", pa.array(found, pa.list_(pa.int32())))
 
-        class Memo(dict):
-            def __missing__(self, word: str) -> bytes:
-                found = array("i", best_path(word, reach, *of_bytes)).tobytes()
-                while len(self) >= len(known) + kept_words:  # the dictionary came first, so it stays
-                    self.popitem()
-                if len(word) <= DICTIONARY_CHARS:
-                    self[word] = found
-                return found
-
-        ids = Memo(known).__getitem__
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part, encoded = batch.slice(at, BATCH_ROWS), []
-                for text in part.column("text"):
-                    text = text.as_py()
-                    words = () if text is None else cut.findall(mark(text))
-                    encoded.append(None if text is None else np.frombuffer(b"".join(map(ids, words)), np.int32))
-                yield part.drop_columns(["text"]).append_column("ids", pa.array(encoded, pa.list_(pa.int32())))
+            at, texts, words = 0, [], 0
+            for text in batch.column("text"):
+                text = text.as_py()
+                texts.append(None if text is None else cut.findall(mark(text)))
+                words += len(texts[-1] or ())
+                if len(texts) >= BATCH_ROWS or words >= BATCH_WORDS:
+                    yield encoded(batch.slice(at, len(texts)), texts)
+                    at, texts, words = at + len(texts), [], 0
+            if texts:
+                yield encoded(batch.slice(at), texts)
 
     types = rows.drop("text").schema
     return rows.mapInArrow(of, types.add("ids", ArrayType(IntegerType())))

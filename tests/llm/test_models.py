@@ -245,6 +245,27 @@ def test_ids_are_the_models_own(pieces):
         assert [i for w in words for i in sentence_pieces.best_path(w, *lattice)] == model.encode(text)
 
 
+def test_lattices_as_arrays_give_the_models_ids(pieces, monkeypatch):
+    """Many words at once, also where few pairs are remembered; only words with bytes are left out."""
+    import random
+
+    from sentencepiece import SentencePieceProcessor
+
+    model, pick = SentencePieceProcessor(model_file=queries.piece_model()), random.Random(4)
+    texts = ["".join(pick.choices("abcdeorntABé,. 019\n中\U0001f600\U00013000", k=pick.randrange(1, 60))) for _ in range(400)]
+    words = sorted({w for t in texts for w in re.findall(sentence_pieces.WORD, sentence_pieces.mark(t))})
+    walk = (sentence_pieces.reachable(pieces.table), pieces.byte_ids, pieces.byte_score, pieces.apart())
+    for bound in (sentence_pieces.LATTICE_PAIRS, 50):
+        monkeypatch.setattr(sentence_pieces, "LATTICE_PAIRS", bound)
+        lattice = sentence_pieces.Lattice(pieces)
+        found = dict(zip(words, lattice.paths(words[:300]) + lattice.paths(words[300:]), strict=True))
+        assert {w for w, ids in found.items() if ids is None} == {w for w in words if not pieces.table.keys() >= set(w)}
+        known = {w: sentence_pieces.best_path(w, *walk) if ids is None else np.frombuffer(ids, np.int32).tolist() for w, ids in found.items()}
+        for text in texts:
+            cut = re.findall(sentence_pieces.WORD, sentence_pieces.mark(text))
+            assert [i for w in cut for i in known[w]] == model.encode(text)
+
+
 def test_unigram_lattice_takes_the_greatest_sum(spark):
     """A hand-made table: 'ab' + 'c' beats 'a' + 'bc'; a character without a piece becomes bytes."""
     table = {"a": (256, -3.0), "b": (257, -3.0), "c": (258, -2.0), "ab": (259, -2.5), "bc": (260, -4.0)}
