@@ -79,9 +79,8 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = sentence_pieces.load_pieces(piece_model())
-    return sentence_pieces.encode(docs, pieces).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.col("ids").alias("token_ids"),
-        F.sha2(sentence_pieces.decoded(F.col("ids"), pieces), 256).alias("decoded_sha256"),
+    return sentence_pieces.encode(docs, pieces, back="again").select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.col("ids").alias("token_ids"), F.sha2("again", 256).alias("decoded_sha256"),
     )
 
 

@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 A text is marked as the model does it (one space before it, every space as U+2581) and cut into
-words at places that no piece crosses. ``encode_words`` is the lattice: words are exploded into
+words at places that no piece crosses: before marks, around newlines, and between characters that no
+chain of pieces links (``word_pattern``), as letters and punctuation. ``encode_words`` is the lattice: words are exploded into
 substrings of bounded length, equi-joined to the piece table, the edges found are grouped by word,
 and a fold with the higher-order ``aggregate`` keeps the best path to every position. A character
 without a piece becomes its UTF-8 bytes.
@@ -27,6 +28,7 @@ import itertools
 import math
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from marketlake.session import staged
 
@@ -54,6 +56,10 @@ LATTICE_PAIRS = 1 << 20
 #: Characters of a window whose edges are remembered, and how many windows, at most.
 WINDOW = 6
 KEPT_WINDOWS = 1 << 16
+#: Entries of the table of a ``Lattice``'s steps, at most; longer strings than it holds are searched for.
+TABLE_STEPS = 1 << 21
+#: Words that a task counts before it hands the counts on, up to the text that passes it.
+COUNTED_WORDS = 1 << 18
 #: Rows whose ids a task holds before it hands them on, and their words, up to the row that passes it.
 BATCH_ROWS, BATCH_WORDS = 512, 1 << 17
 #: In a lattice: a place that no path has reached.
@@ -148,6 +154,28 @@ def load_pieces(path: str) -> Pieces:
     return Pieces(table, byte_ids, 0.0, hexes, ranks)
 
 
+def word_pattern(pieces: Pieces) -> str:
+    """Matches the words of a marked text. ``WORD`` is cut further where a character of the largest class meets one that
+    is not of it. Characters side by side in a piece, merged or not, are of one class, so no piece crosses that cut."""
+    kin = {}
+
+    def root(char: str) -> str:
+        while (up := kin.setdefault(char, char)) != char:
+            char = up
+        return char
+
+    for piece in pieces.ranks or pieces.table:
+        for a, b in itertools.pairwise(piece.lstrip(MARK)):
+            kin[root(a)] = root(b)
+    classes = {}
+    for char in sorted(kin):
+        classes.setdefault(root(char), []).append(char)
+    if not classes:
+        return WORD
+    largest = "".join(map(re.escape, max(classes.values(), key=len)))
+    return f"{MARK}*[{largest}]+|{MARK}*[^{largest}{MARK}\\n]+|{MARK}+|\\n+"
+
+
 def reachable(table: dict[str, tuple[int, float]]) -> dict[str, tuple[int, float] | None]:
     """The pieces and, with None, all their beginnings: past a string that is neither, no piece follows."""
     return {p[:n]: None for p in table for n in range(1, len(p))} | table
@@ -239,37 +267,60 @@ class Lattice:
     of all words. As in the relation, a place keeps the edge of the longest last piece that may follow the one before it."""
 
     def __init__(self, pieces: Pieces):
-        nodes, piece = {}, [BYTES]
-        for text, (i, _) in pieces.table.items():
-            at = 0
-            for char in text:
-                at = nodes.setdefault(at << 21 | ord(char), len(piece))
-                if at == len(piece):
-                    piece.append(BYTES)
-            piece[at] = i
-        end = np.iinfo(np.int64).max  # after all keys, so that each has one not before it
-        self.steps = np.array(sorted(nodes) + [end])
-        self.to = np.array([nodes[key] for key in sorted(nodes)] + [0])
-        self.piece, self.apart = np.array(piece), pieces.apart()
-        self.none = np.array([end]), np.array([False])
+        inner = {p[:n] for p in pieces.table for n in range(1, len(p))}
+        begun = sorted(inner | pieces.table.keys(), key=lambda p: (p not in inner, len(p), p))
+        node = {p: i for i, p in enumerate(begun)}
+        top = ord(max(map(max, begun))) + 2  # stands for all characters beyond
+        self.first, self.code = np.full(top, BYTES, np.int32), np.zeros(top, np.int32)
+        for p in begun:
+            if len(p) == 1:
+                self.first[ord(p)] = node[p]
+        later = sorted({c for p in begun for c in p[1:]})
+        self.code[[ord(c) for c in later]] = np.arange(1, len(later) + 1)
+        self.width, self.inner = len(later) + 1, len(inner)  # nodes from ``inner`` on are leaves
+        longer = [p for p in begun if len(p) > 1]
+        self.kind = np.int32 if len(inner) * self.width < np.iinfo(np.int32).max else np.int64
+        keys = np.array([node[p[:-1]] * self.width + self.code[ord(p[-1])] for p in longer], self.kind)
+        order = np.argsort(keys)
+        # after all keys one more, so that each has one not before it
+        self.steps = np.append(keys[order], np.iinfo(self.kind).max).astype(self.kind)
+        self.to = np.append(np.array([node[p] for p in longer], np.int32)[order], np.int32(BYTES))
+        self.piece = np.array([pieces.table.get(p, (BYTES,))[0] for p in begun])
+        sizes = np.bincount([len(p) for p in inner], minlength=2)
+        self.table_size = int(np.searchsorted(np.cumsum(sizes) * self.width, TABLE_STEPS, "right"))
+        self.table_rows = int(sizes[: self.table_size].sum())  # nodes of less than ``table_size`` characters
+        self.table = None  # made by the task
+        self.apart = pieces.apart()
+        self.none = np.array([np.iinfo(np.int64).max]), np.array([False])
         self.pairs, self.free = self.none
 
+    def step(self, node: np.ndarray, code: np.ndarray, size: int) -> np.ndarray:
+        """The nodes one character on, BYTES where there is none; ``size`` is the number of characters before."""
+        keys = node * self.kind(self.width) + code
+        if size < self.table_size:
+            if self.table is None:
+                self.table = np.full(self.table_rows * self.width, BYTES, np.int32)
+                near = self.steps < len(self.table)
+                self.table[self.steps[near]] = self.to[near]
+            return self.table[keys]
+        k = np.searchsorted(self.steps, keys)
+        return np.where(self.steps[k] == keys, self.to[k], BYTES)
+
     def edges(self, chars: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, size, id) of the edges; ``left`` is the number of characters from a place to its word's end."""
-        at, size, single, found = np.arange(len(chars)), 0, np.zeros(len(chars), bool), []
-        node = np.zeros(len(chars), np.int64)
+        chars = np.minimum(chars, len(self.first) - 1)
+        code, at, node, size, found = self.code[chars], np.arange(len(chars)), self.first[chars], 1, []
+        single = np.append(self.piece, BYTES)[node] != BYTES  # the last one is for characters that begin no piece
         while at.size:
-            key = node << 21 | chars[at + size]
-            k = np.searchsorted(self.steps, key)
-            known = self.steps[k] == key
-            at, node, size = at[known], self.to[k[known]], size + 1
+            known = np.flatnonzero(node != BYTES)
+            at, node = at[known], node[known]
             piece = self.piece[node]
-            ends = piece != BYTES
-            found.append((at[ends], np.full(ends.sum(), size), piece[ends]))
-            if size == 1:
-                single[at[ends]] = True
-            more = left[at] > size
-            at, node = at[more], node[more]
+            ends = np.flatnonzero(piece != BYTES)
+            found.append((at[ends], np.full(len(ends), size), piece[ends]))
+            more = np.flatnonzero((node < self.inner) & (left[at] > size))
+            at = at[more]
+            node = self.step(node[more], code[at + size], size)
+            size += 1
         lone = np.flatnonzero(~single)
         found.append((lone, np.ones(len(lone), np.int64), np.full(len(lone), BYTES)))
         return tuple(map(np.concatenate, zip(*found, strict=True)))
@@ -293,7 +344,7 @@ class Lattice:
         chars = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
         offset = np.arange(len(chars)) - (np.cumsum(sizes) - sizes)[word]
         start, size, piece = self.edges(chars, sizes[word] - offset)
-        order = np.argsort(offset[start], kind="stable")
+        order = np.argsort(offset.astype(np.min_scalar_type(sizes.max()))[start], kind="stable")  # small types are sorted by radix
         start, size, piece = start[order], size[order], piece[order]
         upto = np.cumsum(np.bincount(offset[start])).tolist()
         here = start + word[start]  # a word has one place more than characters
@@ -401,10 +452,31 @@ def marked(text: Column) -> Column:
     return F.when(text == "", text).otherwise(F.concat(F.lit(MARK), F.translate(text, " ", MARK)))
 
 
-def frequent_words(rows: DataFrame, limit: int) -> DataFrame:
+def counted_words(rows: DataFrame, pattern: str) -> DataFrame:
+    """(word, n) of all words that a dictionary may have, counted over all rows. Tasks cut the texts and count; a
+    task's counts are handed on and summed per word."""
+
+    def handed_on(counts: Counter) -> pa.RecordBatch:
+        short = [(w, n) for w, n in counts.items() if len(w) <= DICTIONARY_CHARS]
+        return pa.record_batch([pa.array([w for w, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], ["word", "n"])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, counts = re.compile(pattern), Counter()
+        for batch in batches:
+            for text in batch.column("text"):
+                counts.update(cut.findall(mark(text.as_py())))
+                if len(counts) >= COUNTED_WORDS:
+                    yield handed_on(counts)
+                    counts.clear()
+        yield handed_on(counts)
+
+    counts = rows.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(of, "word string, n long")
+    return counts.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(rows: DataFrame, limit: int, pattern: str) -> DataFrame:
     """The most frequent words, at most ``limit``, with ties left out together. Counts are over all rows."""
-    words = rows.select(F.explode(F.regexp_extract_all(marked(F.col("text")), F.lit(WORD), F.lit(0))).alias("word"))
-    counts = words.filter(F.length("word") <= DICTIONARY_CHARS).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = counted_words(rows, pattern)
     # words seen once gain nothing from a dictionary
     counts = staged(counts.filter("n > 1"), "words")
     totals = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
@@ -415,22 +487,25 @@ def frequent_words(rows: DataFrame, limit: int) -> DataFrame:
 
 def encode(
     docs: DataFrame, model: str | Pieces, id_col: str = "doc_id", text_col: str = "text", *,
-    dictionary: int = DICTIONARY, kept_words: int = 100_000, carry: tuple[str, ...] = (),
+    dictionary: int = DICTIONARY, kept_words: int = 100_000, carry: tuple[str, ...] = (), back: str | None = None,
 ) -> DataFrame:
     """(doc_id, ids) per row, and the columns to ``carry``: the piece ids of the whole text. A null text gives null, an empty
-    one no ids. Repeated rows are encoded each. ``kept_words`` bounds what a task remembers beyond the dictionary."""
+    one no ids. Repeated rows are encoded each. ``kept_words`` bounds what a task remembers beyond the dictionary. ``back``
+    names a column for the text that the ids stand for, as ``decoded`` has it, put together from them by the same task."""
     spark: SparkSession = docs.sparkSession
     pieces = load_pieces(model) if isinstance(model, str) else model
     rows = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text"), *carry)
-    known = encode_words(frequent_words(rows, dictionary), pieces).toArrow()
+    pattern = word_pattern(pieces)
+    known = encode_words(frequent_words(rows, dictionary, pattern), pieces).toArrow()
     # ids as bytes: half the memory of tuples, and a text's are put together by one join
     known = {w.as_py(): i.values.to_numpy().astype(np.int32).tobytes() for w, i in zip(known["word"], known["ids"], strict=True)}
     lattice = Lattice(pieces) if pieces.ranks else None
-    shared = spark.sparkContext.broadcast((known, lattice, (pieces.table, pieces.byte_ids, pieces.byte_score, pieces.apart())))
+    shared = spark.sparkContext.broadcast((known, lattice, pieces.hexes if back else [], (pieces.table, pieces.byte_ids, pieces.byte_score, pieces.apart())))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, lattice, (table, *of_bytes) = shared.value
-        reach, cut = reachable(table), re.compile(WORD)
+        known, lattice, hexes, (table, *of_bytes) = shared.value
+        reach, cut = reachable(table), re.compile(pattern)
+        spelled = [bytes.fromhex(h) for h in hexes].__getitem__
         gc.freeze()  # what was handed to the task stays, so no collection need walk it
         memo = dict(known)
 
@@ -451,7 +526,11 @@ def encode(
             long = learn(set().union(*filter(None, texts)))
             ids = (memo | long).__getitem__ if long else memo.__getitem__
             found = [None if words is None else np.frombuffer(b"".join(map(ids, words)), np.int32) for words in texts]
-            return part.drop_columns(["text"]).append_column("ids", pa.array(found, pa.list_(pa.int32())))
+            part = part.drop_columns(["text"]).append_column("ids", pa.array(found, pa.list_(pa.int32())))
+            if back is None:
+                return part
+            again = [None if ids is None else b"".join(map(spelled, ids.tolist())).removeprefix(b" ") for ids in found]
+            return part.append_column(back, pa.array(again, pa.binary()).cast(pa.string()))
 
         for batch in batches:
             at, texts, words = 0, [], 0
@@ -465,8 +544,8 @@ def encode(
             if texts:
                 yield encoded(batch.slice(at), texts)
 
-    types = rows.drop("text").schema
-    return rows.mapInArrow(of, types.add("ids", ArrayType(IntegerType())))
+    types = rows.drop("text").schema.add("ids", ArrayType(IntegerType()))
+    return rows.mapInArrow(of, types if back is None else types.add(back, StringType()))
 
 
 def decoded(ids: Column, pieces: Pieces) -> Column:

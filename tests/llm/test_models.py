@@ -266,6 +266,63 @@ def test_lattices_as_arrays_give_the_models_ids(pieces, monkeypatch):
             assert [i for w in cut for i in known[w]] == model.encode(text)
 
 
+def test_words_are_cut_where_no_piece_crosses(pieces, documents):
+    """Letters and punctuation are words of their own, so that fewer distinct words are to be solved."""
+    from sentencepiece import SentencePieceProcessor
+
+    model, cut = SentencePieceProcessor(model_file=queries.piece_model()), re.compile(sentence_pieces.word_pattern(pieces))
+    assert cut.findall("▁▁the,▁(naéve)\n\n%%%▁") == ["▁▁the", ",", "▁(", "naéve", ")", "\n\n", "%%%", "▁"]
+    walk = (sentence_pieces.reachable(pieces.table), pieces.byte_ids, pieces.byte_score, pieces.apart())
+    rng = np.random.default_rng(6)
+    alphabet = ["a", "the", " ", "  ", ".", "²", "½", "_", "--", ");", "é", "e\u0301", "ß", "\n", "\r", "日", "数据", "ж", "ال", "\U0001f600", "7", "▁"]
+    for _ in range(2000):
+        text = "".join(rng.choice(alphabet, rng.integers(0, 16)))
+        words = cut.findall(sentence_pieces.mark(text))
+        assert "".join(words) == sentence_pieces.mark(text)
+        assert [i for w in words for i in sentence_pieces.best_path(w, *walk)] == model.encode(text)
+    texts = [sentence_pieces.mark(text) for _, text, *_ in documents]
+    fine, coarse = ({w for t in texts for w in re.findall(p, t)} for p in (cut, sentence_pieces.WORD))
+    assert len(fine) < 0.9 * len(coarse)
+
+
+def test_characters_that_pieces_link_are_not_cut_apart(spark):
+    table = {"a": (256, -3.0), "b": (257, -3.0), ".": (258, -2.0), "b.": (259, -2.5), "▁": (260, -4.0), "▁;": (261, -1.0)}
+    hexes = [f"{b:02x}" for b in range(256)] + [p.replace("▁", " ").encode().hex() for p in table]
+    model = sentence_pieces.Pieces(table, list(range(256)), -14.0, hexes, None)
+    assert re.findall(sentence_pieces.word_pattern(model), "▁ab.b▁;;.") == ["▁a", "b.b", "▁;;", "."]
+    assert sentence_pieces.word_pattern(sentence_pieces.Pieces({"a": (0, -1.0)}, [], -14.0, [], None)) == sentence_pieces.WORD
+    docs = spark.createDataFrame([(0, "ab.b ;"), (1, "é"), (2, ""), (3, None)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in sentence_pieces.encode(docs, model, back="again").collect()}
+    assert rows[0].ids == [260, 256, 259, 257, 261] and [rows[i].again for i in range(4)] == ["ab.b ;", "é", "", None]
+
+
+def test_lattice_finds_longer_steps_beyond_its_table(pieces, documents, monkeypatch):
+    words = sorted({w for _, text, *_ in documents[:50] for w in re.findall(sentence_pieces.WORD, sentence_pieces.mark(text)) if len(w) <= 32})
+    found = sentence_pieces.Lattice(pieces).paths(words)
+    for entries in (0, 100_000, 1 << 24):
+        monkeypatch.setattr(sentence_pieces, "TABLE_STEPS", entries)
+        assert sentence_pieces.Lattice(pieces).paths(words) == found
+
+
+def test_words_are_counted_over_all_rows(spark, pieces, monkeypatch):
+    """Also where a task hands its counts on again and again."""
+    from collections import Counter
+
+    texts = ["the the, a", "a\nthe", "", None, "x" * 40 + " the"] * 7
+    pattern = sentence_pieces.word_pattern(pieces)
+    wanted = Counter(w for t in texts for w in re.findall(pattern, sentence_pieces.mark(t or "")) if len(w) <= 32)
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for bound in (1, 1 << 18):
+        monkeypatch.setattr(sentence_pieces, "COUNTED_WORDS", bound)
+        assert {r.word: r.n for r in sentence_pieces.counted_words(rows, pattern).collect()} == wanted
+
+
+def test_texts_put_together_by_the_task_are_the_decoded_ones(spark, pieces):
+    docs = spark.createDataFrame([*enumerate(TEXTS), (99, None)], "doc_id long, text string")
+    found = sentence_pieces.encode(docs, pieces, back="again").withColumn("plain", sentence_pieces.decoded(F.col("ids"), pieces)).collect()
+    assert {r.doc_id: r.again for r in found} == {r.doc_id: r.plain for r in found} == {**dict(enumerate(TEXTS)), 99: None}
+
+
 def test_unigram_lattice_takes_the_greatest_sum(spark):
     """A hand-made table: 'ab' + 'c' beats 'a' + 'bc'; a character without a piece becomes bytes."""
     table = {"a": (256, -3.0), "b": (257, -3.0), "c": (258, -2.0), "ab": (259, -2.5), "bc": (260, -4.0)}
